@@ -98,7 +98,7 @@ def _rv(k: int) -> str:
 
 VOL = f"vol AS (SELECT *, {_rv(30)}, {_rv(252)} FROM lr)"
 for _name, _src in (("realised_vol", FLAG), ("realised_vol_by_supplier", SUPPLIER), ("realised_vol_long", FLAG)):
-    put(_name, _src, LR, VOL, select=f"SELECT series_id, dt, close, {r('log_return')}, {r('rvol30')}, {r('rvol252')} FROM vol")
+    put(_name, _src, LR, VOL, select=f"SELECT series_id, dt, close, {r('log_return', 4)}, {r('rvol30', 4)}, {r('rvol252', 4)} FROM vol")
 put("vol_summary", SUPPLIER, LR, VOL, select=f"""SELECT series_id, {r('avg(rvol30)', 6, 'mean_vol')},
   {r('arg_max(rvol30, dt) FILTER (WHERE rvol30 IS NOT NULL)', 6, 'current_vol')} FROM vol GROUP BY series_id""")
 CROSS = f"""both_ma AS (SELECT * FROM ma WHERE ma50 IS NOT NULL AND ma200 IS NOT NULL),
@@ -301,13 +301,13 @@ FC = (NUMBERED, SPLIT, _fc())
 G = "series_id, model, horizon"
 GW = f"(PARTITION BY {G} ORDER BY dt)"
 E = "(y_true - y_pred)"
-_fc_cols = f"SELECT series_id, dt, model, horizon, y_true, {r('y_pred')} FROM fc"
+_fc_cols = f"SELECT series_id, dt, model, horizon, y_true, {r('y_pred', 4)} FROM fc"
 put("forecast_one_lag", SUPPLIER, *FC, select=_fc_cols)
 put("forecast_one_lag_long", FLAG, *FC, select=_fc_cols)
 put("forecast_warm_start", FLAG, NUMBERED, SPLIT, _fc(True), select=_fc_cols)
 
 # --- evaluation ---------------------------------------------------------------------------
-put("fc_metrics", SUPPLIER, *FC, select=f"""SELECT {G}, {r(f'avg({E} * {E})', 3, 'mse')},
+put("fc_metrics", SUPPLIER, *FC, select=f"""SELECT {G}, {r(f'avg({E} * {E})', 1, 'mse')},
   {r(f'sqrt(avg({E} * {E}))', 3, 'rmse')}, {r(f'avg(abs({E} / (abs(y_true) + 1e-8))) * 100', 3, 'mape')},
   count(*) AS n FROM fc GROUP BY {G}""")
 put("fc_logcosh", SUPPLIER, *FC, select=f"""SELECT {G},
@@ -366,8 +366,8 @@ def _card(source: str) -> str:
     marks = ", ".join(
         f"{c} = min({c}) OVER {p} AS {c}_is_min, {c} = max({c}) OVER {p} AS {c}_is_max" for c in ("mse", "rmse", "mape")
     )
-    return f"""raw_card AS (SELECT {g}, model, {r(f'avg({E} * {E})', 3, 'mse')}, {r(f'sqrt(avg({E} * {E}))', 3, 'rmse')},
-    {r(f'avg(abs({E} / (abs(y_true) + 1e-8))) * 100', 3, 'mape')} FROM {source} GROUP BY {g}, model),
+    return f"""raw_card AS (SELECT {g}, model, {r(f'avg({E} * {E})', 1, 'mse')}, {r(f'sqrt(avg({E} * {E}))', 1, 'rmse')},
+    {r(f'avg(abs({E} / (abs(y_true) + 1e-8))) * 100', 1, 'mape')} FROM {source} GROUP BY {g}, model),
   card AS (SELECT *, CAST(floor(rank() OVER (PARTITION BY series_id, horizon ORDER BY rmse)
       + (count(*) OVER (PARTITION BY series_id, horizon, rmse) - 1) / 2.0) AS INTEGER) AS rmse_rank, {marks},
       max(rmse) OVER {p} / nullif(min(rmse) OVER {p}, 0) AS worst_over_best,

@@ -130,17 +130,17 @@ def _volatility(bars, layout=PLAIN):
 
 @query
 def realised_vol(spark, sf):
-    return rounded(_volatility(fx.flag_bars(spark, sf)), "log_return", "rvol30", "rvol252")
+    return rounded(_volatility(fx.flag_bars(spark, sf)), "log_return", "rvol30", "rvol252", digits=4)
 
 
 @query
 def realised_vol_by_supplier(spark, sf):
-    return rounded(_volatility(fx.supplier_bars(spark, sf)), "log_return", "rvol30", "rvol252")
+    return rounded(_volatility(fx.supplier_bars(spark, sf)), "log_return", "rvol30", "rvol252", digits=4)
 
 
 @query
 def realised_vol_long(spark, sf):
-    return rounded(_volatility(fx.flag_bars(spark, sf), LONG), "log_return", "rvol30", "rvol252")
+    return rounded(_volatility(fx.flag_bars(spark, sf), LONG), "log_return", "rvol30", "rvol252", digits=4)
 
 
 @query
@@ -310,8 +310,7 @@ def minmax_params_train(spark, sf):
 
 @query
 def minmax_scaled(spark, sf):
-    bars = fx.supplier_bars(spark, sf)
-    return rounded(sc.scale(bars, sc.fit_minmax(bars)), *FEATURES, digits=9)
+    return rounded(sc.fit_scale(fx.supplier_bars(spark, sf)), *FEATURES, digits=9)
 
 
 @query
@@ -351,8 +350,8 @@ def _window_digest(samples):
     return rounded(digest, "x_first", "x_last", "x_digest", "y_first", "y_last")
 
 
-def _scaled(bars):
-    return sc.scale(bars, sc.fit_minmax(bars))
+def _scaled(bars, layout=PLAIN):
+    return sc.fit_scale(bars, layout=layout)
 
 
 @query
@@ -367,7 +366,7 @@ def seq_windows_by_supplier(spark, sf):
 
 @query
 def seq_windows_long(spark, sf):
-    return _window_digest(sq.sequences(_scaled(fx.flag_bars(spark, sf)), 10, 1, 6, layout=LONG))
+    return _window_digest(sq.sequences(_scaled(fx.flag_bars(spark, sf), LONG), 10, 1, 6, layout=LONG))
 
 
 @query
@@ -418,22 +417,23 @@ def _forecasts(bars, **kwargs):
 
 @query
 def forecast_one_lag(spark, sf):
-    return rounded(_forecasts(fx.supplier_bars(spark, sf)), "y_pred")
+    return rounded(_forecasts(fx.supplier_bars(spark, sf)), "y_pred", digits=4)
 
 
 @query
 def forecast_warm_start(spark, sf):
-    return rounded(_forecasts(fx.flag_bars(spark, sf), warm_start=True), "y_pred")
+    return rounded(_forecasts(fx.flag_bars(spark, sf), warm_start=True), "y_pred", digits=4)
 
 
 @query
 def forecast_one_lag_long(spark, sf):
-    return rounded(_forecasts(fx.flag_bars(spark, sf), layout=LONG), "y_pred")
+    return rounded(_forecasts(fx.flag_bars(spark, sf), layout=LONG), "y_pred", digits=4)
 
 
 @query
 def fc_metrics(spark, sf):
-    return rounded(ev.metrics(_forecasts(fx.supplier_bars(spark, sf))), "mse", "rmse", "mape", digits=3)
+    out = ev.metrics(_forecasts(fx.supplier_bars(spark, sf)))
+    return rounded(rounded(out, "mse", digits=1), "rmse", "mape", digits=3)
 
 
 @query
@@ -516,19 +516,19 @@ def fc_corridor(spark, sf):
 
 @query
 def fc_scorecard(spark, sf):
-    card = ev.scorecard(ev.common_dates(_forecasts(fx.supplier_bars(spark, sf))), digits=3)
+    card = ev.scorecard(ev.common_dates(_forecasts(fx.supplier_bars(spark, sf))), digits=1)
     return rounded(card, "worst_over_best")
 
 
 @query
 def fc_scorecard_sorted(spark, sf):
-    card = ev.scorecard(_forecasts(fx.flag_bars(spark, sf)), digits=3)
+    card = ev.scorecard(_forecasts(fx.flag_bars(spark, sf)), digits=1)
     return rounded(ev.sorted_by_mape(card), "worst_over_best")
 
 
 @query
 def fc_best_worst(spark, sf):
-    card = ev.scorecard(_forecasts(fx.supplier_bars(spark, sf)), digits=3)
+    card = ev.scorecard(_forecasts(fx.supplier_bars(spark, sf)), digits=1)
     return rounded(ev.best_and_worst(card), "worst_over_best")
 
 
@@ -654,21 +654,19 @@ def tuner_top_row(spark, sf):
 
 @query
 def ml_lag_regression(spark, sf):
-    bars = fx.supplier_bars(spark, sf)
-    return fo.train_and_score(bars, sc.fit_minmax(bars), REGISTRY["lstm_exp"])
+    return fo.train_and_score(fx.supplier_bars(spark, sf), REGISTRY["lstm_exp"])
 
 
 @query
 def ml_two_step(spark, sf):
-    bars = fx.supplier_bars(spark, sf)
-    return fo.train_and_score(bars, sc.fit_minmax(bars), REGISTRY["deep"])
+    return fo.train_and_score(fx.supplier_bars(spark, sf), REGISTRY["deep"])
 
 
 @query
 def ml_live_forecast(spark, sf):
     bars, spec = fx.supplier_bars(spark, sf), REGISTRY["deep"]
     params = sc.fit_minmax(bars)
-    samples = sq.spec_sequences(sc.scale(bars, params), spec)
+    samples = sq.spec_sequences(sc.fit_scale(bars), spec)
     models = fo.fit_forecaster(samples, spec.n_predictions)
     return fo.live_forecast(bars, params, models, spec)
 
@@ -676,7 +674,7 @@ def ml_live_forecast(spark, sf):
 @query
 def ml_grid_cv(spark, sf):
     bars = fx.supplier_bars(spark, sf)
-    split = sc.chronological_split(sc.scale(bars, sc.fit_minmax(bars)))
+    split = sc.chronological_split(sc.fit_scale(bars))
     samples = sq.spec_sequences(split.filter("is_train"), REGISTRY["lstm_grid"])
     return tu.cross_validated_grid(samples)[0]
 
@@ -684,5 +682,5 @@ def ml_grid_cv(spark, sf):
 @query
 def ml_lookback_sweep(spark, sf):
     bars = fx.supplier_bars(spark, sf)
-    split = sc.chronological_split(sc.scale(bars, sc.fit_minmax(bars)))
+    split = sc.chronological_split(sc.fit_scale(bars))
     return tu.sweep_lookbacks(split.filter("is_train").select(*bars.columns), LOOKBACKS)

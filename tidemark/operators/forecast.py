@@ -10,12 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TRAIN_RATIO, ForecastSpec
 from tidemark.functions import change_pct
-from tidemark.operators.scaling import chronological_split, scale, unscale
+from tidemark.operators.scaling import chronological_split, fit_scale, from_scaled, scale, unscale
 from tidemark.operators.sequences import latest_window, spec_sequences, with_features
 from tidemark.plans import PLAIN, Layout, over_series
 
@@ -56,16 +56,22 @@ def one_lag_forecasts(
     """Test-period forecasts of the persistence (``naive``) and ``ar1`` models.
 
     ``ar1`` is least squares of the close on the close h rows earlier, fitted per series and
-    horizon on the training rows: sufficient statistics of one aggregate, joined back.
+    horizon on the training rows. In the plain layout the fit is a window over the series, so
+    the rows are computed once and not joined; chunked, it is an aggregate joined back.
     """
     pairs = lag_pairs(bars, horizons, ratio=ratio, warm_start=warm_start, layout=layout)
     train = F.col("is_train")
     y = F.when(train, F.col("close"))
-    fits = []
+    fits = {}
     for h in horizons:
-        fits.append(F.regr_slope(y, F.col(f"x{h}")).alias(f"_b{h}"))
-        fits.append(F.regr_intercept(y, F.col(f"x{h}")).alias(f"_a{h}"))
-    coefficients = pairs.groupBy("series_id").agg(*fits)
+        fits[f"_b{h}"] = F.regr_slope(y, F.col(f"x{h}"))
+        fits[f"_a{h}"] = F.regr_intercept(y, F.col(f"x{h}"))
+    if layout.chunked:
+        fitted = pairs.groupBy("series_id").agg(*[c.alias(k) for k, c in fits.items()])
+        tests = pairs.filter(~train).join(fitted, "series_id")
+    else:
+        w = Window.partitionBy(*layout.keys)
+        tests = pairs.withColumns({k: c.over(w) for k, c in fits.items()}).filter(~train)
     rows = []
     for h in horizons:
         x = F.col(f"x{h}")
@@ -78,11 +84,8 @@ def one_lag_forecasts(
                     pred.alias("y_pred"),
                 )
             )
-    return (
-        pairs.filter(~train)
-        .join(coefficients, "series_id")
-        .select("series_id", "dt", F.inline(F.array(*rows)))
-        .filter(F.col("y_pred").isNotNull())
+    return tests.select("series_id", "dt", F.inline(F.array(*rows))).filter(
+        F.col("y_pred").isNotNull()
     )
 
 
@@ -110,9 +113,11 @@ def fit_forecaster(
     return models
 
 
-def score(samples: DataFrame, models: Sequence[PipelineModel], name: str) -> DataFrame:
+def score(
+    samples: DataFrame, models: Sequence[PipelineModel], name: str, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Scaled-space forecasts of every sample, one row per horizon."""
-    scored = with_features(samples)
+    scored = with_features(samples).select("series_id", "y", "y_dt", "features", *keep)
     for h, model in enumerate(models):
         # Each horizon's output is renamed before the next model writes its own.
         scored = model.transform(scored).withColumnRenamed("prediction", f"_p{h}")
@@ -126,7 +131,7 @@ def score(samples: DataFrame, models: Sequence[PipelineModel], name: str) -> Dat
         )
         for h in range(len(models))
     ]
-    return scored.select("series_id", F.inline(F.array(*rows)))
+    return scored.select("series_id", *keep, F.inline(F.array(*rows)))
 
 
 def to_prices(forecasts: DataFrame, params: DataFrame) -> DataFrame:
@@ -142,21 +147,34 @@ def test_slice(split: DataFrame, n_inputs: int, warm_start: bool = False) -> Dat
 
 def train_and_score(
     bars: DataFrame,
-    params: DataFrame,
     spec: ForecastSpec,
+    params: DataFrame | None = None,
     *,
     estimator: Estimator | None = None,
     ratio: float = TRAIN_RATIO,
+    fit_on: str = "all",
     warm_start: bool = False,
     layout: Layout = PLAIN,
 ) -> DataFrame:
-    """Fits a registered shape on the training rows and forecasts the test rows, in prices."""
-    split = chronological_split(scale(bars, params), ratio, layout)
+    """Fits a registered shape on the training rows and forecasts the test rows, in prices.
+
+    Scaling parameters are fitted here unless given. The close's parameters travel with the
+    rows, so going back to prices is arithmetic, not a join.
+    """
+    back = ("close_scale", "close_offset")
+    if params is None:
+        scaled = fit_scale(bars, fit_on=fit_on, ratio=ratio, keep=("close",), layout=layout)
+    else:
+        scaled = scale(bars, params, keep=("close",))
+    split = chronological_split(scaled, ratio, layout)
     models = fit_forecaster(
         spec_sequences(split.filter("is_train"), spec, layout), spec.n_predictions, estimator
     )
-    held_out = spec_sequences(test_slice(split, spec.n_inputs, warm_start), spec, layout)
-    return to_prices(score(held_out, models, spec.key), params)
+    held_out = test_slice(split, spec.n_inputs, warm_start)
+    scored = score(spec_sequences(held_out, spec, layout, back), models, spec.key, back)
+    return scored.withColumns(
+        {c: from_scaled(F.col(c), "close") for c in ("y_true", "y_pred")}
+    ).drop(*back)
 
 
 def live_forecast(

@@ -52,17 +52,24 @@ def asof_forward(
     hit = F.struct("dt", *values)
     days = events.select("series_id", F.col("event_date").alias("_at")).distinct()
     sides = (
-        days.select("series_id", "_at", F.lit(0).alias("_kind"), F.lit(None).cast(_type(rows, values)).alias("_hit"))
-        .unionByName(rows.select("series_id", F.col("dt").alias("_at"), F.lit(1).alias("_kind"), hit.alias("_hit")))
+        days.select("series_id", "_at", F.lit(None).cast(_type(rows, values)).alias("_hit"))
+        .unionByName(rows.select("series_id", F.col("dt").alias("_at"), hit.alias("_hit")))
         .withColumn("_block", block(F.col("_at")))
     )
-    ahead = Window.unboundedFollowing
-    inside = Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(Window.currentRow, ahead)
-    near = sides.withColumn("_near", F.first("_hit", ignorenulls=True).over(inside)).filter("_kind = 0")
+    # Walking back in time, "next row" is the last one seen: a growing frame, O(1) per row.
+    seen = (Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(*by).orderBy(F.desc("_at"), F.col("_hit").isNull()).rowsBetween(*seen)
+    near = sides.withColumn("_near", F.last("_hit", ignorenulls=True).over(back)).filter(
+        F.col("_hit").isNull()
+    )
     # One row per (series, block): the first row of the block, then of any later block.
-    firsts = sides.groupBy(*by).agg(F.min("_hit").alias("_first"))
-    later = Window.partitionBy("series_id").orderBy("_block").rowsBetween(1, ahead)
-    firsts = firsts.select(*by, F.first("_first", ignorenulls=True).over(later).alias("_far"))
+    firsts = sides.groupBy(*by).agg(F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("_at"))).alias("_first"))
+    later = (
+        Window.partitionBy("series_id")
+        .orderBy(F.desc("_block"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    firsts = firsts.select(*by, F.last("_first", ignorenulls=True).over(later).alias("_far"))
     found = (
         near.join(firsts, by)
         .select("series_id", F.col("_at").alias("event_date"), F.coalesce("_near", "_far").alias("_hit"))

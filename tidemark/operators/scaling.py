@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TRAIN_RATIO
@@ -54,6 +54,10 @@ def fit_minmax(
         *[F.min(f).alias(f"{f}_min") for f in features],
         *[F.max(f).alias(f"{f}_max") for f in features],
     )
+    return _add_scale(ranges, features)
+
+
+def _add_scale(ranges: DataFrame, features: tuple[str, ...]) -> DataFrame:
     spread = {f: F.col(f"{f}_max") - F.col(f"{f}_min") for f in features}
     scale = {f: 1 / F.when(spread[f] == 0, F.lit(1.0)).otherwise(spread[f]) for f in features}
     return ranges.withColumns({f"{f}_scale": scale[f] for f in features}).withColumns(
@@ -61,6 +65,37 @@ def fit_minmax(
     )
 
 
+def fit_scale(
+    bars: DataFrame,
+    features: tuple[str, ...] = FEATURES,
+    *,
+    fit_on: str = "all",
+    ratio: float = TRAIN_RATIO,
+    keep: tuple[str, ...] = (),
+    layout: Layout = PLAIN,
+) -> DataFrame:
+    """:func:`fit_minmax` and :func:`scale` in one step.
+
+    In the plain layout the ranges are a window over the series: the input is computed once,
+    nothing is joined, and later windows over the series need no further shuffle. In the
+    chunked layout the parameters are aggregated and joined back. ``keep`` names features
+    whose ``<f>_scale`` and ``<f>_offset`` stay on the rows.
+    """
+    extra = [f"{f}_{part}" for f in keep for part in ("scale", "offset")]
+    if layout.chunked:
+        params = fit_minmax(bars, features, fit_on=fit_on, ratio=ratio, layout=layout)
+        return scale(bars, params, features, keep=keep)
+    source = chronological_split(bars, ratio, layout) if fit_on == "train" else bars
+    used = {f: F.when(F.col("is_train"), F.col(f)) if fit_on == "train" else F.col(f) for f in features}
+    w = Window.partitionBy(*layout.keys)
+    ranged = source.withColumns(
+        {f"{f}_min": F.min(used[f]).over(w) for f in features}
+        | {f"{f}_max": F.max(used[f]).over(w) for f in features}
+    )
+    scaled = _add_scale(ranged, features).withColumns({f: to_scaled(F.col(f), f) for f in features})
+    return scaled.select(*bars.columns, *extra)
+
+
 def params_by_feature(params: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """The scaling parameters in long form, one row per (series, feature)."""
     rows = [
@@ -92,10 +127,19 @@ def _with_params(df: DataFrame, params: DataFrame, features: tuple[str, ...]) ->
     return df.join(params.select("series_id", *names), "series_id")
 
 
-def scale(bars: DataFrame, params: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Features mapped to their scaled space; other columns are kept."""
+def scale(
+    bars: DataFrame,
+    params: DataFrame,
+    features: tuple[str, ...] = FEATURES,
+    *,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Features mapped to their scaled space by given parameters; other columns are kept."""
+    extra = [f"{f}_{part}" for f in keep for part in ("scale", "offset")]
     joined = _with_params(bars, params, features)
-    return joined.withColumns({f: to_scaled(F.col(f), f) for f in features}).select(*bars.columns)
+    return joined.withColumns({f: to_scaled(F.col(f), f) for f in features}).select(
+        *bars.columns, *extra
+    )
 
 
 def unscale(

@@ -24,22 +24,24 @@ def sequences(
     *,
     close_only: bool = False,
     single_precision: bool = False,
+    keep: tuple[str, ...] = (),
     layout: Layout = PLAIN,
 ) -> DataFrame:
     """One sample per row that has ``n_inputs`` rows before it and ``n_predictions`` targets.
 
     Columns: ``series_id``, ``dt`` (first target's date), ``X`` (n_inputs x features), ``y``
-    and ``y_dt`` (targets and their dates), ``sample`` (1-based) and ``samples``. A series of
-    n rows yields ``n - n_predictions + 1 - n_inputs`` samples.
+    and ``y_dt`` (targets and their dates), ``sample`` (1-based), ``samples`` and the columns
+    named in ``keep``. A series of n rows yields ``n - n_predictions + 1 - n_inputs`` samples.
     """
     feats = input_features(n_features, close_only)
     # Only what the windows hold travels through the shuffle.
-    narrow = bars.select("series_id", "dt", *dict.fromkeys((*feats, "close")))
+    narrow = bars.select("series_id", "dt", *dict.fromkeys((*feats, "close", *keep)))
     numbered = number_rows(narrow, layout)
 
     def cut(df: DataFrame, w) -> DataFrame:
-        row = F.array(*feats)
-        past = [F.lag(row, i).over(w) for i in range(n_inputs, 0, -1)]
+        # The row is built once; every lag then shares it instead of building its own.
+        df = df.withColumn("_row", F.array(*feats))
+        past = [F.lag("_row", i).over(w) for i in range(n_inputs, 0, -1)]
         ahead = lambda c: [F.col(c), *[F.lead(c, i).over(w) for i in range(1, n_predictions)]]
         return df.select(
             *df.columns,
@@ -59,10 +61,12 @@ def sequences(
         out = out.withColumn("X", F.col("X").cast("array<array<float>>")).withColumn(
             "y", F.col("y").cast("array<float>")
         )
-    return out.select("series_id", "dt", "X", "y", "y_dt", "sample", "samples")
+    return out.select("series_id", "dt", "X", "y", "y_dt", "sample", "samples", *keep)
 
 
-def spec_sequences(bars: DataFrame, spec: ForecastSpec, layout: Layout = PLAIN) -> DataFrame:
+def spec_sequences(
+    bars: DataFrame, spec: ForecastSpec, layout: Layout = PLAIN, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The samples a registered forecaster needs."""
     return sequences(
         bars,
@@ -70,6 +74,7 @@ def spec_sequences(bars: DataFrame, spec: ForecastSpec, layout: Layout = PLAIN)
         spec.n_predictions,
         spec.n_features,
         close_only=spec.close_only,
+        keep=keep,
         layout=layout,
     )
 

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import CONVERGENCE_QUANTILE, TRAIN_RATIO, VALIDATION_RATIO
-from tidemark.operators.scaling import fit_minmax, scale
-from tidemark.operators.scaling import chronological_split
+from tidemark.operators.scaling import chronological_split, fit_scale
 from tidemark.plans import PLAIN, Layout, over_series
 
 LOG = ("series_id", "model")
@@ -29,7 +28,7 @@ def training_pairs(
     """Scaled one-step pairs ``x`` (previous close), ``y`` (close) of the training rows, with
     ``is_validation`` on the last share of each series' samples."""
     narrow = bars.select("series_id", "dt", "close")
-    scaled = scale(narrow, fit_minmax(narrow, ("close",)), ("close",))
+    scaled = fit_scale(narrow, ("close",), layout=layout)
     split = chronological_split(scaled, ratio, layout)
     lagged = over_series(
         split, lambda df, w: df.withColumn("x", F.lag("close").over(w)), layout, before=1

@@ -20,7 +20,7 @@ from tidemark.config import (
 from tidemark.operators.evaluate import error
 from tidemark.operators.forecast import fit_forecaster, score
 from tidemark.operators.indicators import lagged_means
-from tidemark.operators.scaling import chronological_split, fit_minmax, scale
+from tidemark.operators.scaling import chronological_split, fit_scale
 from tidemark.operators.sequences import contiguous_folds, sequences, tail_validation, with_features
 from tidemark.plans import PLAIN, Layout, over_series
 from tidemark.schema import FEATURES
@@ -47,7 +47,7 @@ def ridge_grid_scores(
     """
     cols = tuple(dict.fromkeys((*features, "close")))
     narrow = bars.select("series_id", "dt", *cols)
-    scaled = scale(narrow, fit_minmax(narrow, cols), cols)
+    scaled = fit_scale(narrow, cols, layout=layout)
     split = chronological_split(scaled, ratio, layout)
     lagged = over_series(
         split,
