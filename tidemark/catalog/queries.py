@@ -20,7 +20,7 @@ from tidemark.operators import training as tr
 from tidemark.operators import tuning as tu
 from tidemark.plans import PLAIN, Layout, number_rows
 from tidemark.schema import FEATURES
-from tidemark.sources import require_rows
+from tidemark.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -664,7 +664,7 @@ def ml_two_step(spark, sf):
 
 @query
 def ml_live_forecast(spark, sf):
-    bars, spec = fx.supplier_bars(spark, sf), REGISTRY["deep"]
+    bars, spec = materialise(fx.supplier_bars(spark, sf)), REGISTRY["deep"]
     params = sc.fit_minmax(bars)
     samples = sq.spec_sequences(sc.fit_scale(bars), spec)
     models = fo.fit_forecaster(samples, spec.n_predictions)

@@ -18,6 +18,7 @@ from tidemark.functions import change_pct
 from tidemark.operators.scaling import chronological_split, fit_scale, from_scaled, scale, unscale
 from tidemark.operators.sequences import latest_window, spec_sequences, with_features
 from tidemark.plans import PLAIN, Layout, over_series
+from tidemark.session import materialise
 
 
 def lag_pairs(
@@ -159,14 +160,16 @@ def train_and_score(
     """Fits a registered shape on the training rows and forecasts the test rows, in prices.
 
     Scaling parameters are fitted here unless given. The close's parameters travel with the
-    rows, so going back to prices is arithmetic, not a join.
+    rows, so going back to prices is arithmetic, not a join. An estimator passes over its
+    input several times, so the split rows, narrow and not yet cut into windows, are
+    checkpointed once instead of being derived from the source on every pass.
     """
     back = ("close_scale", "close_offset")
     if params is None:
         scaled = fit_scale(bars, fit_on=fit_on, ratio=ratio, keep=("close",), layout=layout)
     else:
         scaled = scale(bars, params, keep=("close",))
-    split = chronological_split(scaled, ratio, layout)
+    split = materialise(chronological_split(scaled, ratio, layout))
     models = fit_forecaster(
         spec_sequences(split.filter("is_train"), spec, layout), spec.n_predictions, estimator
     )

@@ -45,7 +45,7 @@ def sequences(
         ahead = lambda c: [F.col(c), *[F.lead(c, i).over(w) for i in range(1, n_predictions)]]
         return df.select(
             *df.columns,
-            F.array(*past).alias("X"),
+            F.array(*past).alias("X", metadata={"shape": [n_inputs, len(feats)]}),
             F.array(*ahead("close")).alias("y"),
             F.array(*ahead("dt")).alias("y_dt"),
         )
@@ -58,8 +58,8 @@ def sequences(
         }
     ).filter((F.col("sample") >= 1) & (F.col("sample") <= F.col("samples")))
     if single_precision:
-        out = out.withColumn("X", F.col("X").cast("array<array<float>>")).withColumn(
-            "y", F.col("y").cast("array<float>")
+        out = out.withColumns(
+            {"X": F.col("X").cast("array<array<float>>"), "y": F.col("y").cast("array<float>")}
         )
     return out.select("series_id", "dt", "X", "y", "y_dt", "sample", "samples", *keep)
 
@@ -92,8 +92,17 @@ def prepared_tables(
 
 
 def with_features(seq: DataFrame) -> DataFrame:
-    """Adds ``features``: the input window as one Spark ML vector."""
-    return seq.withColumn("features", array_to_vector(F.flatten("X")))
+    """Adds ``features``: the input window as one Spark ML vector.
+
+    Its size is declared in the column's metadata when the window shape is known; an estimator
+    would otherwise run a job of its own to look at one row.
+    """
+    shape = seq.schema["X"].metadata.get("shape")
+    vector = array_to_vector(F.flatten("X"))
+    if shape is None:
+        return seq.withColumn("features", vector)
+    size = {"ml_attr": {"num_attrs": shape[0] * shape[1]}}
+    return seq.select("*", vector.alias("features", metadata=size))
 
 
 def tail_validation(seq: DataFrame, ratio: float = VALIDATION_RATIO) -> DataFrame:

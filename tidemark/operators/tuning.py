@@ -141,34 +141,29 @@ def lookback_scores(
     """
     split = chronological_split(bars.select("series_id", "dt", "close"), ratio, layout)
     train = lagged_means(split.filter("is_train"), tuple(sizes), decimals=decimals, layout=layout)
-    y, aggs, rows = F.col("close"), [], []
-    for k in sizes:
-        x = F.col(f"past{k}")
-        kept = F.floor((F.col("split_at") - k) * F.lit(1.0 - validation))
-        late = F.col("rn") - k > kept
-        fit_y = F.when(~late, y)
-        aggs += [
-            F.regr_slope(fit_y, x).alias(f"_a{k}"),
-            F.regr_intercept(fit_y, x).alias(f"_b{k}"),
-        ]
-        seen = late & x.isNotNull()
-        for name, term in (("y", y), ("x", x), ("xx", x * x), ("xy", x * y), ("yy", y * y)):
-            aggs.append(F.avg(F.when(seen, term)).alias(f"_{name}{k}"))
-        a, b = F.col(f"_a{k}"), F.col(f"_b{k}")
-        loss = (
-            F.col(f"_yy{k}")
-            - 2 * a * F.col(f"_xy{k}")
-            - 2 * b * F.col(f"_y{k}")
-            + a * a * F.col(f"_xx{k}")
-            + 2 * a * b * F.col(f"_x{k}")
-            + b * b
+    rows = [
+        F.struct(
+            F.lit(k).alias("inputs"),
+            F.col(f"past{k}").alias("x"),
+            (F.col("rn") - k > F.floor((F.col("split_at") - k) * F.lit(1.0 - validation))).alias("late"),
         )
-        rows.append(F.struct(F.lit(k).alias("inputs"), loss.alias("val_loss")))
-    return (
-        train.groupBy("series_id")
-        .agg(*aggs)
-        .select("series_id", F.inline(F.array(*rows)))
-        .filter(F.col("val_loss").isNotNull())
+        for k in sizes
+    ]
+    # One narrow row per size, aggregated where it is made: the rows are already together by
+    # series, so the wider table is never shuffled.
+    samples = train.select("series_id", F.col("close").alias("y"), F.inline(F.array(*rows)))
+    x, y, late = F.col("x"), F.col("y"), F.col("late")
+    fit_y = F.when(~late, y)
+    terms = {"y": y, "x": x, "xx": x * x, "xy": x * y, "yy": y * y}
+    stats = samples.filter(x.isNotNull()).groupBy("series_id", "inputs").agg(
+        F.regr_slope(fit_y, x).alias("a"),
+        F.regr_intercept(fit_y, x).alias("b"),
+        *[F.avg(F.when(late, t)).alias(f"m_{k}") for k, t in terms.items()],
+    )
+    a, b, m = F.col("a"), F.col("b"), {k: F.col(f"m_{k}") for k in terms}
+    loss = m["yy"] - 2 * a * m["xy"] - 2 * b * m["y"] + a * a * m["xx"] + 2 * a * b * m["x"] + b * b
+    return stats.select("series_id", "inputs", loss.alias("val_loss")).filter(
+        F.col("val_loss").isNotNull()
     )
 
 
