@@ -12,7 +12,7 @@ from tidemark.operators import scaling as sc
 from tidemark.operators import sequences as sq
 from tidemark.operators import training as tr
 from tidemark.operators import tuning as tu
-from tidemark.plans import PLAIN, Layout, layout_for, number_rows, over_series
+from tidemark.plans import PLAIN, Layout, layout_for, number_rows, over_series, quantile
 
 LENGTHS = {"hot": 1500, "small": 40, "one": 1, "edge": 300, "mid": 301}
 
@@ -30,6 +30,10 @@ JOBS = {
     "drawdown": lambda b, l: ind.drawdown(b, l),
     "vol": lambda b, l: ind.realised_volatility(b, (10, 60), layout=l),
     "cross": lambda b, l: ind.golden_crosses(b, (5, 20), layout=l),
+    "quantile": lambda b, l: ind.price_quantile(b, layout=l),
+    "median": lambda b, l: ind.price_quantile(b, 0.5, layout=l),
+    "low_end": lambda b, l: ind.price_quantile(b, 0.0, layout=l),
+    "high_end": lambda b, l: ind.price_quantile(b, 1.0, layout=l),
     "fraction": lambda b, l: ind.row_at_fraction(b, layout=l),
     "growth": lambda b, l: ret.growth(b, layout=l),
     "prev": lambda b, l: ret.previous_close(b, l),
@@ -71,6 +75,16 @@ def test_any_chunk_size_that_covers_the_frame(bars, size):
     assert _canon(ind.moving_averages(bars, (30,), layout=Layout(chunk_rows=size))).equals(want)
 
 
+def test_quantile_of_few_repeated_values(spark):
+    rows = [("a", float(v)) for v in [1, 1, 1, 2, 5, 5, 9]] + [("b", 4.0)] * 6 + [("c", None)]
+    df = spark.createDataFrame(rows, "series_id string, v double")
+    for q in (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0):
+        want = {r.series_id: r.x for r in quantile(df.filter("v is not null"), "v", q, "x").collect()}
+        for bins in (1, 3, 1024):
+            got = quantile(df, "v", q, "x", Layout(chunk_rows=10), bins).collect()
+            assert {r.series_id: pytest.approx(r.x) for r in got} == want
+
+
 def test_finer_blocks(bars):
     month = Layout(chunk_rows=50, block=lambda c: F.trunc(c, "MM"))
     assert _canon(number_rows(bars, month)).equals(_canon(number_rows(bars)))

@@ -20,6 +20,7 @@ from tidemark.sources import (
     read_result_table,
     require_rows,
     resolve_scaler,
+    save_bars_table,
     save_scaler,
     write_document,
     write_result_csv,
@@ -148,3 +149,15 @@ def test_order_key_sorts_like_the_tuple_and_checks_digits(spark):
         df.select(order_key([("a", 3), ("b", 2)]).alias("k")).collect()
     with pytest.raises(ValueError):
         order_key([("a", 20), ("b", 20)])
+
+
+def test_bucketed_bars_need_no_shuffle(spark):
+    from tests.helpers import random_bars, to_spark
+    from tidemark.operators import indicators as ind
+
+    bars = to_spark(spark, random_bars(1, {s: 40 for s in "abcdefgh"}))
+    save_bars_table(bars, "bars_bucketed", 4)
+    stored = spark.table("bars_bucketed")
+    means = ind.moving_averages(stored, (5,))
+    assert "Exchange" not in means._jdf.queryExecution().executedPlan().toString()
+    assert ordered(means).equals(ordered(ind.moving_averages(bars, (5,))))

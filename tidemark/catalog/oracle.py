@@ -109,8 +109,9 @@ for _name, _src in (("golden_cross", FLAG), ("golden_cross_by_supplier", SUPPLIE
     put(_name, _src, MA, CROSS, select="SELECT series_id, dt, close, ma50, ma200 FROM crossed WHERE back <= 2")
 put("updown_volume", FLAG, select="""SELECT series_id, dt, open, close, volume,
   CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction FROM bars""")
-put("close_quantile", SUPPLIER, select=f"""SELECT series_id, {r('quantile_cont(close, 0.7)', 6, 'close_quantile')}
-  FROM bars GROUP BY series_id""")
+for _name, _src in (("close_quantile", SUPPLIER), ("close_quantile_long", FLAG)):
+    put(_name, _src, select=f"""SELECT series_id, {r('quantile_cont(close, 0.7)', 6, 'close_quantile')}
+      FROM bars GROUP BY series_id""")
 put("row_at_fraction", SUPPLIER, NUMBERED,
     select="SELECT series_id, dt, close, rn, n FROM numbered WHERE rn = CAST(floor(n * 0.15) AS BIGINT) + 1")
 

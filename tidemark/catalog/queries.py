@@ -180,6 +180,11 @@ def close_quantile(spark, sf):
     return rounded(ind.price_quantile(fx.supplier_bars(spark, sf)), "close_quantile")
 
 
+@query
+def close_quantile_long(spark, sf):
+    return rounded(ind.price_quantile(fx.flag_bars(spark, sf), layout=LONG), "close_quantile")
+
+
 @query
 def row_at_fraction(spark, sf):
     return ind.row_at_fraction(fx.supplier_bars(spark, sf).select("series_id", "dt", "close"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import LABEL_FRACTION, MA_SPANS, PRICE_QUANTILE, TRADING_DAYS, VOL_SPANS
 from tidemark.functions import change_pct, safe_ln
-from tidemark.plans import PLAIN, Layout, number_rows, over_series, running_max
+from tidemark.plans import PLAIN, Layout, number_rows, over_series, quantile, running_max
 
 
 def _add_means(df: DataFrame, w, spans, decimals, value="close", shift=0, prefix="ma") -> DataFrame:
@@ -143,11 +143,16 @@ def day_direction(bars: DataFrame) -> DataFrame:
 
 
 def price_quantile(
-    bars: DataFrame, q: float = PRICE_QUANTILE, *, exact: bool = True, accuracy: int = 10_000
+    bars: DataFrame,
+    q: float = PRICE_QUANTILE,
+    *,
+    exact: bool = True,
+    accuracy: int = 10_000,
+    layout: Layout = PLAIN,
 ) -> DataFrame:
     """Per series: quantile of the close; exact with linear interpolation, or approximate."""
     if exact:
-        return bars.groupBy("series_id").agg(F.percentile("close", q).alias("close_quantile"))
+        return quantile(bars, "close", q, "close_quantile", layout)
     return bars.groupBy("series_id").agg(
         F.approx_percentile("close", q, accuracy).alias("close_quantile")
     )

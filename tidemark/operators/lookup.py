@@ -105,25 +105,26 @@ def tag_regimes(rows: DataFrame, regimes: Sequence[tuple[str, str | None, str]]
 def interval_join(rows: DataFrame, intervals: DataFrame, last: str = "9999-12-31") -> DataFrame:
     """Rows with every interval ``(start, end, label)`` of a *table* that contains their date.
 
-    Intervals are spread over the calendar years they touch and matched by year first, so the
-    join is an equi-join; the exact bounds are checked on the candidates. An open interval
-    (NULL end) ends with the data.
+    Intervals are spread over the calendar months they touch and matched by month first, so
+    the join is an equi-join with candidates from one month only; the exact bounds are checked
+    on those. An open interval (NULL end) ends with the data, whose date range is one row.
     """
-    bounds = rows.agg(F.min("dt").alias("_lo"), F.max("dt").alias("_hi"))  # one row
+    bounds = rows.agg(F.min("dt").alias("_lo"), F.max("dt").alias("_hi"))
     clipped = intervals.join(F.broadcast(bounds)).select(
         "start",
         "end",
         "label",
-        F.greatest(F.year("start"), F.year("_lo")).alias("_a"),
-        F.least(F.year(F.coalesce("end", F.lit(last).cast("date"))), F.year("_hi")).alias("_b"),
+        F.trunc(F.greatest("start", "_lo"), "MM").alias("_a"),
+        F.trunc(F.least(F.coalesce("end", F.lit(last).cast("date")), F.col("_hi")), "MM").alias("_b"),
     )
-    spread = clipped.filter("_a <= _b").withColumn("_year", F.explode(F.sequence("_a", "_b")))
+    months = F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 MONTH")))
+    spread = clipped.filter("_a <= _b").withColumn("_month", months)
     inside = (F.col("dt") >= F.col("start")) & (F.col("end").isNull() | (F.col("dt") < F.col("end")))
     return (
-        rows.withColumn("_year", F.year("dt"))
-        .join(spread.drop("_a", "_b"), "_year")
+        rows.withColumn("_month", F.trunc("dt", "MM"))
+        .join(spread.drop("_a", "_b"), "_month")
         .filter(inside)
-        .drop("_year")
+        .drop("_month")
     )
 
 

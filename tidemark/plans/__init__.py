@@ -5,5 +5,6 @@ from tidemark.plans.series import (  # noqa: F401
     layout_for,
     number_rows,
     over_series,
+    quantile,
     running_max,
 )

@@ -166,3 +166,54 @@ def first_row_value(
         *[F.min_by(c, layout.order).alias(o) for o, c in values.items()]
     )
     return df.join(firsts, list(layout.keys))
+
+
+def quantile(
+    df: DataFrame, value: str, q: float, out: str, layout: Layout = PLAIN, bins: int = 1024
+) -> DataFrame:
+    """Exact quantile per key with linear interpolation between the two nearest ranks.
+
+    The plain layout uses Spark's percentile, which gathers a key's distinct values in one
+    task. The chunked one never does: equal values are counted first, the counts per value
+    range tell which ranges hold the wanted ranks, and only those ranges are ranked, each in
+    its own task.
+    """
+    keys = list(layout.keys)
+    if not layout.chunked:
+        return df.groupBy(*keys).agg(F.percentile(value, q).alias(out))
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    binned = counts.join(ends, keys).select(
+        *keys, "_v", "_n", F.coalesce(F.floor(share * bins), F.lit(0)).cast("int").alias("_bin")
+    )
+    w = Window.partitionBy(*keys)  # at most bins + 1 rows per key
+    before = w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        binned.groupBy(*keys, "_bin")
+        .agg(F.sum("_n").alias("_in_bin"))
+        .withColumn("_before", F.coalesce(F.sum("_in_bin").over(before), F.lit(0)))
+        .withColumn("_at", (F.sum("_in_bin").over(w) - 1) * F.lit(float(q)))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in_bin")))
+        .groupBy(*keys, "_bin", "_before", "_at")
+        .agg(F.min("_rank").alias("_r0"), F.max("_rank").alias("_r1"))
+    )
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    ranked = (
+        binned.join(totals, [*keys, "_bin"])
+        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_from", F.col("_upto") - F.col("_n"))
+    )
+    holds = lambda r: (F.col(r) >= F.col("_from")) & (F.col(r) < F.col("_upto"))
+    weight = F.lit(0.0)
+    for r in ("_r0", "_r1"):
+        part = F.greatest(1 - F.abs(F.col("_at") - F.col(r)), F.lit(0.0))
+        same = F.col("_r0") == F.col("_r1")
+        use = holds(r) & (~same if r == "_r1" else F.lit(True))
+        weight = weight + F.when(use, part).otherwise(F.lit(0.0))
+    return ranked.groupBy(*keys).agg(F.sum(F.col("_v") * weight).alias(out))

@@ -16,6 +16,7 @@ from tidemark.sources.results import (  # noqa: F401
     read_result_csv,
     read_result_table,
     resolve_scaler,
+    save_bars_table,
     save_model,
     save_scaler,
     write_document,

@@ -42,6 +42,18 @@ def write_result_table(df: DataFrame, path: str, partition_by: tuple[str, ...] =
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def save_bars_table(bars: DataFrame, name: str, buckets: int) -> None:
+    """Bars as a table bucketed by series: windows and joins on the series read it without a
+    shuffle. Rows are brought to their bucket first, so each bucket is one file."""
+    (
+        bars.repartition(buckets, "series_id")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "series_id")
+        .sortBy("series_id", "dt")
+        .saveAsTable(name)
+    )
+
+
 def write_document(df: DataFrame, path: str) -> None:
     """One flat JSON object per row."""
     df.write.mode("overwrite").json(path)
