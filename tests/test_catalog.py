@@ -42,5 +42,5 @@ def test_plan_stays_distributed(spark, name):
         assert "BroadcastNestedLoopJoin" not in plan
         # Ordered results aside, nothing is brought into one partition.
         assert "Exchange SinglePartition" not in plan or name == "tuner_top_row"
-    reads = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    reads = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
     assert reads and all("l_tax" not in r and "l_linestatus" not in r for r in reads)
