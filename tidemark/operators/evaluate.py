@@ -221,10 +221,12 @@ def common_dates(fc: DataFrame) -> DataFrame:
 
     Models with longer windows start later; comparing them needs the same days.
     """
-    expected = fc.groupBy("series_id", "horizon").agg(F.count_distinct("model").alias("_all"))
-    by_day = fc.groupBy("series_id", "horizon", "dt").agg(F.count_distinct("model").alias("_here"))
-    full = by_day.join(expected, ["series_id", "horizon"]).filter("_here = _all")
-    return fc.join(full.select("series_id", "horizon", "dt"), ["series_id", "horizon", "dt"])
+    group = ["series_id", "horizon"]
+    expected = fc.groupBy(*group).agg(F.count_distinct("model").alias("_all"))
+    # One row per model and day, so counting a day's rows counts its models.
+    same_day = Window.partitionBy(*group, "dt")
+    counted = fc.withColumn("_here", F.count(F.lit(1)).over(same_day))
+    return counted.join(expected, group).filter("_here = _all").drop("_here", "_all")
 
 
 def scorecard(
