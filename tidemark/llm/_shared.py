@@ -46,8 +46,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
+def draw(mixed_seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Doubles in (0, 1) that depend on (seed, counter) alone, so that a retried task draws the same."""
-    with np.errstate(over="ignore"):
-        bits = mix64(mix64(seed) + counter * np.uint64(0x9E3779B97F4A7C15))
+    bits = mix64(mixed_seed + counter * np.uint64(0x9E3779B97F4A7C15))
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
