@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import stored
 
 
+class Forest:
+    """Union-find over the points of one task: only a spanning forest leaves the task, never all pairs."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Link i[k] with j[k]: label minima in numpy for many pairs, then unions of what is left."""
+        while len(i):
+            i, j = self.root[i], self.root[j]
+            while True:
+                i2, j2 = self.root[i], self.root[j]
+                if (i2 == i).all() and (j2 == j).all():
+                    break
+                i, j = i2, j2
+            open_ = i != j
+            lo, hi = np.minimum(i, j)[open_], np.maximum(i, j)[open_]
+            np.minimum.at(self.root, hi, lo)
+            i, j = lo, hi
+
+    def roots(self) -> np.ndarray:
+        """The smallest point that each point is linked to."""
+        root = self.root
+        while (root[root] != root).any():
+            root = root[root]
+        return root
+
+
 def _is_star(edges: DataFrame) -> bool:
     """True if every child has one root and no root is a child."""
     ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("child")).unionAll(

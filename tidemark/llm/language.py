@@ -138,7 +138,8 @@ class _Scorer:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the columns ``lang_pred`` and ``score``; see `identify`."""
+    """``docs`` with the columns ``lang_pred`` and ``score`` (in place of any of that name); see `identify`."""
+    docs = docs.drop("lang_pred", "score")
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("*", letter.alias("has_letter"))
 

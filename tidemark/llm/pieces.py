@@ -378,19 +378,19 @@ def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFram
     Segmentations of a document are distinct; draws depend only on the row's id and text, so a retried task and a
     repeated row give the same. ``inclusion`` is the chance that the segmentation lies above the next perturbed score
     (1 if there is none). Null and empty texts have one segmentation without pieces. Every text is spelt whole: what
-    the vocabulary lacks goes by bytes, so decoding gives the text back exactly. Columns of ``docs`` that carry the
-    names of the new ones must be renamed before. An empty table gives an empty result.
+    the vocabulary lacks goes by bytes, so decoding gives the text back exactly. New columns replace those of the same
+    name. An empty table gives an empty result.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
     proto = read_model(model)
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text"), row_key().alias("seed_key"))
+    rest = [c for c in docs.columns if c not in ("text", "rank", "ids", "log_prob", "gumbel", "inclusion")]
+    rows = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text"), row_key().alias("draw_seed"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(proto)
         for b in batches:
-            texts, seeds = b.column("text").to_pylist(), b.column("seed_key").to_numpy().view(np.uint64).tolist()
+            texts, seeds = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_numpy().view(np.uint64).tolist()
             begin, size = 0, 0
             for i, text in enumerate(texts):
                 size += len(text)
@@ -422,6 +422,7 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
 def decoded(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:
     """``rows`` with ``ids array<int>`` decoded to a column ``to`` (null ids: null text)."""
     proto = read_model(model)
+    rows = rows.drop(to)
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattices(proto).vocabulary

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import stored, utf8
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import Forest, connected_components
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -117,35 +117,7 @@ def _route(node: dict, x: np.ndarray, idx: np.ndarray, side: int | None, radius:
         _route(nexts[3 if side == 0 else 2], x, near_right, side, radius, out)
 
 
-class _Links:
-    """Union-find over the points of a shard: only a spanning forest leaves the task, never all pairs."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        """Link i[k] with j[k]: label minima in numpy for many pairs, then unions of what is left."""
-        while len(i):
-            i, j = self.root[i], self.root[j]
-            while True:
-                i2, j2 = self.root[i], self.root[j]
-                if (i2 == i).all() and (j2 == j).all():
-                    break
-                i, j = i2, j2
-            open_ = i != j
-            lo, hi = np.minimum(i, j)[open_], np.maximum(i, j)[open_]
-            np.minimum.at(self.root, hi, lo)
-            i, j = lo, hi
-
-
-def _compare(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int, links: _Links) -> None:
+def _compare(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int, links: Forest) -> None:
     """Link all near pairs within ``a``, or between ``a`` and ``b`` (indices into x), by tree descent."""
     work: list[tuple[np.ndarray, np.ndarray | None, int]] = [(a, b, 0)]
     while work:
@@ -185,14 +157,12 @@ def _compare(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int, li
 
 def shard_links(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (fingerprint, fingerprint) of one shard; side -1: all against all, else side 0 against side 1."""
-    links, at = _Links(len(fp)), np.arange(len(fp))
+    links, at = Forest(len(fp)), np.arange(len(fp))
     if (side < 0).all():
         _compare(fp, at, None, radius, links)
     else:
         _compare(fp, at[side == 0], at[side == 1], radius, links)
-    root = links.root
-    while (root[root] != root).any():
-        root = root[root]
+    root = links.roots()
     linked = np.flatnonzero(root != at)
     return fp[linked], fp[root[linked]]
 
