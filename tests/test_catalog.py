@@ -5,10 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
+from tidemark.catalog import oracle as catalog_sql, queries as catalog
 from compare import difference, oracle
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = catalog.registered(), catalog_sql.statements()
 ML = [q for q in QUERIES if q.startswith("ml_")]
 # The interval table is clipped by the one-row date range of the data.
 NESTED_LOOP_OK = {"regime_table_join"}
