@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir
@@ -15,6 +17,18 @@ from tidemark.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package from where the driver did.
+
+    On a cluster the package comes with the job (``--py-files``) or the image; an unknown folder in the path is ignored.
+    """
+    here = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (paths, here) if x)
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the folder all executors share, and read it back.
 

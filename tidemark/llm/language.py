@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the columns ``lang_pred`` and ``score`` (in place of any of that name); see `identify`."""
     docs = docs.drop("lang_pred", "score")
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("*", letter.alias("has_letter"))
+    rows, names = docs.select("*", letter.alias("has_letter")), [*docs.columns, "lang_pred", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model) if len(model.codes) else None
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best = int(np.argmax(v))
                     pred[j], sure[j] = model.langs[best], min(1.0, max(0.0, (float(v[best]) + 1) / 2))
             made = [*b.columns[:-1], pa.array(pred), pa.array(sure)]
-            yield pa.RecordBatch.from_arrays(made, [*docs.columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(made, names)
 
     return rows.mapInArrow(score, StructType([*docs.schema]).add("lang_pred", "string").add("score", "double"))
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from tidemark.llm._shared import draw, mix64, row_key
 
@@ -409,8 +409,10 @@ def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFram
         cols += [pa.array([f[i] for f in flat], pa.float64()) for i in (2, 3, 4)]
         return pa.RecordBatch.from_arrays(cols, [*rest, "rank", "ids", "log_prob", "gumbel", "inclusion"])
 
-    kind = StructType([docs.schema[c] for c in rest]).add("rank", "int").add("ids", "array<int>")
-    return rows.mapInArrow(sample, kind.add("log_prob", "double").add("gumbel", "double").add("inclusion", "double"))
+    kind = StructType([docs.schema[c] for c in rest]).add("rank", IntegerType()).add("ids", ArrayType(IntegerType()))
+    for name in ("log_prob", "gumbel", "inclusion"):
+        kind = kind.add(name, DoubleType())
+    return rows.mapInArrow(sample, kind)
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
@@ -423,6 +425,7 @@ def decoded(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:
     """``rows`` with ``ids array<int>`` decoded to a column ``to`` (null ids: null text)."""
     proto = read_model(model)
     rows = rows.drop(to)
+    names = [*rows.columns, to]
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = lattices(proto).vocabulary
@@ -430,6 +433,6 @@ def decoded(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:
             lists = b.column("ids")
             offsets, flat, valid = lists.offsets.to_pylist(), lists.values.to_pylist(), lists.is_valid().to_pylist()
             made = [decode(vocabulary, flat[s:e]) if v else None for s, e, v in zip(offsets, offsets[1:], valid, strict=False)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*rows.columns, to])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names)
 
     return rows.mapInArrow(text, StructType([*rows.schema]).add(to, "string"))

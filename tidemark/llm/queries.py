@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, html_text, language, licences, mixing, nearest, pieces, repeats, similar, simhash
+from tidemark.llm._shared import with_package
 
 #: The conversation that `op4_chat_format` adds: control strings of a common template as ordinary text.
 TRICKY = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return with_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
