@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import language, mixing, pieces, repeats, simhash
-from tidemark.llm._shared import stored, with_package
+from tidemark.llm._shared import stored, prepared
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found go."""
+    prepared(spark)
     return language.identified(docs)
 
 
@@ -30,6 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document, as piece ids."""
+    prepared(spark)
     return pieces.segmented(docs.select("doc_id", "text", "lang", "source"))
 
 
@@ -46,7 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return docs

@@ -17,15 +17,23 @@ from tidemark.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def with_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package from where the driver did.
+#: Bytes of an Arrow batch, where the session leaves it at Spark's default: two workers share an executor's memory.
+ARROW_BATCH = 8 << 20
 
-    On a cluster the package comes with the job (``--py-files``) or the image; an unknown folder in the path is ignored.
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Session settings that Python stages need, where the user has not chosen others.
+
+    Workers on this machine import the package from where the driver did; on a cluster it comes with the job
+    (``--py-files``) or the image, and an unknown folder in the path is ignored. Arrow batches are bounded in bytes, so
+    that batches of long texts stay small.
     """
     here = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if here not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (paths, here) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in ("64m", "64MB", "67108864b", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH))
     return spark
 
 
@@ -35,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Later jobs start from the files, so neither a lost executor nor a second use recomputes what led there.
     Unlike a checkpoint the table is columnar: each use reads only the columns it needs.
     """
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpus/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from tidemark.llm._shared import draw, mix64, row_key
 
@@ -27,7 +27,7 @@ SAMPLES = 2
 #: Characters of text whose words are walked together.
 BATCH_CHARS = 1 << 20
 #: Different words whose lattices a task keeps from batch to batch.
-MAX_WORDS = 1 << 18
+MAX_WORDS = 1 << 17
 
 _MARK, _SEP, _LITERAL = "▁", "\ud800", "\ud801"
 #: Weights carry this factor for each character, which all segmentations of a word share; it keeps sums near one.
@@ -371,22 +371,25 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
+def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, decode_to: str | None = None) -> DataFrame:
     """Every column of ``docs`` but ``text``, and up to ``k`` rows a document with its sampled segmentations:
     ``rank`` (from 1, by perturbed score), ``ids array<int>``, ``log_prob``, ``gumbel``, ``inclusion``.
 
     Segmentations of a document are distinct; draws depend only on the row's id and text, so a retried task and a
     repeated row give the same. ``inclusion`` is the chance that the segmentation lies above the next perturbed score
     (1 if there is none). Null and empty texts have one segmentation without pieces. Every text is spelt whole: what
-    the vocabulary lacks goes by bytes, so decoding gives the text back exactly. New columns replace those of the same
+    the vocabulary lacks goes by bytes, so decoding gives the text back exactly; ``decode_to`` names a column for the text
+    that the ids decode to (else see `decoded`). New columns replace those of the same
     name. An empty table gives an empty result.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
     proto = read_model(model)
-    rest = [c for c in docs.columns if c not in ("text", "rank", "ids", "log_prob", "gumbel", "inclusion")]
+    rest = [c for c in docs.columns if c not in ("text", "rank", "ids", "log_prob", "gumbel", "inclusion", decode_to)]
     rows = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text"), row_key().alias("draw_seed"))
 
+    names = [*rest, "rank", "ids", "log_prob", "gumbel", "inclusion", *([decode_to] if decode_to else [])]
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattices(proto)
         for b in batches:
@@ -407,11 +410,15 @@ def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFram
         cols = [b.column(c).take(which) for c in rest]
         cols += [pa.array([f[0] for f in flat], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
         cols += [pa.array([f[i] for f in flat], pa.float64()) for i in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays(cols, [*rest, "rank", "ids", "log_prob", "gumbel", "inclusion"])
+        if decode_to:
+            vocabulary = lattices(proto).vocabulary
+            cols.append(pa.array([decode(vocabulary, f[1].tolist()) for f in flat], pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names)
 
     kind = StructType([docs.schema[c] for c in rest]).add("rank", IntegerType()).add("ids", ArrayType(IntegerType()))
     for name in ("log_prob", "gumbel", "inclusion"):
         kind = kind.add(name, DoubleType())
+    kind = kind.add(decode_to, StringType()) if decode_to else kind
     return rows.mapInArrow(sample, kind)
 
 
@@ -435,4 +442,4 @@ def decoded(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:
             made = [decode(vocabulary, flat[s:e]) if v else None for s, e, v in zip(offsets, offsets[1:], valid, strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names)
 
-    return rows.mapInArrow(text, StructType([*rows.schema]).add(to, "string"))
+    return rows.mapInArrow(text, StructType([*rows.schema]).add(to, StringType()))

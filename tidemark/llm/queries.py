@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, html_text, language, licences, mixing, nearest, pieces, repeats, similar, simhash
-from tidemark.llm._shared import with_package
+from tidemark.llm._shared import prepared
 
 #: The conversation that `op4_chat_format` adds: control strings of a common template as ordinary text.
 TRICKY = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return with_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pieces.decoded(pieces.segmented(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = pieces.segmented(_table(spark, sf_dir, "documents").select("doc_id", "text"), decode_to="text")
     return rows.select(
         "doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         "log_prob", "inclusion", F.sha2("text", 256).alias("text_sha256"),
