@@ -69,3 +69,34 @@ def test_texts_keep_their_other_columns(spark):
     out = op.without_repeats(df, span=40, gram=12)
     assert out.columns == df.columns and out.dtypes == df.dtypes
     assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect() if r.text is not None) == [(1, "A", 1), (2, "B", 1), (3, "short", 5)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cover_is_the_reach_of_the_groups(seed, monkeypatch):
+    monkeypatch.setattr(op, "_FEW", seed % 5)
+    rng = random.Random(seed)
+    text = lambda: bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9)))
+    pairs = list({(text(), b"g" + text()) for _ in range(rng.randint(2, 40))})
+    lefts, rights = [p[0] for p in pairs], [p[1] for p in pairs]
+    want = [(0, 0)] * len(pairs)
+    for left, right, members in op.maximal_groups(lefts, rights, span=7):
+        for m in members:
+            want[m] = (max(want[m][0], left), max(want[m][1], right))
+    brute = [(0, 0)] * len(pairs)
+    for i in range(len(pairs)):
+        for j in range(len(pairs)):
+            left, right = op.common_prefix(lefts[i], lefts[j]), op.common_prefix(rights[i], rights[j])
+            if i != j and left + right >= 7:
+                brute[i] = (max(brute[i][0], left), max(brute[i][1], right))
+    assert op.cover(lefts, rights, span=7) == want == brute
+
+
+def test_occurrences_of_groups(spark):
+    rows = [(1, "abcdefghij" * 3 + "XXXXX"), (2, "YY" + "abcdefghij" * 3 + "Z"), (3, "nothing of the kind here, is there?")]
+    texts = op.long_texts(docs_frame(spark, rows), 20)
+    found = {(r.k, r.s, r.e) for r in op.maximal_repeats(texts, span=20, gram=6).collect()}
+    of = {r.k: r.text for r in texts.collect()}
+    strings = {bytes(of[k][s:e]) for k, s, e in found}
+    assert all(len(x) >= 20 for x in strings) and any(x == b"abcdefghij" * 3 for x in strings)
+    for x in strings:
+        assert sum(t[i:].startswith(x) for t in of.values() for i in range(len(t))) > 1

@@ -11,7 +11,7 @@ maximal repeat group, given with all its occurrences.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +165,70 @@ def maximal_groups(lefts: list[bytes], rights: list[bytes], span: int = SPAN) ->
                 yield left, right, members[lo : hi + 1]
 
 
+#: Members of an interval that are compared one by one.
+_FEW = 12
+
+
+class _RangeMin:
+    """Smallest value of any range of a list, by minima of ranges of a power of two."""
+
+    def __init__(self, values: list[int]):
+        self.levels = [np.array(values, np.int32)]
+        while 2 * len(self.levels[0]) > 1 << (len(self.levels) + 1):
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        level = np.log2(hi - lo + 1).astype(np.int64)
+        out = np.empty(len(lo), np.int32)
+        for n in np.unique(level):
+            at = level == n
+            out[at] = np.minimum(self.levels[n][lo[at]], self.levels[n][hi[at] - (1 << n) + 1])
+        return out
+
+
+def cover(lefts: list[bytes], rights: list[bytes], span: int = SPAN) -> list[tuple[int, int]]:
+    """For each context how far maximal repeat groups reach left and right of the anchor; (0, 0) without one.
+
+    The same scan as `maximal_groups`, without listing a group's members: in each interval of the rights, a member's
+    longest common left extension is the one with a neighbour in the order of the lefts.
+    """
+    m = len(rights)
+    order = sorted(range(m), key=rights.__getitem__)
+    lcp = [0] + [common_prefix(rights[i], rights[j]) for i, j in zip(order, order[1:], strict=False)]
+    by_left = sorted(range(m), key=lefts.__getitem__)
+    left_lcp = [0] + [common_prefix(lefts[i], lefts[j]) for i, j in zip(by_left, by_left[1:], strict=False)]
+    longest, best = max(left_lcp), [(0, 0)] * m
+    rank = [0] * m
+    for place, i in enumerate(by_left):
+        rank[i] = place
+    ranks = [rank[i] for i in order]
+    large: tuple | None = None
+    for right, first, last in prefix_intervals(lcp):
+        need = max(0, span - right)
+        if longest < need:
+            continue
+        if last - first < _FEW:
+            members = [by_left[r] for r in sorted(ranks[first : last + 1])]
+            near = [0, *(common_prefix(lefts[i], lefts[j]) for i, j in zip(members, members[1:], strict=False)), 0]
+            for n, i in enumerate(members):
+                left = max(near[n], near[n + 1])
+                if left >= need:
+                    best[i] = (max(best[i][0], left), max(best[i][1], right))
+            continue
+        if large is None:
+            large = np.array(ranks), np.array(by_left), _RangeMin(left_lcp), np.zeros((m, 2), np.int32)
+        members = np.sort(large[0][first : last + 1])
+        near = large[2](members[:-1] + 1, members[1:])
+        left = np.maximum(np.append(near, 0), np.append(0, near))
+        at, left = large[1][members[left >= need]], left[left >= need]
+        large[3][at, 0] = np.maximum(large[3][at, 0], left)
+        large[3][at, 1] = np.maximum(large[3][at, 1], right)
+    if large is not None:
+        best = [(max(a, c), max(b, d)) for (a, b), (c, d) in zip(best, large[3].tolist(), strict=True)]
+    return best
+
+
 def _contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """``(g, c, left binary reversed, right binary)`` of the ``wanted(k, items[place, g, c])`` contexts."""
 
@@ -187,43 +251,58 @@ def _contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "g long, c long, l binary, r binary")
 
 
-def _bucket_groups(contexts: DataFrame, span: int) -> DataFrame:
-    """``(g, c, grp, left, right)``: members of the maximal repeat groups among different contexts of each gram."""
+def _by_gram(contexts: DataFrame, of: Callable[[list[bytes], list[bytes]], Iterator[tuple]], names: list[str]) -> DataFrame:
+    """Rows ``of(lefts, rights)`` (a member's place, then ints named ``names``) of the contexts of each gram."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
         gram, held = None, {}
-        out: tuple = ([], [], [], [], [])
-
-        def close() -> None:
-            if len(held) < 2:
-                return
-            names = list(held)
-            found = maximal_groups([held[c][0] for c in names], [held[c][1] for c in names], span)
-            for n, (left, right, members) in enumerate(found):
-                for m in members:
-                    for col, value in zip(out, (gram, names[m], n, left, right), strict=True):
-                        col.append(value)
-
-        def rows() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["g", "c", "grp", "left", "right"])
-            for col in out:
-                col.clear()
-            return made
-
         for b in batches:
             for g, c, left, right in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if g != gram:
-                    close()
+                    yield gram, held
                     gram, held = g, {}
                 held[c] = (left, right)
-            if len(out[0]) > 50_000:
-                yield rows()
-        close()
-        yield rows()
+        yield gram, held
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for gram, held in buckets(batches):
+            if len(held) > 1:
+                c = list(held)
+                for member, *values in of([held[x][0] for x in c], [held[x][1] for x in c]):
+                    out.append((gram, c[member], *values))
+                    if len(out) >= 20_000:
+                        yield batch(out)
+                        out = []
+        yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * len(names)]
+        cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["g", "c", *names])
 
     dealt = contexts.repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(groups, "g long, c long, grp int, left int, right int")
+    return dealt.mapInArrow(rows, "g long, c long, " + ", ".join(f"{x} int" for x in names))
+
+
+def _bucket_groups(contexts: DataFrame, span: int) -> DataFrame:
+    """``(g, c, grp, left, right)``: members of the maximal repeat groups among different contexts of each gram."""
+
+    def of(lefts: list[bytes], rights: list[bytes]) -> Iterator[tuple]:
+        for n, (left, right, members) in enumerate(maximal_groups(lefts, rights, span)):
+            for m in members:
+                yield m, n, left, right
+
+    return _by_gram(contexts, of, ["grp", "left", "right"])
+
+
+def _bucket_cover(contexts: DataFrame, span: int) -> DataFrame:
+    """``(g, c, left, right)``: how far repeats reach around each anchor, for contexts with any."""
+
+    def of(lefts: list[bytes], rights: list[bytes]) -> Iterator[tuple]:
+        return ((n, *x) for n, x in enumerate(cover(lefts, rights, span)) if x[1])
+
+    return _by_gram(contexts, of, ["left", "right"])
 
 
 def _window_groups(contexts: DataFrame, span: int, gram: int) -> DataFrame:
@@ -249,12 +328,11 @@ def _window_groups(contexts: DataFrame, span: int, gram: int) -> DataFrame:
     return keyed.join(shared, ["g", "o", "h"]).selectExpr("g", "c", "cast(h % 2147483647 as int) grp", "o left", f"cast({span} - o as int) right")
 
 
-def maximal_repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Anchors that occur again, ``(k, place, g, c)``, and the repeat groups of their contexts ``(g, c, grp, left, right)``.
-
-    An occurrence of a group starts ``left`` bytes before the anchor and ends ``right`` bytes after its start. Group -1
-    of a context is the whole context where that occurs more than once.
-    """
+def _repeated(
+    texts: DataFrame, span: int, gram: int, max_bucket: int, among: Callable[[DataFrame, int], DataFrame]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors that occur again ``(k, place, g, c)``; contexts that occur again as a whole ``(g, c, left, right)``; and
+    what ``among`` finds among the different contexts of each gram."""
     if not gram < span < 4096:
         raise ValueError("gram < span < 4096 is needed")
     every = stored(anchors(texts, span, gram), "anchors")
@@ -264,31 +342,42 @@ def maximal_repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bu
         F.count("*").alias("n"), F.min("k").alias("k"), F.min_by("place", "k").alias("place")
     )
     contexts = stored(contexts, "contexts")
-    whole = contexts.where("n > 1").select(
-        "g", "c", F.lit(-1).alias("grp"), _left(F.col("place")).alias("left"), _right(F.col("place")).alias("right")
-    )
+    whole = contexts.where("n > 1").select("g", "c", _left(F.col("place")).alias("left"), _right(F.col("place")).alias("right"))
     # Contexts meet if the gram has several and one of them is not repeated as a whole.
     grams = contexts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     open_ = contexts.join(grams.select("g", (F.col("m") > max_bucket).alias("big")), "g")
-    wanted = open_.groupBy("k").agg(F.collect_list(F.struct("place", "g", "c")).alias("items"), F.max("big").alias("big"))
-    found = _bucket_groups(_contexts(wanted.select("k", "items"), texts), span)
-    if not grams.where(F.col("m") > max_bucket).isEmpty():
 
-        def part(big: bool) -> DataFrame:
-            rows = open_.where(F.col("big") == big).groupBy("k").agg(F.collect_list(F.struct("place", "g", "c")).alias("items"))
-            return _contexts(rows, texts)
+    def part(rows: DataFrame) -> DataFrame:
+        return _contexts(rows.groupBy("k").agg(F.collect_list(F.struct("place", "g", "c")).alias("items")), texts)
+
+    if grams.where(F.col("m") > max_bucket).isEmpty():
+        return every, whole, among(part(open_), span)
+    windows = _window_groups(part(open_.where("big")), span, gram)
+    found = among(part(open_.where("not big")), span)
+    return every, whole, found.unionAll(windows.select(*found.columns))
+
 
-        found = _bucket_groups(part(False), span).unionAll(_window_groups(part(True), span, gram))
-    return every, whole.unionAll(found)
+def maximal_repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """``(g, grp, k, s, e)``: every occurrence of every maximal repeat group of at least ``span`` bytes around an anchor.
+
+    ``texts(k long, text binary)``; an occurrence is the bytes ``s`` to ``e`` of row k's text. Group -1 of a gram and
+    context is a context that occurs again as a whole. Parts longer than a context appear around each of their anchors.
+    """
+    every, whole, found = _repeated(texts, span, gram, max_bucket, _bucket_groups)
+    groups = whole.select("g", "c", F.lit(-1).alias("grp"), "left", "right").unionAll(found)
+    start = _start(F.col("place"))
+    return every.join(groups, ["g", "c"]).select(
+        "g", "grp", "k", (start - F.col("left")).alias("s"), (start + F.col("right")).alias("e")
+    )
 
 
 def repeat_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``(k, spans array<struct<s long, e long>>)``: byte ranges of a text that repeats cover, for texts with any."""
-    every, groups = maximal_repeats(texts, span, gram, max_bucket)
+    every, whole, found = _repeated(texts, span, gram, max_bucket, _bucket_cover)
     # Ranges of one context all hold its anchor, so their union is one range.
-    cover = groups.groupBy("g", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    reach = whole.unionAll(found).groupBy("g", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     start = _start(F.col("place"))
-    ranges = every.join(cover, ["g", "c"]).select("k", (start - F.col("left")).alias("s"), (start + F.col("right")).alias("e"))
+    ranges = every.join(reach, ["g", "c"]).select("k", (start - F.col("left")).alias("s"), (start + F.col("right")).alias("e"))
     return ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
