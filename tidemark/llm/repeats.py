@@ -336,7 +336,8 @@ def _repeated(
     if not gram < span < 4096:
         raise ValueError("gram < span < 4096 is needed")
     every = stored(anchors(texts, span, gram), "anchors")
-    again = every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # Written tables on this side of a join leave adaptive execution free to split a hot key on the other.
+    again = stored(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeated-grams")
     every = stored(every.join(again, "g").select("k", "place", "g", "c"), "repeated-anchors")
     contexts = every.groupBy("g", "c").agg(
         F.count("*").alias("n"), F.min("k").alias("k"), F.min_by("place", "k").alias("place")
@@ -376,6 +377,7 @@ def repeat_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bucke
     every, whole, found = _repeated(texts, span, gram, max_bucket, _bucket_cover)
     # Ranges of one context all hold its anchor, so their union is one range.
     reach = whole.unionAll(found).groupBy("g", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    reach = stored(reach, "reach")
     start = _start(F.col("place"))
     ranges = every.join(reach, ["g", "c"]).select("k", (start - F.col("left")).alias("s"), (start + F.col("right")).alias("e"))
     return ranges.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))

@@ -212,6 +212,8 @@ def simhash_components(
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = linked.join(least, "root").select("fp", "component_id")
     of_fp = reps.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # A written table on this side leaves adaptive execution free to split a hot fingerprint on the other.
+    of_fp = stored(of_fp, "fingerprint-components")
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
