@@ -18,8 +18,8 @@ from pyspark.sql.types import StructType
 
 ORDERS = 3
 #: Labelled rows of a language that the driver may read, and how many of them become landmarks.
-TRAIN_PER_LANG = 256
-LANDMARKS_PER_LANG = 64
+TRAIN_PER_LANG = 192
+LANDMARKS_PER_LANG = 48
 RIDGE = 1e-3
 #: Texts scored by one matrix product.
 BATCH = 64
@@ -77,12 +77,13 @@ def fit(rows: list[tuple[str, np.ndarray]], ridge: float = RIDGE, per_lang: int
             out[i, np.searchsorted(codes, p[np.isin(p, codes)])] = 1
         return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
 
-    z, x = presence(landmarks), presence([p for _, p in rows])
+    z, profiles = presence(landmarks), [p for _, p in rows]
     y = np.array([[1.0 if lang == c else -1.0 for c in langs] for lang, _ in rows])
     # Languages weigh the same, however many rows each gives.
     share = np.array([1.0 / sum(a == lang for a, _ in rows) for lang, _ in rows])
     share *= len(rows) / share.sum()
-    k_zz, k_xz = (z @ z.T).astype(np.float64), (x @ z.T).astype(np.float64)
+    k_zz = (z @ z.T).astype(np.float64)
+    k_xz = np.concatenate([presence(profiles[i : i + BATCH]) @ z.T for i in range(0, len(rows), BATCH)]).astype(np.float64)
     values, vectors = np.linalg.eigh(k_zz)
     good = values > 1e-8 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
@@ -90,7 +91,7 @@ def fit(rows: list[tuple[str, np.ndarray]], ridge: float = RIDGE, per_lang: int
     gram = phi.T @ (phi * share[:, None]) + ridge * len(rows) * np.eye(phi.shape[1])
     alpha = whiten @ np.linalg.solve(gram, phi.T @ (y * share[:, None]))
     # (presence @ z.T) @ alpha, with the two factors that no text changes multiplied once.
-    return Model(langs, codes, z.T.astype(np.float64) @ alpha)
+    return Model(langs, codes, z.T @ alpha.astype(np.float32))
 
 
 def training_rows(docs: DataFrame, allowed: Column, per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, np.ndarray]]:
