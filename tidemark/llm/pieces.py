@@ -354,17 +354,6 @@ def piece_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-_KEPT: dict[bytes, Lattices] = {}
-
-
-def lattices(model: bytes) -> Lattices:
-    """The lattices of a model, kept by a worker process from task to task."""
-    if model not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model] = Lattices(Vocabulary(model))
-    return _KEPT[model]
-
-
 def read_model(path: str = MODEL) -> bytes:
     """The model file, read by the driver and sent to the executors with the job (half a megabyte)."""
     with open(path, "rb") as f:
@@ -391,17 +380,18 @@ def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, decode_to:
     names = [*rest, "rank", "ids", "log_prob", "gumbel", "inclusion", *([decode_to] if decode_to else [])]
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattices(proto)
+        # Of this task alone: a worker keeps nothing of it in memory afterwards.
+        lat = Lattices(Vocabulary(proto))
         for b in batches:
             texts, seeds = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_numpy().view(np.uint64).tolist()
             begin, size = 0, 0
             for i, text in enumerate(texts):
                 size += len(text)
                 if size >= BATCH_CHARS or i + 1 == len(texts):
-                    yield made(b.slice(begin, i + 1 - begin), sampled(lat, texts[begin : i + 1], seeds[begin : i + 1], k))
+                    yield made(b.slice(begin, i + 1 - begin), sampled(lat, texts[begin : i + 1], seeds[begin : i + 1], k), lat.vocabulary)
                     begin, size = i + 1, 0
 
-    def made(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    def made(b: pa.RecordBatch, found: list, vocabulary: Vocabulary) -> pa.RecordBatch:
         which = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
         flat = [(n + 1, *f) for rows in found for n, f in enumerate(rows)]
         offsets = np.zeros(len(flat) + 1, np.int32)
@@ -411,7 +401,6 @@ def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, decode_to:
         cols += [pa.array([f[0] for f in flat], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
         cols += [pa.array([f[i] for f in flat], pa.float64()) for i in (2, 3, 4)]
         if decode_to:
-            vocabulary = lattices(proto).vocabulary
             cols.append(pa.array([decode(vocabulary, f[1].tolist()) for f in flat], pa.string()))
         return pa.RecordBatch.from_arrays(cols, names)
 
@@ -435,7 +424,7 @@ def decoded(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:
     names = [*rows.columns, to]
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = lattices(proto).vocabulary
+        vocabulary = Vocabulary(proto)
         for b in batches:
             lists = b.column("ids")
             offsets, flat, valid = lists.offsets.to_pylist(), lists.values.to_pylist(), lists.is_valid().to_pylist()
