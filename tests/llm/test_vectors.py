@@ -52,8 +52,19 @@ def test_similar_empty_and_repeated(spark):
     ]
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles that adaptive execution does not merge: every group goes where its key's hash sends it."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("blocks", [{}, {"block_rows": 120, "query_rows": 3}])
-def test_nearest_against_brute_force(spark, blocks):
+def test_nearest_against_brute_force(spark, many_partitions, blocks):
     x, label = cloud(7, 700)
     n = len(x)
     df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(n)] + odd(n, 16), SCHEMA).withColumn("rank", F.lit("x"))

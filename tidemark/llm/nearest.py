@@ -122,7 +122,8 @@ def nearest(
     blocks, groups = -(-counts.n // block_rows) or 1, -(-counts.q // query_rows) or 1
 
     def spread(df: DataFrame, salt: str, own: int, other: int, name: str, copies: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(own)).alias(name)
+        # Both sides of a cogroup are dealt by the hash of these keys, so their types must be the same.
+        mine = F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(own)).cast("int").alias(name)
         return df.select("dim", "vec_id", "embedding", mine, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(copies))
 
     left = spread(rows, "block", blocks, groups, "block", "part").groupBy("dim", "block", "part")
