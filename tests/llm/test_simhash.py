@@ -82,3 +82,15 @@ def test_components_of_paths_stars_and_noise(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+
+
+def test_tree_from_a_small_sample_finds_every_component(spark):
+    rng = np.random.default_rng(8)
+    near = rng.integers(0, 1 << 63, 900, dtype=np.int64)[rng.integers(0, 900, 5000)]
+    for _ in range(3):
+        near = near ^ (np.int64(1) << rng.integers(0, 62, 5000))
+    fps = np.unique(near)
+    links = op.hamming_links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), 3, shard_rows=300).collect()
+    at = {int(x): i for i, x in enumerate(fps)}
+    pairs = [(int(i) + lo, int(j)) for lo in range(0, len(fps), 500) for i, j in zip(*np.nonzero(np.bitwise_count(fps.view(np.uint64)[lo : lo + 500, None] ^ fps.view(np.uint64)[None, :]) <= 3), strict=True)]
+    assert components(len(fps), [(at[r.a], at[r.b]) for r in links]) == components(len(fps), pairs)

@@ -46,16 +46,21 @@ def _is_star(edges: DataFrame) -> bool:
     return bad.where("c > 1 or (c > 0 and r = 0)").isEmpty()
 
 
+def _written(least: DataFrame) -> DataFrame:
+    """A join with an aggregate on its key keeps a hub's links in one task; with a written table they can be split."""
+    return stored(least, "least-neighbours")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node it sees."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _written(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -20,8 +20,9 @@ MAX_BITS = 3
 HASH_SEED = 42
 #: Distinct fingerprints that one task should hold; trees are cut at this size.
 SHARD_ROWS = 32_768
-#: Fingerprints that the driver reads to place the vantage points. Only balance depends on them.
-SAMPLE_ROWS = 32_768
+#: Fingerprints that the driver reads to place the vantage points: so many, and of so few a share of all, at most.
+#: Only balance depends on them.
+SAMPLE_ROWS, SAMPLE_SHARE = 32_768, 1 / 16
 #: Below this many pairs a comparison is made directly.
 DIRECT_PAIRS = 1 << 18
 
@@ -170,11 +171,13 @@ def shard_links(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarr
 def hamming_links(reps: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Links ``(a, b)`` that span the components of distinct fingerprints ``reps(fp)`` within ``radius`` bits."""
     n = reps.count()
-    share = min(1.0, sample_rows / max(1, n))
-    pick = (F.xxhash64("fp").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))) | F.lit(share == 1.0)
-    sample = np.array([r.fp for r in reps.where(pick).select("fp").limit(2 * sample_rows).collect()], np.int64)
-    sample = np.sort(sample).view(np.uint64)
-    tree = _tree(sample, None, n / max(1, len(sample)), radius, shard_rows, iter(range(1 << 40)))
+    tree: dict = {"leaf": 0}
+    if n > shard_rows:
+        share = min(SAMPLE_SHARE, sample_rows / n)
+        pick = F.xxhash64("fp").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))
+        sample = np.array([r.fp for r in reps.where(pick).select("fp").limit(2 * sample_rows).collect()], np.int64)
+        sample = np.sort(sample).view(np.uint64)
+        tree = _tree(sample, None, n / max(1, len(sample)), radius, shard_rows, iter(range(1 << 40)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,10 +212,10 @@ def simhash_components(
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     comp = connected_components(hamming_links(reps, max_bits, shard_rows))
     linked = comp.withColumnRenamed("node", "fp").join(reps, "fp")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written tables on this side of a join leave adaptive execution free to split a hot key on the other.
+    least = stored(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     of_fp = linked.join(least, "root").select("fp", "component_id")
     of_fp = reps.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    # A written table on this side leaves adaptive execution free to split a hot fingerprint on the other.
     of_fp = stored(of_fp, "fingerprint-components")
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
