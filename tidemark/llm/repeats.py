@@ -346,6 +346,7 @@ def _repeated(
     whole = contexts.where("n > 1").select("g", "c", _left(F.col("place")).alias("left"), _right(F.col("place")).alias("right"))
     # Contexts meet if the gram has several and one of them is not repeated as a whole.
     grams = contexts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    grams = stored(grams.select("g", "m"), "open-grams")
     open_ = contexts.join(grams.select("g", (F.col("m") > max_bucket).alias("big")), "g")
 
     def part(rows: DataFrame) -> DataFrame:
