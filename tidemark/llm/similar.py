@@ -130,6 +130,8 @@ def similar_components(
     kind = "label long, dim int, class_id long, n long, embedding array<double>, cell int, home boolean"
     routed = stored(classes.select("label", "dim", "class_id", "n", "embedding").mapInArrow(route, kind), "vector-cells")
     cells = routed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    # Written tables on this side of a join leave adaptive execution free to split a hot key on the other.
+    cells = stored(cells, "cell-parts")
     dealt = routed.join(cells, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("class_id"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
@@ -151,7 +153,7 @@ def similar_components(
     counts = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     known = classes.join(counts, "class_id", "left").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
     known = known.withColumn("root", F.coalesce("root", "class_id"))
-    least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = stored(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     known = known.join(least, "root").select(
         "label", "embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")
     )
