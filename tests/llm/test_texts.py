@@ -245,6 +245,26 @@ def test_licences_against_brute_force(spark):
     assert licences.scan(docs_frame(spark, [])).collect() == []
 
 
+MIT = licences.TEMPLATES[4][1]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("x\n" + MIT[:60] + "\n# " + MIT[60:130] + "\n * " + MIT[130:] + "\nint main", [(1, 3, "mit", 1.0)]),
+        (MIT[:-1] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", [(0, 0, "mit", 1.0)]),
+        ("// Licensed under the MIT License. See LICENSE in the project root for license information.", [(0, 0, "mit", 1.0)]),
+        ("a b c Released under\nthe MIT License d e f g Released under the MIT\n\nLicense", [(0, 1, "mit", 1.0), (1, 3, "mit", 1.0)]),
+        ("w " * 5000 + "licensed under\r\nCC BY-NC 4.0 " + "w " * 5000, [(0, 1, "cc-by-nc-4.0", 1.0)]),
+        ("Released under the MIT License.\nand more", [(0, 0, "mit", 1.0)]),
+        ("under the terms of the license, permission is granted to any person", []),
+    ],
+)
+def test_licence_notices_in_runs_of_words(spark, text, want):
+    got = licences.notices(docs_frame(spark, [(1, text)])).collect()
+    assert sorted((r.line, r.last_line, r.licence, round(r.score, 9)) for r in got) == want
+
+
 # Pipeline
 
 def test_pipeline_stages(spark):

@@ -1,7 +1,11 @@
-"""Licence scan: lines of a text against licence templates, by Dice coefficient over word bigrams. SQL functions only."""
+"""Licence scan: lines and runs of words against licence templates, by Dice coefficient over word bigrams. SQL functions only."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,45 +43,152 @@ def bounds(size: int, least: float = MIN_DICE) -> tuple[float, float]:
     return size * least / (2 - least), size * (2 - least) / least
 
 
-def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+def needles(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> list[str]:
+    """Bigrams of which a text holds one at least, wherever ``least`` is reached.
+
+    A set that reaches ``least`` has n * least / (2 - least) or more of a template's n bigrams, so of any bigrams more
+    in number than the rest it has one. The longest are taken, since they are rare.
+    """
+    out: list[str] = []
+    for _, text in templates:
+        mine = sorted(bigrams_of(text), key=lambda b: (-len(b), b))
+        out += mine[: len(mine) - _ceil(bounds(len(mine), least)[0]) + 1]
+    return list(dict.fromkeys(out))
 
 
-def licence_lines(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> DataFrame:
-    """``(doc_id, line, template, licence, score)``: each line's best template, for lines that reach ``least``."""
-    sized = [(i, name, bigrams_of(text)) for i, (name, text) in enumerate(templates)]
+def _ceil(x: float) -> int:
+    return math.ceil(x - 1e-9)
+
+
+def _floor(x: float) -> int:
+    return math.floor(x + 1e-9)
+
+
+def _norm(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _line_match(words: Column, line: Column, sized: list[tuple[int, str, list[str]]], least: float) -> Column:
+    """The best template of one line, null if none reaches ``least``."""
     spans = [bounds(len(b), least) for _, _, b in sized]
     low, high = min(s[0] for s in spans), max(s[1] for s in spans)
-    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    # A set of n bigrams needs n + 1 words, so lines of fewer are dropped before any bigram is made; repeated words can
-    # make a long line's set small, so long lines are judged by the set itself.
-    norm = F.trim(F.regexp_replace(F.lower("said"), "[^a-z0-9]+", " "))
-    lines = lines.select("doc_id", "line", F.split(norm, " ").alias("words")).where(F.size("words") > low)
-    lines = lines.select("doc_id", "line", _bigrams(F.col("words")).alias("pairs"))
-    lines = lines.where(F.size("pairs").between(low, high))
-
-    def score(pairs: Column, mine: list[str], span: tuple[float, float]) -> Column:
+
+    def best(pairs: Column) -> Column:
         # Size bounds first: only templates that the sizes allow are intersected.
-        dice = 2.0 * F.size(F.array_intersect(pairs, F.lit(mine))) / (F.size(pairs) + float(len(mine)))
-        return F.when(F.size(pairs).between(*span), dice).otherwise(0.0)
+        size = F.size(pairs)
+        found = [
+            F.struct(
+                F.when(size.between(*span), 2.0 * F.size(F.array_intersect(pairs, F.lit(b))) / (size + float(len(b)))).otherwise(0.0).alias("score"),
+                F.lit(-i).alias("place"), line.alias("line"), line.alias("last"), F.lit(name).alias("licence"),
+            )
+            for (i, name, b), span in zip(sized, spans, strict=True)
+        ]
+        top = _let(F.array_max(F.array(*found)), lambda x: F.when(x["score"] >= least, x))
+        return F.when(size.between(low, high), top)
+
+    # A set of n bigrams needs n + 1 words; repeated words can make a long line's set small.
+    return F.when(F.size(words) > low, _let(F.array_distinct(_pairs(words)), best))
+
+
+def _windows(template: tuple[int, str, list[str]], least: float) -> Column:
+    """Of the columns ``pairs`` and ``hits``: the best window from each place where one of the template's bigrams stands.
+
+    A window begins and ends with bigrams of the template, since others at its ends only lower the score. Size bounds
+    first: bigrams of the template too few, or too far apart, make no window.
+    """
+    i, name, mine = template
+    low, high = bounds(len(mine), least)
+    need, most = _ceil(low), _floor(high)
+
+    def from_place(own: Column) -> Column:
+        def best(start: Column, x: Column) -> Column:
+            def scored(end: Column) -> Column:
+                length = end["at"] - start["at"] + 1
+                bag = F.array_distinct(F.slice("pairs", start["at"] + 1, length))
+
+                def score(bag: Column) -> Column:
+                    same = F.size(F.array_intersect(bag, F.lit(mine)))
+                    return 2.0 * same / (F.size(bag) + float(len(mine)))
+
+                return F.struct(
+                    _let(bag, score).alias("score"), (-length).alias("place"), start["at"].alias("first"), end["at"].alias("end"),
+                )
+
+            ends = F.filter(F.slice(own, x + need, F.lit(most - need + 1)), lambda e: e["at"] - start["at"] < most)
+            return F.array_max(F.transform(ends, scored))
 
-    scores = [
-        F.struct(score(F.col("pairs"), b, s).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("licence"))
-        for (i, name, b), s in zip(sized, spans, strict=True)
-    ]
-    best = lines.select("doc_id", "line", F.array_max(F.array(*scores)).alias("best")).where(F.col("best.score") >= least)
-    return best.select("doc_id", "line", (-F.col("best.place")).alias("template"), "best.licence", "best.score")
+        return F.filter(F.transform(own, best), lambda w: w.isNotNull() & (w["score"] >= least))
+
+    def named(w: Column) -> Column:
+        return F.struct(
+            w["first"].alias("first"), w["end"].alias("end"), w["score"].alias("score"), F.lit(-i).alias("place"),
+            F.element_at("line_of", w["first"] + 1).alias("line"), F.element_at("line_of", w["end"] + 2).alias("last"),
+            F.lit(name).alias("licence"),
+        )
+
+    return F.transform(_let(F.filter("hits", lambda h: h["pair"].isin(mine)), from_place), named)
+
+
+def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> DataFrame:
+    """``(doc_id, line, last_line, template, licence, score)``: whole lines, and runs of words inside a line or across
+    line ends, that reach ``least``, each with its best template. Runs that share a word with a line found as a whole
+    are part of it; of runs that overlap the best one counts, the earlier of equals.
+    """
+    sized = [(i, name, bigrams_of(text)) for i, (name, text) in enumerate(templates)]
+    sought = needles(templates, least)
+    known = sorted({b for _, _, mine in sized for b in mine})
+
+    def holds(norm: Column) -> Column:
+        return reduce(Column.__or__, (norm.contains(b) for b in sought))
+
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).where(F.exists(F.array(_norm(F.col("text"))), holds))
+    words = F.transform(F.split("text", "\n"), lambda said: F.filter(F.split(_norm(said), " "), lambda w: w != ""))
+    rows = rows.select("doc_id", words.alias("lines"))
+    whole = F.filter(F.transform("lines", lambda ws, k: _line_match(ws, k, sized, least)), lambda m: m.isNotNull())
+    line_of = F.flatten(F.transform("lines", lambda ws, k: F.transform(ws, lambda w: k)))
+    rows = rows.select("doc_id", whole.alias("whole"), line_of.alias("line_of"), F.flatten("lines").alias("words"))
+    rows = rows.where(F.size("words") > 1).select("doc_id", "whole", "line_of", _pairs(F.col("words")).alias("pairs"))
+    hits = F.transform("pairs", lambda p, at: F.when(p.isin(known), F.struct(at.alias("at"), p.alias("pair"))))
+    rows = rows.select("*", F.filter(hits, lambda h: h.isNotNull()).alias("hits"))
+    runs = F.flatten(F.array(*(_windows(t, least) for t in sized)))
+    apart = F.filter(runs, lambda w: ~F.exists("whole", lambda m: m["line"].between(w["line"], w["last"])))
+    rows = rows.select("doc_id", "whole", F.array_sort(apart).alias("runs"))
+
+    def sweep(kept: Column, w: Column) -> Column:
+        # In order of their first words: a run that shares a word with the last one kept takes its place if better.
+        def against(last: Column) -> Column:
+            better = (w["score"] > last["score"]) | ((w["score"] == last["score"]) & (w["first"] == last["first"]) & (w["place"] > last["place"]))
+            instead = F.when(better, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(w))).otherwise(kept)
+            return F.when(w["first"] > last["end"] + 1, F.concat(kept, F.array(w))).otherwise(instead)
+
+        return F.when(F.size(kept) == 0, F.array(w)).otherwise(_let(F.element_at(kept, -1), against))
+
+    kept = F.aggregate("runs", F.filter("runs", lambda w: F.lit(False)), sweep)
+    kept = F.transform(kept, lambda w: F.struct(*(w[c].alias(c) for c in ("score", "place", "line", "last", "licence"))))
+    found = rows.select("doc_id", F.explode(F.concat("whole", kept)).alias("n"))
+    return found.select(
+        "doc_id", F.col("n.line").alias("line"), F.col("n.last").alias("last_line"), (-F.col("n.place")).alias("template"),
+        "n.licence", "n.score",
+    )
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> DataFrame:
-    """``(doc_id, n_lines, licence, score)`` for each doc_id with a licence line, by its best line (the first template of equals).
+    """``(doc_id, n_lines, licence, score)`` for each doc_id with a licence notice, by its best one (the first template of equals).
 
-    A line is matched whole, at any place in a text of any length. Null and empty texts have no lines that match; rows
-    that repeat a doc_id count together; a null doc_id is an id of its own. Other columns are not read. An empty table
-    gives an empty result.
+    A notice is a line or a run of words (`notices`), at any place in a text of any length; ``n_lines`` counts notices.
+    Null and empty texts have none; rows that repeat a doc_id count together; a null doc_id is an id of its own. Other
+    columns are not read. An empty table gives an empty result.
     """
-    found = licence_lines(docs, templates, least)
+    found = notices(docs, templates, least)
     best = F.max(F.struct("score", (-F.col("template")).alias("place"), "licence")).alias("best")
     found = found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_lines"), best)
     return found.select("doc_id", "n_lines", "best.licence", F.round("best.score", 9).alias("score"))
