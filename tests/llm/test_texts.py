@@ -265,6 +265,14 @@ def test_licence_notices_in_runs_of_words(spark, text, want):
     assert sorted((r.line, r.last_line, r.licence, round(r.score, 9)) for r in got) == want
 
 
+def test_every_licence_of_a_document(spark):
+    apache, mit, nc = (licences.TEMPLATES[i][1] for i in (0, 2, 7))
+    rows = [(1, f"{apache}\nx\n{nc}\n{apache}"), (1, mit), (None, mit), (None, nc)]
+    got = licences.scan(docs_frame(spark, rows)).collect()
+    want = [("1", "apache-2.0", 2), ("1", "cc-by-nc-4.0", 1), ("1", "mit", 1), ("None", "cc-by-nc-4.0", 1), ("None", "mit", 1)]
+    assert sorted((str(r.doc_id), r.licence, r.n_lines) for r in got) == want and all(r.score == 1.0 for r in got)
+
+
 # Pipeline
 
 def test_pipeline_stages(spark):

@@ -182,13 +182,13 @@ def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> DataFrame:
-    """``(doc_id, n_lines, licence, score)`` for each doc_id with a licence notice, by its best one (the first template of equals).
+    """``(doc_id, n_lines, licence, score)`` for each licence of each doc_id, with its number of notices and best score.
 
-    A notice is a line or a run of words (`notices`), at any place in a text of any length; ``n_lines`` counts notices.
-    Null and empty texts have none; rows that repeat a doc_id count together; a null doc_id is an id of its own. Other
-    columns are not read. An empty table gives an empty result.
+    A notice is a line or a run of words (`notices`), at any place in a text of any length. Null and empty texts have
+    none; rows that repeat a doc_id count together; rows with a null doc_id count as one id. Other columns are not read.
+    An empty table gives an empty result. The SQL twin names only the best licence of a doc_id and reads whole lines:
+    the two agree on tables, such as the given ones, whose documents have one licence and no other notices.
     """
-    found = notices(docs, templates, least)
-    best = F.max(F.struct("score", (-F.col("template")).alias("place"), "licence")).alias("best")
-    found = found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_lines"), best)
-    return found.select("doc_id", "n_lines", "best.licence", F.round("best.score", 9).alias("score"))
+    found = notices(docs, templates, least).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "licence")
+    found = found.agg(F.count("*").alias("n_lines"), F.max("score").alias("score"))
+    return found.select("doc_id", "n_lines", "licence", F.round("score", 9).alias("score"))
