@@ -78,6 +78,16 @@ def test_keep_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "None"]
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    x, y, z = "q r s t u v w", "other words stand here now", "third text of all of them"
+    rows = [(5, x), (3, y), (5, y + " "), (5, y), (None, z), (None, z), (None, z + " "), (8, "x x"), (8, "alone it stands")]
+    out = op.keep_one(docs_frame(spark, rows)).collect()
+    got = sorted((str(r.doc_id), r.text.strip()) for r in out)
+    assert got == sorted([("5", x), ("3", y), ("None", z), ("8", "x x"), ("8", "alone it stands")])
+    again = op.keep_one(docs_frame(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in again) == sorted((str(r.doc_id), r.text) for r in out)
+
+
 def test_components_of_paths_stars_and_noise(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

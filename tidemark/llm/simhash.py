@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import stored, utf8
+from tidemark.llm._shared import row_key, stored, utf8
 from tidemark.llm.components import Forest, connected_components
 
 SHINGLE = 3
@@ -45,14 +45,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp long)`` for each row of ``docs``; the unsigned fingerprint is stored as a signed long."""
+    """``(doc_id, key long, fp long)`` for each row of ``docs``; the unsigned fingerprint is stored as a signed long.
+
+    ``key`` is the `row_key`, which tells texts of one doc_id apart.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in utf8(b.column("text"))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            cols = [b.column("doc_id"), b.column("key"), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(key=F.col("doc_id").cast("long")).alias("key"), "text")
+    return rows.mapInArrow(of, "doc_id long, key long, fp long")
 
 
 def _split(points: np.ndarray, tried: int = 8) -> tuple[np.uint64, int] | None:
@@ -208,16 +213,21 @@ def simhash_components(
     each give a row. A null doc_id takes part and is ignored by the minimum (null if a component has no other).
     Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
+    prints, of_fp = _components(docs, shingle, max_bits, shard_rows)
+    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _components(docs: DataFrame, shingle: int, max_bits: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The `fingerprints`, and ``(fp, root, component_id)``: ``root`` names a component by one of its fingerprints."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     comp = connected_components(hamming_links(reps, max_bits, shard_rows))
     linked = comp.withColumnRenamed("node", "fp").join(reps, "fp")
     # Written tables on this side of a join leave adaptive execution free to split a hot key on the other.
     least = stored(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
-    of_fp = linked.join(least, "root").select("fp", "component_id")
-    of_fp = reps.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    of_fp = stored(of_fp, "fingerprint-components")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = linked.join(least, "root").select("fp", "root", "component_id")
+    own = F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")
+    return prints, stored(reps.join(of_fp, "fp", "left").select("fp", *own), "fingerprint-components")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -226,12 +236,14 @@ def hex_digits(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component: the row whose doc_id is the component's id, once if that id repeats.
+    """One row of each component: of the rows with its smallest doc_id the one with the smallest key (id and text hashed).
 
-    A row with a null doc_id cannot be named by a component and stays.
+    A doc_id that repeats with other texts counts in each of their components. A component keeps one of its rows with a
+    null doc_id too, by the same rule, since such a row cannot be named by a component.
     """
-    comp = simhash_components(docs, shingle, max_bits)
-    ids = comp.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.select("doc_id", F.struct("*").alias("kept_row"))
-    named = whole.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("kept_row.*")
-    return named.unionAll(docs.where(F.col("doc_id").isNull()))
+    prints, of_fp = _components(docs, shingle, max_bits, SHARD_ROWS)
+    first = prints.join(of_fp, "fp").where("doc_id is null or doc_id = component_id")
+    first = first.groupBy("root", F.col("doc_id").isNull().alias("unnamed")).agg(F.min("key").alias("kept_key"))
+    first = stored(first.select("kept_key"), "kept-keys")
+    whole = docs.select(row_key(key=F.col("doc_id").cast("long")).alias("kept_key"), F.struct("*").alias("kept_row"))
+    return whole.join(first, "kept_key").dropDuplicates(["kept_key"]).select("kept_row.*")
