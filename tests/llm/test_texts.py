@@ -150,6 +150,18 @@ def test_mix_edge_rows(spark):
     assert [r.taken for r in mixing.taken_words(docs_frame(spark, [(1, None), (2, "")])).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("rows", [[(7, "a b c")] * 300, [(i, "a b c") for i in range(60)], [(1, "a b c")] * 40 + [(1, "a b c", "en", None)] * 30])
+def test_mix_with_empty_blocks_and_repeated_rows(spark, rows):
+    options = {"share": 2.0, "block_docs": 256 if len(rows) == 300 else 1}
+    df = docs_frame(spark, rows)
+    assert [r.taken for r in mixing.taken_words(df, **options).collect()] == [6] * len(rows)
+    out = mixing.mixed(df, with_shard=True, **options).collect()
+    assert Counter(r.source for r in out) == Counter(r.source for r in df.collect() * 2)
+    assert len({(r.source, r.shard, r.place) for r in out}) == len(out)
+    mix = mixing.Mix(df, **options)
+    assert mix.placed(mix.sized).groupBy("source_no", "block").count().agg(F.max("count")).first()[0] < max(10, len(rows) * 0.7)
+
+
 # Chat
 
 CHAT = "conv_id long, turn long, role string, text string"

@@ -177,6 +177,11 @@ def _sized(docs: DataFrame, *payload: Column, seed: int) -> DataFrame:
     return docs.select("doc_id", "source", word_count("text").alias("size"), spot.alias("spot"), *payload)
 
 
+def _copy_of() -> Column:
+    """Key that rows of one source share if they repeat each other."""
+    return F.xxhash64("spot", "source").alias("copy_of")
+
+
 class Mix:
     """The plan of a mix over ``docs(doc_id, text, source)``: targets, block quotas, and the shard of each drawn block."""
 
@@ -185,7 +190,10 @@ class Mix:
         block_docs: int = BLOCK_DOCS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED,
     ):
         self.docs, self.seed = docs, seed
-        self.sized = stored(_sized(docs.select("doc_id", "text", "source"), seed=seed), "mix-sizes")
+        sized = stored(_sized(docs.select("doc_id", "text", "source"), seed=seed), "mix-sizes")
+        self.repeated = stored(sized.groupBy(_copy_of()).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "mix-repeated")
+        self.any_repeated = not self.repeated.isEmpty()
+        self.sized = self.spread(sized)
         totals = self.sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
         no = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")
         words = F.round("target").cast("long")
@@ -198,19 +206,45 @@ class Mix:
         sources = sources.withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size"))
         self.sources = stored(sources, "mix-sources")
         blocks = self.placed(self.sized).groupBy("source_no", "block").agg(F.sum("size").alias("words"))
-        passes = blocks.join(self.sources.select("source_no", "whole", "rest", "blocks"), "source_no")
+        blocks = stored(blocks, "mix-blocks")
+        # Blocks without a row are never drawn: a pass has as many ordinals as the source has blocks with rows.
+        present = blocks.groupBy("source_no").agg(F.count("*").alias("present"))
+        passes = blocks.join(self.sources.join(present, "source_no").select("source_no", "whole", "rest", "present"), "source_no")
         passes = passes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "whole")).alias("pass"))
         passes = passes.where("pass < whole or rest > 0")
         passes = passes.select("*", _hash(seed, F.lit("order"), "source_no", "pass", "block").alias("order"), F.lit(1).alias("one"))
         passes = _running(passes, ["source_no", "pass"], "order", {"sum": "words", "rank": "one"})
         drawn = passes.where("pass < whole or sum < rest").select(
-            "source_no", "block", "pass", (F.col("pass") * F.col("blocks") + F.col("rank")).alias("ordinal"),
+            "source_no", "block", "pass", (F.col("pass") * F.col("present") + F.col("rank")).alias("ordinal"),
             F.when(F.expr("pass = whole and sum + words > rest"), F.col("rest") - F.col("sum")).alias("most"),
         )
         self.drawn = stored(drawn, "mix-drawn")
         self.quotas = self.drawn.groupBy("source_no").agg(F.count("*").alias("quota"))
         self.shards = 1 << max(0, (self.drawn.count() // shard_blocks - 1).bit_length())
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows with the spots of repeated rows told apart: copy 0 keeps its spot, the others get spots of their own.
+
+        Copies are numbered in ranges of a written table, so that no task holds all copies of a row.
+        """
+        if not self.any_repeated:
+            return rows
+        rows = rows.withColumn("copy_of", _copy_of())
+        once = rows.join(self.repeated, "copy_of", "left_anti")
+        many = stored(rows.join(self.repeated, "copy_of", "left_semi"), "mix-copies")
+        many = many.select(
+            "*", F.col("_metadata.file_path").alias("file"), F.shiftright("_metadata.row_index", 12).alias("range"),
+            F.col("_metadata.row_index").alias("at"),
+        )
+        part = ["copy_of", "file", "range"]
+        ahead = Window.partitionBy("copy_of").orderBy("file", "range").rowsBetween(Window.unboundedPreceding, -1)
+        parts = many.groupBy(*part).agg(F.count("*").alias("n"))
+        parts = stored(parts.select(*part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "mix-copy-ranges")
+        no = F.col("base") + F.row_number().over(Window.partitionBy(*part).orderBy("at")) - 1
+        many = many.join(parts, part).withColumn("no", no)
+        spot = F.when(F.col("no") > 0, _hash(self.seed, F.lit("copy"), "spot", "no")).otherwise(F.col("spot"))
+        return once.unionByName(many.withColumn("spot", spot).select(*once.columns)).drop("copy_of")
+
     def placed(self, rows: DataFrame) -> DataFrame:
         """Rows with their source's number and their block: sources join null-safely."""
         s = self.sources.select(F.col("source").alias("of"), "source_no", "source_size", "target", "blocks")
@@ -250,7 +284,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
     ``taken`` counts the words the mix takes of the row, repeats included: each source gives its target to the word, no
     row more than ``cap`` times its size, and every run agrees. Null text has size 0 and is never taken. A null source
-    is a source of its own, after all others. Repeated rows share a block and are each counted. Other columns are not
+    is a source of its own, after all others. Repeated rows are spread over blocks and each counted. Other columns are not
     read. An empty table gives an empty result.
     """
     mix = Mix(docs, **options)
@@ -272,7 +306,7 @@ def mixed(docs: DataFrame, with_shard: bool = False, **options) -> DataFrame:
     mix = Mix(docs, **options)
     rest = [c for c in docs.columns if c != "text"]
     payload = (F.struct(*rest).alias("kept_row"), F.col("text").alias("mix_text"))
-    rows = mix.draws(_sized(docs, *payload, seed=mix.seed))
+    rows = mix.draws(mix.spread(_sized(docs, *payload, seed=mix.seed)))
     rows = rows.select("kept_row", "mix_text", "size", "spot", F.explode("draws").alias("d")).where("d.take > 0 or size = 0")
     words = F.regexp_extract_all("mix_text", F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("d.take").cast("int")), " ")
