@@ -100,3 +100,20 @@ def test_occurrences_of_groups(spark):
     assert all(len(x) >= 20 for x in strings) and any(x == b"abcdefghij" * 3 for x in strings)
     for x in strings:
         assert sum(t[i:].startswith(x) for t in of.values() for i in range(len(t))) > 1
+
+
+def test_groups_do_not_depend_on_the_bucket_size(spark):
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 25))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(2, 8))) + str(i % 7)) for i in range(60)]
+    texts = op.long_texts(docs_frame(spark, rows), 20)
+
+    def groups(max_bucket):
+        out = {}
+        for r in op.maximal_repeats(texts, span=20, gram=6, max_bucket=max_bucket).collect():
+            out.setdefault((r.g, r.grp), []).append((r.k, r.s, r.e))
+        return sorted(sorted(x) for (_, grp), x in out.items() if grp != -1)
+
+    whole = groups(50_000)
+    assert len(whole) > 50 and max(e - s for x in whole for _, s, e in x) > 20
+    assert groups(2) == groups(0) == whole

@@ -290,10 +290,13 @@ def _bucket_groups(contexts: DataFrame, span: int) -> DataFrame:
 
     def of(lefts: list[bytes], rights: list[bytes]) -> Iterator[tuple]:
         for n, (left, right, members) in enumerate(maximal_groups(lefts, rights, span)):
+            sides = [rights[m] for m in members]
+            if common_prefix(min(sides), max(sides)) > right:
+                continue  # all of them go on alike: part of the group of a longer right side
             for m in members:
                 yield m, n, left, right
 
-    return _by_gram(contexts, of, ["grp", "left", "right"])
+    return _by_gram(contexts, of, ["grp", "left", "right"]).withColumn("grp", F.col("grp").cast("long"))
 
 
 def _bucket_cover(contexts: DataFrame, span: int) -> DataFrame:
@@ -305,9 +308,9 @@ def _bucket_cover(contexts: DataFrame, span: int) -> DataFrame:
     return _by_gram(contexts, of, ["left", "right"])
 
 
-def _window_groups(contexts: DataFrame, span: int, gram: int) -> DataFrame:
-    """The same cover as `_bucket_groups` for grams of too many contexts: each window of a context is a key, and
-    windows that two contexts share are found by an aggregate, one row a window and no bucket in any task."""
+def _windows(contexts: DataFrame, span: int) -> DataFrame:
+    """``(g, c, o, h, before)``: each window of a context, by the bytes of it before the anchor and its hash; ``before``
+    is the byte ahead of it, -1 if the context has none."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,20 +322,45 @@ def _window_groups(contexts: DataFrame, span: int, gram: int) -> DataFrame:
                 np.cumsum(v * up[:-1], out=sums[1:])
                 at = np.arange(len(v) - span + 1)
                 h = mix64((sums[span:] - sums[:-span]) * down[at])
-                cols = [np.full(len(at), g), np.full(len(at), c), (len(left) - at).astype(np.int32), h.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["g", "c", "o", "h"])
+                before = np.concatenate([[-1], data])[at].astype(np.int32)
+                cols = [np.full(len(at), g), np.full(len(at), c), (len(left) - at).astype(np.int32), h.view(np.int64), before]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["g", "c", "o", "h", "before"])
+
+    return contexts.mapInArrow(windows, "g long, c long, o int, h long, before int")
 
-    keyed = contexts.dropDuplicates(["g", "c"]).mapInArrow(windows, "g long, c long, o int, h long")
-    keyed = stored(keyed, "windows")
+
+def _window_cover(contexts: DataFrame, span: int, gram: int) -> DataFrame:
+    """The same cover as `_bucket_cover` for grams of too many contexts: each window of a context is a key, and
+    windows that two contexts share are found by an aggregate, one row a window and no bucket in any task."""
+    keyed = stored(_windows(contexts.dropDuplicates(["g", "c"]), span).drop("before"), "windows")
     shared = keyed.groupBy("g", "o", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(shared, ["g", "o", "h"]).selectExpr("g", "c", "cast(h % 2147483647 as int) grp", "o left", f"cast({span} - o as int) right")
+    return keyed.join(shared, ["g", "o", "h"]).selectExpr("g", "c", "o left", f"cast({span} - o as int) right")
+
+
+def _window_groups(contexts: DataFrame, span: int, gram: int) -> DataFrame:
+    """The same groups as `_bucket_groups` for grams of too many contexts, found among the contexts that share a window.
+
+    All members of a group share the window that begins where the group does (at most ``span - gram`` bytes before the
+    anchor), and the contexts that share it hold the whole group; of the windows that a group covers only that one
+    reports it. Contexts that all have the same byte before a window begin no group there.
+    """
+    contexts = stored(contexts.dropDuplicates(["g", "c"]), "hot-contexts")
+    keyed = stored(_windows(contexts, span).where(f"o between 0 and {span - gram}"), "windows")
+    shared = keyed.groupBy("g", "o", "h").agg(F.count("*").alias("n"), F.min("before").alias("a"), F.max("before").alias("b"))
+    shared = shared.where(f"n > 1 and (a < b or a < 0 or o = {span - gram})").select("g", "o", "h", F.xxhash64("g", "o", "h").alias("part"))
+    shared = stored(shared, "shared-windows")
+    parts = keyed.join(shared, ["g", "o", "h"]).select("g", "c", "part").join(contexts, ["g", "c"])
+    found = _bucket_groups(parts.select(F.col("part").alias("g"), "c", "l", "r"), span).withColumnRenamed("g", "part")
+    found = found.join(shared.select("part", "g", "o"), "part").where(f"o = least(left, {span - gram})")
+    return found.select("g", "c", F.xxhash64("part", "grp").bitwiseAND((1 << 62) - 1).alias("grp"), "left", "right")
 
 
 def _repeated(
-    texts: DataFrame, span: int, gram: int, max_bucket: int, among: Callable[[DataFrame, int], DataFrame]
+    texts: DataFrame, span: int, gram: int, max_bucket: int, among: Callable[[DataFrame, int], DataFrame],
+    among_many: Callable[[DataFrame, int, int], DataFrame],
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Anchors that occur again ``(k, place, g, c)``; contexts that occur again as a whole ``(g, c, left, right)``; and
-    what ``among`` finds among the different contexts of each gram."""
+    what ``among`` finds among the different contexts of each gram, ``among_many`` for more than ``max_bucket``."""
     if not gram < span < 4096:
         raise ValueError("gram < span < 4096 is needed")
     every = stored(anchors(texts, span, gram), "anchors")
@@ -354,7 +382,7 @@ def _repeated(
 
     if grams.where(F.col("m") > max_bucket).isEmpty():
         return every, whole, among(part(open_), span)
-    windows = _window_groups(part(open_.where("big")), span, gram)
+    windows = among_many(part(open_.where("big")), span, gram)
     found = among(part(open_.where("not big")), span)
     return every, whole, found.unionAll(windows.select(*found.columns))
 
@@ -365,8 +393,8 @@ def maximal_repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bu
     ``texts(k long, text binary)``; an occurrence is the bytes ``s`` to ``e`` of row k's text. Group -1 of a gram and
     context is a context that occurs again as a whole. Parts longer than a context appear around each of their anchors.
     """
-    every, whole, found = _repeated(texts, span, gram, max_bucket, _bucket_groups)
-    groups = whole.select("g", "c", F.lit(-1).alias("grp"), "left", "right").unionAll(found)
+    every, whole, found = _repeated(texts, span, gram, max_bucket, _bucket_groups, _window_groups)
+    groups = whole.select("g", "c", F.lit(-1).cast("long").alias("grp"), "left", "right").unionAll(found)
     start = _start(F.col("place"))
     return every.join(groups, ["g", "c"]).select(
         "g", "grp", "k", (start - F.col("left")).alias("s"), (start + F.col("right")).alias("e")
@@ -375,7 +403,7 @@ def maximal_repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bu
 
 def repeat_spans(texts: DataFrame, span: int = SPAN, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``(k, spans array<struct<s long, e long>>)``: byte ranges of a text that repeats cover, for texts with any."""
-    every, whole, found = _repeated(texts, span, gram, max_bucket, _bucket_cover)
+    every, whole, found = _repeated(texts, span, gram, max_bucket, _bucket_cover, _window_cover)
     # Ranges of one context all hold its anchor, so their union is one range.
     reach = whole.unionAll(found).groupBy("g", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     reach = stored(reach, "reach")
