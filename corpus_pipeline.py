@@ -25,8 +25,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that each source gives its target of words."""
-    return mixing.mixed(docs)
+    """Documents are repeated or left out so that each source gives its target of words, and shuffled inside shards."""
+    return mixing.shuffled(docs)
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

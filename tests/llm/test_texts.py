@@ -162,6 +162,13 @@ def test_mix_with_empty_blocks_and_repeated_rows(spark, rows):
     assert mix.placed(mix.sized).groupBy("source_no", "block").count().agg(F.max("count")).first()[0] < max(10, len(rows) * 0.7)
 
 
+def test_mix_stage_shuffles_shards(spark):
+    docs = docs_frame(spark, [(i, "a b c" + " d" * (i % 5), "en", "xyz"[i % 3]) for i in range(90)])
+    want = [r.doc_id for r in sorted(mixing.mixed(docs, with_shard=True).collect(), key=lambda r: (r.shard, r.place))]
+    out = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == want != sorted(want)
+
+
 # Chat
 
 CHAT = "conv_id long, turn long, role string, text string"

@@ -318,3 +318,9 @@ def mixed(docs: DataFrame, with_shard: bool = False, **options) -> DataFrame:
     if with_shard:
         out += [F.col("d.shard").alias("shard"), _hash(mix.seed, F.lit("place"), "d.shard", "d.pass", "spot").alias("place")]
     return rows.select(*out)
+
+
+def shuffled(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `mixed`, each shard in one partition and there in shuffled order."""
+    rows = mixed(docs, with_shard=True, **options).repartition("shard").sortWithinPartitions("shard", "place")
+    return rows.drop("shard", "place")
