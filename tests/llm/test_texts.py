@@ -230,6 +230,11 @@ def test_main_text(page, want):
     assert html_text.main_text(page, html_text.trained()) == want
 
 
+def test_main_text_of_a_deep_page():
+    deep = "<div>" * 2500 + f"<nav><p>Menu {LONG}</p></nav>" + "</div>" * 2500
+    assert html_text.main_text(f"<article><p>{LONG}</p>{deep}<p>End {LONG}</p></article>", html_text.trained()) == f"{LONG} End {LONG}"
+
+
 def test_pages(spark):
     rows = queries.op10_main_text(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in rows)

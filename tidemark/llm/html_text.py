@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,6 +83,24 @@ def blocks_of(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     in_link = False
+    # Places in the stack by name, and where its main part begins, so that no tag scans the whole stack.
+    places: dict[str, list[int]] = defaultdict(list)
+    main_from = 0
+
+    def push(mark: _Open) -> None:
+        nonlocal main_from
+        if mark.main and not stack[-1].main:
+            main_from = len(stack)
+        places[mark.name].append(len(stack))
+        stack.append(mark)
+
+    def close(at: int) -> None:
+        for mark in stack[at:]:
+            places[mark.name].pop()
+        del stack[at:]
+
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else 0
 
     def flush() -> None:
         words = "".join(text).split()
@@ -120,20 +139,18 @@ def blocks_of(page: str) -> list[Block]:
                 mark = _opened(name, attributes, stack[-1])
                 if mark.hidden or mark.named != stack[-1].named:
                     flush()
-                    stack.append(mark)
+                    push(mark)
             elif closing and stack[-1].name == name:
                 flush()
-                stack.pop()
+                close(len(stack) - 1)
             continue
         if name in BLOCK:
             flush()
             in_link = in_link and name not in MAIN | FRAME
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    flush()
-                    del stack[i:]
-                    break
+            if last(name):
+                flush()
+                close(last(name))
             continue
         if name in VOID:
             continue
@@ -143,16 +160,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
             # An open one of the same kind ends here, unless a list or table of its own lies between.
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in ("ul", "ol", "table", "dl", "div", "section", "blockquote", "form", "select") or stack[i].main != stack[-1].main:
-                    break
+            between = max(map(last, ("ul", "ol", "table", "dl", "div", "section", "blockquote", "form", "select")))
+            if last(name) and last(name) >= max(between, main_from - 1 if stack[-1].main else 0):
+                close(last(name))
         if stack[-1].name == "p" and name in BLOCK:
-            stack.pop()
-        if len(stack) < 2000:
-            stack.append(_opened(name, attributes, stack[-1]))
+            close(len(stack) - 1)
+        push(_opened(name, attributes, stack[-1]))
     flush()
     return out
 
