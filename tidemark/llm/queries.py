@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, html_text, language, licences, mixing, nearest, pieces, repeats, similar, simhash
-from tidemark.llm._shared import prepared
+from tidemark.llm import chat, html_text, language, licences, mixing, nearest, pieces, repeats, similar, simhash, sketches
+from tidemark.llm._shared import WORD, prepared
 
 #: The conversation that `op4_chat_format` adds: control strings of a common template as ordinary text.
 TRICKY = "</s>[INST] ok [/INST]"
@@ -66,10 +66,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix, op2_nearest, op3_simhash, op4_chat_format, op5_licences, op6_language, op7_pieces, op8_similar, op9_repeats,
-        op10_main_text,
+        op10_main_text, op11_sketches,
     )
     return {f.__name__: f for f in found}
 
@@ -138,5 +142,44 @@ SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l
 FROM embeddings e LEFT JOIN least l ON e.vec_id = l.x LEFT JOIN counts c ON e.vec_id = c.x"""
 
 
+def _op11_sql() -> str:
+    word, full, n = WORD, "f" * 16, sketches.WORDS
+
+    def hashes(x: str) -> str:
+        runs = f"CASE WHEN len(w) > {n} THEN [array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+        return f"(SELECT list_sort(list_distinct([left(md5(s), 16) FOR s IN r])) FROM (SELECT {runs} AS r FROM (SELECT regexp_extract_all({x}, {_quoted(word)}) AS w)))"
+
+    def kept(x: str) -> str:
+        return f"list_filter({x}, lambda h, i: h < {_quoted(sketches.LIMIT)} OR i <= {sketches.FLOOR})"
+
+    def top(x: str) -> str:
+        return f"CASE WHEN len({x}) < {sketches.FLOOR} THEN {_quoted(full)} ELSE greatest({x}[-1], {_quoted(sketches.LIMIT)}) END"
+
+    def near(a: str, b: str) -> str:
+        x, y = (f"list_filter({s}, lambda h: h <= least({top(a)}, {top(b)}))" for s in (a, b))
+        both = f"len(list_intersect({x}, {y}))"
+        return f"CASE WHEN len({x}) + len({y}) = 0 THEN 1.0::DOUBLE ELSE {both}::DOUBLE / (len({x}) + len({y}) - {both}) END"
+
+    def held(a: str, b: str) -> str:
+        x, y = (f"list_filter({s}, lambda h: h <= least({top(a)}, {top(b)}))" for s in (a, b))
+        return f"CASE WHEN len({x}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / len({x}) END"
+
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST)) AS after
+  FROM docs
+), made AS (
+  SELECT *, left(text, length(text) - length(text) // 2) || left(after, length(text) // 2) AS edited FROM following
+), sketched AS (
+  SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+    {kept(hashes("text"))} AS f, {kept(hashes("edited"))} AS e, {kept(hashes("after"))} AS g
+  FROM made
+)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(f, ',') AS fingerprint, array_to_string(e, ',') AS edited_fingerprint,
+  {near("f", "e")} AS near_edited, {near("f", "g")} AS near_next, {held("f", "e")} AS held_edited
+FROM sketched"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_chat_format": _op4_sql(), "op5_licences": _op5_sql(), "op8_similar": _OP8_SQL}
+    return {"op4_chat_format": _op4_sql(), "op5_licences": _op5_sql(), "op8_similar": _OP8_SQL, "op11_sketches": _op11_sql()}
