@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, html_text, language, licences, mixing, nearest, pieces, repeats, similar, simhash, sketches
+from tidemark.llm import chat, html_text, language, licences, mixing, nearest, pieces, repair, repeats, similar, simhash, sketches
 from tidemark.llm._shared import WORD, prepared
 
 #: The conversation that `op4_chat_format` adds: control strings of a common template as ordinary text.
@@ -70,10 +70,15 @@ def op11_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix, op2_nearest, op3_simhash, op4_chat_format, op5_licences, op6_language, op7_pieces, op8_similar, op9_repeats,
-        op10_main_text, op11_sketches,
+        op10_main_text, op11_sketches, op12_repair,
     )
     return {f.__name__: f for f in found}
 
@@ -181,5 +186,76 @@ SELECT doc_id, n_chars, edited_sha256, array_to_string(f, ',') AS fingerprint, a
 FROM sketched"""
 
 
+def _op12_sql() -> str:
+    space = " || ".join(f"chr({ord(c)})" for c in repair.SPACE)
+
+    def add(costs: str, cost: str, letter: str) -> str:
+        """Costs in nine digits, then the audit so far: the least string is the cheapest, and ASCII-least of equals."""
+        return f"(printf('%09d', left({costs}, 9)::INT + {cost}) || substr({costs}, 10) || '{letter}')"
+
+    def closed(c: str, n: int) -> str:
+        two = f"least({c}2, {add(c + '0', '3', 'I')}, {add(c + '1', '3', 'I')}, {add(c + '3', '3', 'I')})"
+        return {0: f"{c}0", 1: f"{c}1", 2: two, 3: f"least({c}3, {add(two, '3', 'I')})"}[n]
+
+    def kept(to: str, initial: str, *states: int) -> str:
+        ways = [f"CASE WHEN initial = '{initial}' THEN {add(f'o{q}', 'extra', 'K')} END" for q in states]
+        ways += [add(f"o{q}", "3 + extra", "R") for q in states if initial != "s"]
+        return f"least({add(f'o{to}', '4', 'D')}, CASE WHEN fault IS NULL OR fault = 'truncated' THEN least({', '.join(ways)}, NULL) END)"
+
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) FOR i IN range(256)] AS t
+), said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([ord(x) FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')],
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS draw
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM said WHERE draw <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial,
+    rtrim(text, {space}) AS ended
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN ended = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+    WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulty GROUP BY conv_id
+), walk(conv_id, i, o0, o1, o2, o3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, '000000003I', '000000006II' FROM faulty
+  UNION ALL
+  SELECT conv_id, i, {", ".join(closed("n", k) for k in range(4))} FROM (
+    SELECT f.conv_id, f.i, {add("o0", "4", "D")} AS n0, {kept("1", "s", 0)} AS n1, {kept("2", "u", 0, 1, 3)} AS n2, {kept("3", "a", 2)} AS n3
+    FROM walk w JOIN (SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM faulty) f
+      ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)
+), best AS (
+  SELECT w.conv_id, left(least(o0, o3), 9)::BIGINT AS cost, substr(least(o0, o3), 10) AS audit
+  FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+), letters AS (
+  SELECT conv_id, k, audit[k] AS edit, length(regexp_replace(audit[1:k], 'I', '', 'g')) AS i, length(regexp_replace(audit[1:k], 'D', '', 'g')) AS e
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM best)
+), lines AS (
+  SELECT l.conv_id, l.k, l.edit, l.e, f.role, f.initial, CASE WHEN l.edit = 'I' THEN '' ELSE f.text END AS text,
+    max(CASE WHEN l.e = 1 AND l.edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS led
+  FROM letters l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.edit <> 'I'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (e - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS said
+  FROM lines WHERE edit <> 'D' GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(r.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+  LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_chat_format": _op4_sql(), "op5_licences": _op5_sql(), "op8_similar": _OP8_SQL, "op11_sketches": _op11_sql()}
+    return {"op4_chat_format": _op4_sql(), "op5_licences": _op5_sql(), "op8_similar": _OP8_SQL, "op11_sketches": _op11_sql(), "op12_repair": _op12_sql()}
