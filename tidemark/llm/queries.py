@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, html_text, language, licences, mixing, nearest, pieces, repair, repeats, similar, simhash, sketches
+from tidemark.llm import alignment, chat, html_text, language, licences, mixing, nearest, pieces, repair, repeats, similar, simhash, sketches
 from tidemark.llm._shared import WORD, prepared
 
 #: The conversation that `op4_chat_format` adds: control strings of a common template as ordinary text.
@@ -75,10 +75,14 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(turns), turns)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix, op2_nearest, op3_simhash, op4_chat_format, op5_licences, op6_language, op7_pieces, op8_similar, op9_repeats,
-        op10_main_text, op11_sketches, op12_repair,
+        op10_main_text, op11_sketches, op12_repair, op13_alignment,
     )
     return {f.__name__: f for f in found}
 
