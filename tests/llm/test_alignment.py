@@ -114,9 +114,10 @@ def test_groups_and_links_of_texts(tools, plain):
     assert (np.add.reduceat(x.links.counts, x.links.start[:-1]) == tools.a_bytes.size[x.a]).all()
 
 
-@pytest.mark.parametrize("chunk", [1, 50, 1 << 22])
-def test_report(spark, plain, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk,piece", [(1, 1 << 18), (50, 20), (1 << 22, 30), (1 << 22, 1 << 18)])
+def test_report(spark, plain, chunk, piece, monkeypatch):
     monkeypatch.setattr(op, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(op, "SLICE_BYTES", piece)
     texts = [*TEXTS, "The cat sat.", "The cat", "cat The sat. don't"]
     rows = [(i if i != 4 else None, t) for i, t in enumerate(texts)]
     got = {r.doc_id: tuple(r)[1:] for r in op.report(docs_frame(spark, rows, extra=True)).collect()}

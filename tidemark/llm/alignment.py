@@ -24,8 +24,10 @@ from tidemark.llm._shared import prepared, stored, utf8
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text whose tokens are multiplied together, and whose pairs share a dictionary.
+#: Bytes of text whose pairs share a dictionary.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text whose tokens are multiplied together.
+SLICE_BYTES = 1 << 18
 #: Non-zeros of the left matrix in one range of rows.
 RANGE = 1 << 18
 
@@ -175,10 +177,15 @@ class Aligned:
         self.doc_a, self.doc_b = (np.repeat(np.arange(len(texts)), n) for n in self.sizes)
         sizes = tools.a_bytes.size[self.a], tools.b_bytes.size[self.b]
         self.a_end, self.b_end = (np.cumsum(n) for n in sizes)
-        # Both spell the same bytes, so the end of each text is an end in both.
-        self.cuts = np.intersect1d(self.a_end, self.b_end)
-        self.group_a, self.group_b = (np.searchsorted(self.cuts, x) for x in (self.a_end, self.b_end))
         n_bytes = int(sizes[0].sum())
+        # Both spell the same bytes, so the end of each text is an end in both.
+        ends = np.zeros(n_bytes + 1, bool)
+        ends[self.a_end] = True
+        self.cuts = self.b_end[ends[self.b_end]]
+        ends[:] = False
+        ends[self.cuts] = True
+        ahead = np.cumsum(ends) - ends
+        self.group_a, self.group_b = ahead[self.a_end], ahead[self.b_end]
         by_byte = incidence(np.arange(n_bytes + 1), np.repeat(np.arange(len(self.b)), sizes[1]), len(self.b))
         rows = incidence(np.r_[0, self.a_end], np.arange(n_bytes), n_bytes)
         self.links = product(rows, by_byte)
@@ -268,7 +275,7 @@ def aligned(docs: DataFrame, a: str = A_FILE, b: str = B_FILE) -> DataFrame:
         tools = Tokenizers(*files)
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column("text"))]
-            for lo, hi in _chunks(texts, CHUNK_BYTES):
+            for lo, hi in _chunks(texts, SLICE_BYTES):
                 x = Aligned(tools, texts[lo:hi])
                 first = [np.cumsum(n) - n for n in x.sizes]
                 size = np.bincount(x.doc_a, weights=tools.a_bytes.size[x.a], minlength=hi - lo).astype(np.int64)
@@ -306,15 +313,25 @@ def _tokenized(docs: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in utf8(batch.column("text"))]
             for lo, hi in _chunks(texts, CHUNK_BYTES):
-                x = Aligned(tools, texts[lo:hi])
-                pairs, text, at, times = x.pairs()
-                row = {"chunk": number, "doc_id": batch.column("doc_id").slice(lo, hi - lo).to_pylist(), **x.per_text()}
-                row |= {"sha": x.digests(), "pairs": pairs, "freqs": np.bincount(at, minlength=len(pairs)).astype(np.int32)}
-                row |= {"n_pairs": np.bincount(text, minlength=hi - lo).astype(np.int32), "at": at.astype(np.int32)}
-                row["times"] = times.astype(np.int32)
+                row = {"chunk": number, "doc_id": batch.column("doc_id").slice(lo, hi - lo).to_pylist(), **chunk(tools, texts[lo:hi])}
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in kinds.items()], list(kinds))
 
+    def chunk(tools: Tokenizers, texts: list[bytes]) -> dict:
+        parts, columns = [], {n: [] for n in (*_COUNTS, "sha", "n_pairs", "times")}
+        for lo, hi in _chunks(texts, SLICE_BYTES):
+            x = Aligned(tools, texts[lo:hi])
+            pairs, text, at, times = x.pairs()
+            parts.append((pairs, at.astype(np.int32)))
+            found = {**x.per_text(), "sha": x.digests(), "n_pairs": np.bincount(text, minlength=hi - lo), "times": times}
+            for n, values in found.items():
+                columns[n].append(values)
+        row = {n: np.concatenate(v) for n, v in columns.items()}
+        row |= {n: row[n].astype(np.int32) for n in ("n_pairs", "times")}
+        row["pairs"] = np.unique(np.concatenate([p for p, _ in parts]))
+        row["at"] = np.concatenate([np.searchsorted(row["pairs"], p).astype(np.int32)[at] for p, at in parts])
+        return row | {"freqs": np.bincount(row["at"], minlength=len(row["pairs"])).astype(np.int32)}
+
     arrays = "".join(f", {n} array<long>" for n in longs) + ", sha array<string>, pairs array<long>"
     arrays += "".join(f", {n} array<int>" for n in ("freqs", "n_pairs", "at", "times"))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"chunk long{arrays}")
