@@ -1,5 +1,6 @@
 """The chunked layout must give exactly what the plain one gives."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tidemark.operators import scaling as sc
 from tidemark.operators import sequences as sq
 from tidemark.operators import training as tr
 from tidemark.operators import tuning as tu
-from tidemark.plans import PLAIN, Layout, layout_for, number_rows, over_series, quantile
+from tidemark.plans import PLAIN, Layout, layout_for, number_rows, over_series, quantile, rolling_moments
 
 LENGTHS = {"hot": 1500, "small": 40, "one": 1, "edge": 300, "mid": 301}
 
@@ -113,3 +114,33 @@ def test_empty_input(spark):
     for layout in (PLAIN, Layout(chunk_rows=300)):
         for name, job in JOBS.items():
             assert job(empty, layout).count() == 0, name
+
+
+@pytest.mark.parametrize("chunk", [None, 300])
+def test_rolling_moments_equal_numpy(spark, chunk):
+    layout = Layout(chunk_rows=chunk)
+    pdf = random_bars(4, {"a": 700, "b": 8, "c": 1})
+    pdf.loc[pdf.index % 11 == 3, "volume"] = None
+    df = spark.createDataFrame(pdf[["series_id", "dt", "volume"]].astype({"volume": object}).where(pdf.volume.notna(), None).values.tolist(), "series_id string, dt date, volume double")
+    spans = (1, 2, 7, 252)
+    got = over_series(df, lambda d, w: rolling_moments(d, w, "volume", spans, layout), layout, before=252)
+    assert got.columns == ["series_id", "dt", "volume", *[f"{c}{k}" for k in spans for c in ("_n", "_mean", "_m2")]]
+    for name, g in got.toPandas().sort_values("dt").groupby("series_id"):
+        v = g.volume.to_numpy(float)
+        for k in spans:
+            for i in range(len(v)):
+                part = v[max(0, i - k + 1) : i + 1]
+                part = part[~np.isnan(part)]
+                assert g[f"_n{k}"].iloc[i] == len(part)
+                if len(part):
+                    assert abs(g[f"_mean{k}"].iloc[i] - part.mean()) < 1e-9 * 1000
+                    assert abs(g[f"_m2{k}"].iloc[i] - ((part - part.mean()) ** 2).sum()) < 1e-6
+
+
+def test_rolling_moments_do_not_cancel(spark):
+    values = [1e9 + (i % 3) * 1e-3 for i in range(200)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "series_id string, dt int, v double")
+    got = over_series(df, lambda d, w: rolling_moments(d, w, "v", (30,))).orderBy("dt").toPandas()
+    for i in (29, 30, 77, 199):
+        part = np.array(values[i - 29 : i + 1])
+        assert abs(got._m230.iloc[i] / ((part - part.mean()) ** 2).sum() - 1) < 1e-3

@@ -21,7 +21,7 @@ from tidemark.config import (
 )
 from tidemark.functions import corrected_kurtosis, corrected_skewness, log_cosh, relative_error
 from tidemark.operators.scaling import to_scaled
-from tidemark.plans import PLAIN, Layout, over_series
+from tidemark.plans import PLAIN, Layout, over_series, rolling_moments
 
 KEYS = ("series_id", "model", "horizon")
 
@@ -117,13 +117,15 @@ def rolling_rmse(
 ) -> DataFrame:
     """Adds ``rolling_rmse`` over the last ``span`` forecasts, NULL until they exist."""
 
+    grouped = _by_group(layout)
+
     def compute(df: DataFrame, w) -> DataFrame:
-        frame = w.rowsBetween(1 - span, 0)
-        full = F.count("_sq").over(frame) == span
-        df = df.withColumn("_sq", error() * error())
-        return df.withColumn("rolling_rmse", F.when(full, F.sqrt(F.avg("_sq").over(frame)))).drop("_sq")
+        df = rolling_moments(df.withColumn("_sq", error() * error()), w, "_sq", (span,), grouped)
+        full = F.col(f"_n{span}") == span
+        df = df.withColumn("rolling_rmse", F.when(full, F.sqrt(F.col(f"_mean{span}"))))
+        return df.drop("_sq", *[f"{c}{span}" for c in ("_n", "_mean", "_m2")])
 
-    return over_series(fc, compute, _by_group(layout), before=span - 1)
+    return over_series(fc, compute, grouped, before=span - 1)
 
 
 def rolling_rmse_mean(rolled: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

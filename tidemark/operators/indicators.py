@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import LABEL_FRACTION, MA_SPANS, PRICE_QUANTILE, TRADING_DAYS, VOL_SPANS
 from tidemark.functions import change_pct, safe_ln
-from tidemark.plans import PLAIN, Layout, number_rows, over_series, quantile, running_max
+from tidemark.plans import PLAIN, Layout, number_rows, over_series, quantile, rolling_moments, running_max
 
 
 def _add_means(df: DataFrame, w, spans, decimals, value="close", shift=0, prefix="ma") -> DataFrame:
@@ -87,14 +87,12 @@ def realised_volatility(
     returns in percent, NULL until k returns exist."""
 
     def compute(df: DataFrame, w) -> DataFrame:
-        df = _add_log_return(df, w)
+        df = rolling_moments(_add_log_return(df, w), w, "log_return", spans, layout)
         out = {}
         for k in spans:
-            frame = w.rowsBetween(1 - k, 0)
-            full = F.count("log_return").over(frame) == k
-            spread = F.stddev_samp("log_return").over(frame)
-            out[f"rvol{k}"] = F.when(full, spread * F.sqrt(F.lit(float(trading_days))) * 100)
-        return df.withColumns(out)
+            spread = F.sqrt(F.try_divide(F.col(f"_m2{k}"), F.lit(float(k - 1))))
+            out[f"rvol{k}"] = F.when(F.col(f"_n{k}") == k, spread * F.sqrt(F.lit(float(trading_days))) * 100)
+        return df.withColumns(out).drop(*[f"{c}{k}" for k in spans for c in ("_n", "_mean", "_m2")])
 
     return over_series(bars, compute, layout, before=max(spans))
 

@@ -6,5 +6,6 @@ from tidemark.plans.series import (  # noqa: F401
     number_rows,
     over_series,
     quantile,
+    rolling_moments,
     running_max,
 )

@@ -132,6 +132,45 @@ def over_series(
     return compute(spread, w).filter(~F.col(_HALO)).drop(_CHUNK, _HALO)
 
 
+def rolling_moments(df: DataFrame, w: WindowSpec, value: str, spans: tuple[int, ...], layout: Layout = PLAIN) -> DataFrame:
+    """Adds ``_n<k>``, ``_mean<k>`` and ``_m2<k>``: count, mean and centred square sum of the values of
+    the last k rows, nulls not counted. For use inside ``over_series``, with its window ``w``.
+
+    Rows are cut into blocks of k; a frame of k rows is the end of one block and the start of the
+    next, so it is merged from two running aggregates, one forward and one backward in each block. The
+    cost of a row does not depend on k, and nothing is subtracted, so nothing cancels.
+    """
+    by = [*layout.keys, *([_CHUNK] if layout.chunked else [])]
+    kept = df.columns
+    df = df.withColumn("_at", F.row_number().over(w) - 1)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    for k in spans:
+        df = df.withColumn("_b", F.floor(F.col("_at") / k))
+        block = Window.partitionBy(*by, "_b")
+        for tag, order in (("_p", F.col("_at")), ("_s", F.desc("_at"))):
+            frame = block.orderBy(order).rowsBetween(*upto)
+            n = F.count(value).over(frame)
+            part = F.struct(n.alias("n"), F.avg(value).over(frame).alias("mean"), F.var_pop(value).over(frame).alias("var"))
+            df = df.withColumn(tag, part)
+        # The last row of a block closes a frame that is the block itself.
+        tail = F.when(F.col("_at") % k < k - 1, F.lag("_s", k - 1).over(w))
+        df = df.withColumn("_s", tail)
+        zero = F.lit(0.0)
+        n1, m1, v1 = (F.coalesce(F.col(f"_s.{c}"), zero) for c in ("n", "mean", "var"))
+        n2, m2, v2 = (F.coalesce(F.col(f"_p.{c}"), zero) for c in ("n", "mean", "var"))
+        n = n1 + n2
+        gap = m2 - m1
+        both = F.try_divide(n1 * n2, n) * gap * gap
+        df = df.withColumns(
+            {
+                f"_n{k}": n,
+                f"_mean{k}": F.try_divide(n1 * m1 + n2 * m2, n),
+                f"_m2{k}": n1 * v1 + n2 * v2 + F.coalesce(both, zero),
+            }
+        )
+    return df.select(*kept, *[f"{c}{k}" for k in spans for c in ("_n", "_mean", "_m2")])
+
+
 def running_max(df: DataFrame, value: str, out: str, layout: Layout = PLAIN) -> DataFrame:
     """Largest value up to and including the row."""
     upto = (Window.unboundedPreceding, Window.currentRow)
