@@ -89,3 +89,43 @@ def test_models_share_a_log(spark):
     logs = spark.createDataFrame([("base", 0, 1.0), ("base", 1, 0.5), ("other", 0, 9.0)], "model string, epoch int, loss double")
     got = lk.with_log_of_model(models, logs, {"m1": "base", "m2": "base"}).collect()
     assert sorted((r.model, r.epoch) for r in got) == [("m1", 0), ("m1", 1), ("m2", 0), ("m2", 1)]
+
+
+def _cells(df):
+    return df.select("lo", "hi", lk.dyadic_cover(F.col("lo"), F.col("hi")).alias("c"))
+
+
+def test_covers_are_exact_and_small(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(0, 1), (5, 5), (9, 3), (0, 1 << 22), (15, 17), (16, 32), (255, 4097), ((1 << 22) - 1, 1 << 22)]
+    pairs += [tuple(sorted(map(int, rng.integers(0, 9000, 2)))) for _ in range(200)]
+    for lo, hi, cells in _cells(spark.createDataFrame(pairs, "lo int, hi int")).collect():
+        spans = sorted((c.cell << 4 * c.level, (c.cell + 1) << 4 * c.level) for c in cells)
+        assert len(cells) <= 30 * 6 and spans == sorted(set(spans))
+        at = lo
+        for a, b in spans:  # they follow each other without a gap
+            assert a == at
+            at = b
+        assert at == hi or (hi <= lo and not spans)
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_interval_join_matches_brute_force(spark, data, keyed):
+    pdf, bars = data
+    rng = np.random.default_rng(3)
+    spans = [(str(s), dt.date(2001, 1, 1) + dt.timedelta(days=int(a)), dt.date(2001, 1, 1) + dt.timedelta(days=int(a + n)), i)
+             for i, (s, a, n) in enumerate(zip(rng.choice(["a", "b", "z"], 150), rng.integers(-400, 300, 150), rng.integers(-3, 500, 150)))]
+    spans += [("a", dt.date(1, 1, 1), None, 1000), ("b", dt.date(2001, 2, 1), None, 1001), ("a", None, dt.date(2002, 1, 1), 1002), ("a", dt.date(1900, 1, 1), dt.date(9999, 12, 31), 1003)]
+    table = spark.createDataFrame(spans, "series_id string, start date, end date, label long")
+    rows = bars.select("series_id", "dt", "close")
+    got = lk.interval_join(rows, table, ("series_id",)) if keyed else lk.interval_join(rows, table.drop("series_id"))
+    assert got.columns == ["series_id", "dt", "close", "start", "end", "label"]
+    want = sorted(
+        (r.series_id, r.dt, label) for r in pdf.itertuples() for s, a, b, label in spans
+        if a is not None and a <= r.dt and (b is None or r.dt < b) and (not keyed or s == r.series_id)
+    )
+    assert sorted((r.series_id, r.dt, r.label) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert lk.interval_join(rows.limit(0), table.drop("series_id")).collect() == []
+    assert lk.interval_join(rows, table.limit(0), ("series_id",)).collect() == []

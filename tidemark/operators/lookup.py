@@ -102,30 +102,79 @@ def tag_regimes(rows: DataFrame, regimes: Sequence[tuple[str, str | None, str]]
     return rows.withColumn("regime", regime_of(F.col("dt"), regimes)).filter(F.col("regime").isNotNull())
 
 
-def interval_join(rows: DataFrame, intervals: DataFrame, last: str = "9999-12-31") -> DataFrame:
-    """Rows with every interval ``(start, end, label)`` of a *table* that contains their date.
+#: Days are counted from here on and an open interval ends at this power of two, after any date.
+_DAY_ZERO, _DAY_BITS = -(1 << 20), 22
+#: A cell of level l is 2^(_STEP l) days long and starts at a multiple of that.
+_STEP = 4
+#: Cells from this level on are shared by so many rows that they are salted.
+_WIDE_LEVEL = 2
 
-    Intervals are spread over the calendar months they touch and matched by month first, so
-    the join is an equi-join with candidates from one month only; the exact bounds are checked
-    on those. An open interval (NULL end) ends with the data, whose date range is one row.
+
+def _day(column: Column) -> Column:
+    return F.unix_date(column) - _DAY_ZERO
+
+
+def dyadic_cover(start: Column, end: Column) -> Column:
+    """The aligned cells that a half-open interval of day numbers is made of, largest inside, none twice:
+    ``array<struct<level int, cell int>>``. Up to 15 cells a level and side, empty if end <= start."""
+
+    def climb(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        up_lo, up_hi = F.shiftright(lo + ((1 << _STEP) - 1), _STEP), F.shiftright(hi, _STEP)
+        # On the last level, or where no larger cell fits, all that is left is covered with cells of this one.
+        last = (level == _DAY_BITS // _STEP) | (up_lo >= up_hi)
+        left_end = F.when(last, hi).otherwise(F.shiftleft(up_lo, _STEP))
+        right_start = F.when(last, hi).otherwise(F.shiftleft(up_hi, _STEP))
+        none = F.array().cast("array<struct<level:int,cell:int>>")
+
+        def cells(a: Column, b: Column) -> Column:
+            whole = F.transform(F.sequence(a, b - 1), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+            return F.when(a < b, whole).otherwise(none)
+
+        found = F.concat(acc["cells"], cells(lo, left_end), cells(right_start, hi))
+        return F.struct(
+            F.when(last, 0).otherwise(up_lo).alias("lo"), F.when(last, 0).otherwise(up_hi).alias("hi"), found.alias("cells")
+        )
+
+    begin = F.struct(
+        start.cast("int").alias("lo"), end.cast("int").alias("hi"), F.array().cast("array<struct<level:int,cell:int>>").alias("cells")
+    )
+    levels = F.sequence(F.lit(0), F.lit(_DAY_BITS // _STEP))
+    return F.aggregate(levels, begin, climb, lambda acc: acc["cells"])
+
+
+def interval_join(
+    rows: DataFrame, intervals: DataFrame, keys: Sequence[str] = (), salts: int = 16
+) -> DataFrame:
+    """Rows with every interval ``(*keys, start, end, ...)`` of a *table* that contains their date.
+
+    Each interval becomes the few aligned cells of 1, 16, 256, ... days that it is made of, and each
+    row looks up the one cell of each size that its date lies in: an equi-join whose matches need no
+    further check, whatever the intervals' lengths and however many of them there are. With ``keys``
+    an interval meets rows of its own series only; without, rows that share a long cell are spread over
+    ``salts`` copies of it. A NULL end is open; empty intervals and NULL dates match nothing.
     """
-    bounds = rows.agg(F.min("dt").alias("_lo"), F.max("dt").alias("_hi"))
-    clipped = intervals.join(F.broadcast(bounds)).select(
-        "start",
-        "end",
-        "label",
-        F.trunc(F.greatest("start", "_lo"), "MM").alias("_a"),
-        F.trunc(F.least(F.coalesce("end", F.lit(last).cast("date")), F.col("_hi")), "MM").alias("_b"),
-    )
-    months = F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 MONTH")))
-    spread = clipped.filter("_a <= _b").withColumn("_month", months)
-    inside = (F.col("dt") >= F.col("start")) & (F.col("end").isNull() | (F.col("dt") < F.col("end")))
-    return (
-        rows.withColumn("_month", F.trunc("dt", "MM"))
-        .join(spread.drop("_a", "_b"), "_month")
-        .filter(inside)
-        .drop("_month")
-    )
+    keys = list(keys)
+    payload = [c for c in intervals.columns if c not in keys]
+    ends = F.coalesce(_day("end"), F.lit(1 << _DAY_BITS))
+    cover = F.explode(dyadic_cover(_day("start"), ends))
+    wide = lambda level: F.when(level >= _WIDE_LEVEL, salts).otherwise(1) if not keys else F.lit(1)
+    spread = intervals.filter(F.col("start").isNotNull()).select(*keys, F.struct(*payload).alias("_interval"), cover.alias("_c"))
+    spread = spread.select(*keys, "_interval", F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), wide(F.col("_level")) - 1)))
+    day = _day("dt")
+    place = F.xxhash64(*[c for c in ("series_id", "dt") if c in rows.columns])
+    probes = [
+        F.struct(
+            F.lit(level).alias("_level"),
+            F.shiftright(day, level * _STEP).alias("_cell"),
+            F.pmod(place, wide(F.lit(level))).cast("int").alias("_salt"),
+        )
+        for level in range(_DAY_BITS // _STEP + 1)
+    ]
+    at = [*keys, "_level", "_cell", "_salt"]
+    probed = rows.filter(F.col("dt").isNotNull()).select("*", F.inline(F.array(*probes)))
+    return probed.join(spread, at).select(*rows.columns, "_interval.*")
 
 
 def with_log_of_model(models: DataFrame, logs: DataFrame, mapping: dict[str, str]) -> DataFrame:
