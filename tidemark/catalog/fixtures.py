@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import ForecastSpec
+from tidemark.operators.tournament import Plan
 from tidemark.sources import daily_bars
 
 # Parameters inside the tables' date range (1995 to 2001); one event lies after its end.
@@ -26,8 +28,12 @@ RATES = (0.1, 0.5)
 EPOCHS = 60
 PATIENCE = 5
 PENALTIES = (0.0, 0.01, 0.1, 1.0)
+GRAM_PENALTIES = (0.0, 0.1, 1.0)
+GRAM_SPEC = ForecastSpec("ridge2", 2, 1, 1, close_only=True)
 GRID_FEATURES = ("open", "high", "low", "close", "adj_close")
 CHUNK_ROWS = 512
+SPAN_SERIES = 10
+TOURNAMENT = Plan()
 
 # (column, decimal digits): unique within a series-day, most significant first.
 _LINE_ORDER = [("l_orderkey", 13), ("l_linenumber", 2), ("l_partkey", 12), ("l_suppkey", 11)]
@@ -80,6 +86,18 @@ def arrivals(spark, sf_dir) -> DataFrame:
     )
 
 
+def order_spans(spark, sf_dir) -> DataFrame:
+    """Many long intervals per series: each order keeps its customer's supplier busy for up to two years."""
+    orders = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date")
+    return orders.select(
+        (F.col("o_custkey") % SPAN_SERIES + 1).cast("string").alias("series_id"),
+        day.alias("start"),
+        F.when(F.col("o_orderkey") % 50 != 0, F.date_add(day, (F.col("o_orderkey") % 700).cast("int"))).alias("end"),
+        F.col("o_orderkey").alias("label"),
+    )
+
+
 def order_seasons(spark, sf_dir) -> DataFrame:
     """Overlapping intervals from the orders table: each order year, reaching 90 days on."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d"))

@@ -7,7 +7,7 @@ DataFrame side but the parameters.
 from __future__ import annotations
 
 from tidemark.catalog import fixtures as fx
-from tidemark.config import LOOKBACKS
+from tidemark.config import LOOKBACKS, REGISTRY
 from tidemark.schema import FEATURES
 
 _SQL: dict[str, str] = {}
@@ -203,6 +203,10 @@ put("regime_table_join", FLAG, """seasons AS (SELECT CAST(min(o_orderdate) AS DA
     FROM orders GROUP BY year(o_orderdate))""",
     select="""SELECT series_id, dt, close, "start", "end", label FROM bars
     JOIN seasons ON dt >= "start" AND dt < "end" """)
+put("open_intervals_by_bar", SUPPLIER, f"""spans AS (SELECT CAST(o_custkey % {fx.SPAN_SERIES} + 1 AS VARCHAR) AS series_id,
+    CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 700 AS INTEGER) END AS b,
+    o_orderkey AS label FROM orders)""", select="""SELECT series_id, dt, count(*) AS n_open, min(label) AS first_label,
+    CAST(sum(label) AS BIGINT) AS label_sum FROM bars JOIN spans USING (series_id) WHERE dt >= a AND (b IS NULL OR dt < b) GROUP BY ALL""")
 _pens = ", ".join(f"(CAST({p} AS DOUBLE))" for p in fx.PENALTIES)
 _feats = ", ".join(f"('{f}')" for f in fx.GRID_FEATURES)
 put("param_grid", SUPPLIER, select=f"""SELECT DISTINCT series_id AS model, f AS param_feature, p AS param_penalty
@@ -264,6 +268,10 @@ for _name, _src, _shape in (
     ("seq_targets_2", FLAG, (7, 2, FEATURES)),
 ):
     put(_name, _src, SCALED, select=_windows(*_shape))
+put("seq_all_shapes", FLAG, SCALED, select=" UNION ALL ".join(
+    f"SELECT '{s.key}' AS spec, * FROM ({_windows(s.n_inputs, s.n_predictions, ('close',) if s.close_only else FEATURES[:s.n_features])})"
+    for s in REGISTRY.values()
+))
 put("tail_validation", SUPPLIER, NUMBERED, """samples AS (SELECT series_id, dt,
     rn - 10 > floor((n - 10) * 0.8) AS is_validation FROM numbered WHERE rn > 10)""",
     select="""SELECT series_id, is_validation, count(*) AS n, min(dt) AS first_dt, max(dt) AS last_dt
@@ -307,6 +315,35 @@ put("forecast_one_lag", SUPPLIER, *FC, select=_fc_cols)
 put("forecast_one_lag_long", FLAG, *FC, select=_fc_cols)
 put("forecast_warm_start", FLAG, NUMBERED, SPLIT, _fc(True), select=_fc_cols)
 
+
+
+def _ar(p: int) -> str:
+    """Normal equations of p lags, solved by Cramer's rule on population covariances."""
+    lags = ", ".join(f"lag(close, {i}) OVER {W} AS x{i}" for i in range(1, p + 1))
+    train = f"FILTER (WHERE is_train AND rn > {p})"
+    c = {(i, j): f"(covar_pop(x{i}, x{j}) {train})" for i in range(1, p + 1) for j in range(1, p + 1)}
+    rhs = {i: f"(covar_pop(close, x{i}) {train})" for i in range(1, p + 1)}
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        minors = [[row[:j] + row[j + 1 :] for row in m[1:]] for j in range(len(m))]
+        return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {det(minors[j])}" for j in range(len(m))) + ")"
+
+    whole = [[c[i, j] for j in range(1, p + 1)] for i in range(1, p + 1)]
+    swapped = lambda k: [[rhs[i] if j == k else c[i, j] for j in range(1, p + 1)] for i in range(1, p + 1)]
+    fits = ", ".join(f"{det(swapped(k))} / {det(whole)} AS a{k}, avg(x{k}) {train} AS m{k}" for k in range(1, p + 1))
+    pred = "m0 + " + " + ".join(f"a{k} * (x{k} - m{k})" for k in range(1, p + 1))
+    return f"""lagged AS (SELECT series_id, dt, close, rn, split_at, is_train, {lags} FROM split),
+  fits AS (SELECT series_id, avg(close) {train} AS m0, {fits} FROM lagged GROUP BY series_id),
+  fc AS (SELECT series_id, dt, 'ar{p}' AS model, 1 AS horizon, close AS y_true, {pred} AS y_pred
+    FROM lagged JOIN fits USING (series_id) WHERE rn - {p} > split_at)"""
+
+
+put("ar2_forecasts", SUPPLIER, NUMBERED, SPLIT, _ar(2), select=_fc_cols)
+put("ar3_forecasts", SUPPLIER, NUMBERED, SPLIT, _ar(3), select=_fc_cols)
+put("ar3_forecasts_long", FLAG, NUMBERED, SPLIT, _ar(3), select=_fc_cols)
+
 # --- evaluation ---------------------------------------------------------------------------
 put("fc_metrics", SUPPLIER, *FC, select=f"""SELECT {G}, {r(f'avg({E} * {E})', 1, 'mse')},
   {r(f'sqrt(avg({E} * {E}))', 3, 'rmse')}, {r(f'avg(abs({E} / (abs(y_true) + 1e-8))) * 100', 3, 'mape')},
@@ -491,6 +528,39 @@ SWEEP = f"""pm AS (SELECT *, {_past} FROM split WHERE is_train),
     FROM sp JOIN sfit USING (series_id, inputs) WHERE late GROUP BY series_id, inputs)"""
 
 
+def _ridge2(where: str) -> str:
+    """Ridge of two standardised lags; the penalty is divided by the target's deviation."""
+    stats = {"y": "close", "x1": "x1", "x2": "x2"}
+    means = ", ".join(f"avg({v}) FILTER ({where}) AS m_{k}, stddev_pop({v}) FILTER ({where}) AS s_{k}" for k, v in stats.items())
+    cov = ", ".join(f"covar_pop({a}, {b}) FILTER ({where}) AS c_{a}_{n}" for a, b, n in (("x1", "x2", "x2"), ("x1", "close", "y"), ("x2", "close", "y")))
+    return f"{means}, {cov}"
+
+
+_BETA = """SELECT *, (d * r1 - c * r2) / (d * d - c * c) * s_y / s_x1 AS a1, (d * r2 - c * r1) / (d * d - c * c) * s_y / s_x2 AS a2 FROM (
+    SELECT *, 1 + p / s_y AS d, c_x1_x2 / (s_x1 * s_x2) AS c, c_x1_y / (s_x1 * s_y) AS r1, c_x2_y / (s_x2 * s_y) AS r2
+    FROM {} CROSS JOIN (SELECT unnest([{}]) AS p))"""
+_PENALTY_LIST = ", ".join(f"{p}::DOUBLE" for p in fx.GRAM_PENALTIES)
+GRAM_GRID = f"""pairs AS (
+    SELECT series_id, dt, rn, split_at, lo, hi, (close - lo) / (hi - lo) AS close, (lag(close, 1) OVER {W} - lo) / (hi - lo) AS x1,
+      (lag(close, 2) OVER {W} - lo) / (hi - lo) AS x2
+    FROM split JOIN (SELECT series_id, min(close) AS lo, max(close) AS hi FROM bars GROUP BY series_id) USING (series_id)),
+  folded AS (SELECT *, ntile(2) OVER {W} AS fold FROM pairs WHERE rn > 2 AND rn <= split_at),
+  moments AS (SELECT series_id, f, {_ridge2("fold <> f")} FROM folded CROSS JOIN (SELECT unnest([1, 2]) AS f) GROUP BY series_id, f),
+  fits AS ({_BETA.format("moments", _PENALTY_LIST)}),
+  scores AS (
+    SELECT series_id, p, -avg(mse) AS score FROM (
+      SELECT series_id, p, f, avg(pow(close - m_y - a1 * (x1 - m_x1) - a2 * (x2 - m_x2), 2)) AS mse
+      FROM folded JOIN fits USING (series_id) WHERE fold = f GROUP BY ALL)
+    GROUP BY ALL),
+  cells AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, p) = 1 AS is_best FROM scores),
+  refits AS ({_BETA.format(f"(SELECT series_id, {_ridge2('TRUE')} FROM folded GROUP BY series_id)", _PENALTY_LIST)})"""
+put("gram_grid_scores", SUPPLIER, NUMBERED, SPLIT, GRAM_GRID,
+    select=f"SELECT series_id, p AS param_reg, {r('score', 9, 'mean_test_score')}, is_best FROM cells")
+put("gram_grid_refit", SUPPLIER, NUMBERED, SPLIT, GRAM_GRID, select=f"""SELECT series_id, dt, 1 AS horizon,
+    {r('lo + (hi - lo) * close', 4, 'y_true')}, {r('lo + (hi - lo) * (m_y + a1 * (x1 - m_x1) + a2 * (x2 - m_x2))', 4, 'y_pred')}
+  FROM pairs JOIN refits USING (series_id) JOIN cells USING (series_id, p) WHERE is_best AND rn - 2 > split_at""")
+
+
 def put_sweep(name: str, select: str) -> None:
     put(name, SUPPLIER, NUMBERED, SPLIT, SWEEP, select=select)
 
@@ -505,5 +575,53 @@ put_sweep("tuner_norm", f"""SELECT series_id, inputs, val_loss,
 put_sweep("tuner_top_row", "SELECT series_id, inputs, val_loss FROM sweep ORDER BY val_loss, series_id, inputs LIMIT 1")
 
 
+
+# --- tournament -----------------------------------------------------------------------------
+def _rung(r: int) -> str:
+    """Losses and promotions of a rung: entrants of the bracket that starts here, and whom the rung below promoted."""
+    plan = fx.TOURNAMENT
+    keep = "1" if r + 1 == plan.rungs else f"greatest(1, count(*) OVER (PARTITION BY series_id, bracket) // {plan.eta})"
+    before = f" UNION ALL SELECT series_id, bracket, inputs, penalty FROM rung{r - 1} WHERE promoted" if r else ""
+    return f"""tried{r} AS (SELECT series_id, bracket, inputs, penalty FROM (SELECT DISTINCT series_id FROM cells) CROSS JOIN entrants WHERE starts = {r}{before}),
+  fits{r} AS (SELECT series_id, inputs, count(*) AS n_train, covar_pop(y, x) / var_pop(x) AS slope, avg(x) AS mx, avg(y) AS my
+    FROM cells WHERE NOT late AND h < '{plan.limits()[r]}' GROUP BY ALL),
+  loss{r} AS (SELECT series_id, bracket, inputs, penalty, any_value(n_train) AS n_train,
+      round(avg(pow(y - my - coalesce(slope, 0) / (1 + penalty) * (x - mx), 2)), 0) AS val_loss
+    FROM tried{r} JOIN fits{r} USING (series_id, inputs) JOIN cells USING (series_id, inputs) WHERE late GROUP BY ALL),
+  rung{r} AS (SELECT *, {r} AS rung, round({plan.budgets()[r]!r}::DOUBLE, 9) AS budget,
+      row_number() OVER (PARTITION BY series_id, bracket ORDER BY val_loss, inputs, penalty) <= {keep} AS promoted FROM loss{r})"""
+
+
+def put_tournament(name: str, select: str) -> None:
+    plan = fx.TOURNAMENT
+    entrants = ", ".join(f"({b}, {s}, {k}, {p}::DOUBLE)" for b, s, k, p in plan.entrants())
+    frame = lambda k: f"(PARTITION BY series_id ORDER BY dt ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+    past = ", ".join(
+        f"CASE WHEN count(*) OVER {frame(k)} = {k} THEN CAST(sum(CAST(close AS DECIMAL(18,2))) OVER {frame(k)} AS DOUBLE) / {k} END AS p{k}"
+        for k in plan.sizes
+    )
+    cells = " UNION ALL ".join(
+        f"""SELECT series_id, {k} AS inputs, close AS y, p{k} AS x, rn - {k} > floor((split_at - {k}) * 0.8::DOUBLE) AS late,
+      substr(md5(series_id || '/' || CAST(dt AS VARCHAR)), 1, 8) AS h FROM wide WHERE p{k} IS NOT NULL"""
+        for k in plan.sizes
+    )
+    whole = " UNION ALL ".join(
+        f"SELECT series_id, bracket, rung, inputs, penalty, budget, n_train, val_loss, promoted FROM rung{r}" for r in range(plan.rungs)
+    )
+    put(
+        name, SUPPLIER, NUMBERED, SPLIT, f"entrants(bracket, starts, inputs, penalty) AS (VALUES {entrants})",
+        f"wide AS (SELECT series_id, dt, close, rn, split_at, {past} FROM split WHERE is_train)", f"cells AS ({cells})",
+        *[_rung(r) for r in range(plan.rungs)], f"results AS ({whole})", select=select,
+    )
+
+
+put_tournament("tournament_rungs", "SELECT * FROM results")
+put_tournament("tournament_winners", """SELECT series_id, inputs, penalty, val_loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY val_loss, inputs, penalty) AS place FROM results
+    WHERE promoted AND rung = (SELECT max(rung) FROM results)) WHERE place = 1""")
+put_tournament("tournament_costs", """SELECT bracket, rung, count(*) AS configs, count(*) FILTER (WHERE promoted) AS promotions,
+    CAST(sum(n_train) AS BIGINT) AS samples FROM results GROUP BY ALL""")
+
+
 def statements() -> dict[str, str]:
     return dict(_SQL)

@@ -11,12 +11,16 @@ from tidemark.catalog import fixtures as fx
 from tidemark.config import LOOKBACKS, REGISTRY
 from tidemark.operators import evaluate as ev
 from tidemark.operators import forecast as fo
+from tidemark.operators import gram as gr
 from tidemark.operators import indicators as ind
 from tidemark.operators import lookup as lk
 from tidemark.operators import returns as ret
+from tidemark.operators import descent as ds
+from tidemark.operators import families as fam
 from tidemark.operators import scaling as sc
 from tidemark.operators import sequences as sq
 from tidemark.operators import training as tr
+from tidemark.operators import tournament as to
 from tidemark.operators import tuning as tu
 from tidemark.plans import PLAIN, Layout, number_rows
 from tidemark.schema import FEATURES
@@ -292,6 +296,15 @@ def regime_table_join(spark, sf):
     return lk.interval_join(bars, fx.order_seasons(spark, sf))
 
 
+@query
+def open_intervals_by_bar(spark, sf):
+    bars = fx.supplier_bars(spark, sf).select("series_id", "dt")
+    hits = lk.interval_join(bars, fx.order_spans(spark, sf), ("series_id",))
+    return hits.groupBy("series_id", "dt").agg(
+        F.count(F.lit(1)).alias("n_open"), F.min("label").alias("first_label"), F.sum("label").alias("label_sum")
+    )
+
+
 @query
 def param_grid(spark, sf):
     models = fx.supplier_bars(spark, sf).select(F.col("series_id").alias("model")).distinct()
@@ -335,12 +348,13 @@ def chrono_split_long(spark, sf):
     return sc.split_summary(sc.chronological_split(fx.flag_bars(spark, sf), layout=LONG))
 
 
-def _window_digest(samples):
+def _window_digest(samples, *keys):
     """A sample table as scalars: shape, ends and a position-weighted sum of each window."""
     flat = F.flatten("X")
     pairs = F.transform(flat, lambda v, i: v * (i + 1))
     total = F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)
     digest = samples.select(
+        *keys,
         "series_id",
         "dt",
         F.size("X").alias("n_inputs"),
@@ -374,6 +388,14 @@ def seq_windows_long(spark, sf):
     return _window_digest(sq.sequences(_scaled(fx.flag_bars(spark, sf), LONG), 10, 1, 6, layout=LONG))
 
 
+@query
+def seq_all_shapes(spark, sf):
+    """Every registered shape from one window per row."""
+    rows = number_rows(_scaled(fx.flag_bars(spark, sf)))
+    samples = fam.shared_samples(rows, list(REGISTRY.values()), ("n",))
+    return _window_digest(samples, "spec")
+
+
 @query
 def seq_five_features(spark, sf):
     return _window_digest(sq.sequences(_scaled(fx.flag_bars(spark, sf)), 10, 1, 5))
@@ -435,6 +457,21 @@ def forecast_one_lag_long(spark, sf):
     return rounded(_forecasts(fx.flag_bars(spark, sf), layout=LONG), "y_pred", digits=4)
 
 
+@query
+def ar2_forecasts(spark, sf):
+    return rounded(gr.ar_p(fx.supplier_bars(spark, sf), 2), "y_pred", digits=4)
+
+
+@query
+def ar3_forecasts(spark, sf):
+    return rounded(gr.ar_p(fx.supplier_bars(spark, sf), 3), "y_pred", digits=4)
+
+
+@query
+def ar3_forecasts_long(spark, sf):
+    return rounded(gr.ar_p(fx.flag_bars(spark, sf), 3, layout=LONG), "y_pred", digits=4)
+
+
 @query
 def fc_metrics(spark, sf):
     out = ev.metrics(_forecasts(fx.supplier_bars(spark, sf)))
@@ -630,6 +667,24 @@ def grid_by_feature(spark, sf):
     return rounded(out, "mean_score", digits=12)
 
 
+def _gram_cells(bars):
+    split = sc.chronological_split(sc.fit_scale(bars.select("series_id", "dt", "close"), ("close",)))
+    samples = sq.sequences(split.filter("is_train"), 2, 1, close_only=True)
+    return gr.grid_search(samples, reg_params=fx.GRAM_PENALTIES, elastic_net=(0.0,))
+
+
+@query
+def gram_grid_scores(spark, sf):
+    cells = _gram_cells(fx.supplier_bars(spark, sf))
+    return rounded(cells.select("series_id", "param_reg", "mean_test_score", "is_best"), "mean_test_score", digits=9)
+
+
+@query
+def gram_grid_refit(spark, sf):
+    out = gr.refit_forecasts(fx.supplier_bars(spark, sf), fx.GRAM_SPEC, fx.GRAM_PENALTIES, (0.0,))
+    return rounded(out.drop("model"), "y_pred", "y_true", digits=4)
+
+
 def _sweep(bars):
     return rounded(tu.lookback_scores(bars), "val_loss", digits=2)
 
@@ -654,6 +709,25 @@ def tuner_top_row(spark, sf):
     return tu.best_rows(_sweep(fx.supplier_bars(spark, sf)), 1)
 
 
+def _tournament(spark, sf):
+    return to.tournament(fx.supplier_bars(spark, sf), fx.TOURNAMENT, loss_digits=0)
+
+
+@query
+def tournament_rungs(spark, sf):
+    return rounded(_tournament(spark, sf), "budget", digits=9)
+
+
+@query
+def tournament_winners(spark, sf):
+    return to.winners(_tournament(spark, sf))
+
+
+@query
+def tournament_costs(spark, sf):
+    return to.rung_costs(_tournament(spark, sf))
+
+
 # --- Spark ML (rows-only in the driver's check; unit tests cover the values) ----------------
 
 
@@ -662,6 +736,44 @@ def ml_lag_regression(spark, sf):
     return fo.train_and_score(fx.supplier_bars(spark, sf), REGISTRY["lstm_exp"])
 
 
+@query
+def ml_series_regression(spark, sf):
+    """A fit per series of the same shape as `ml_lag_regression`, which pools them."""
+    return gr.lag_regression(fx.supplier_bars(spark, sf), REGISTRY["lstm_exp"], penalty=1e-6)
+
+
+@query
+def ml_series_two_step(spark, sf):
+    return gr.lag_regression(fx.supplier_bars(spark, sf), REGISTRY["deep"], penalty=1e-6)
+
+
+def _lag_samples(spark, sf):
+    split = sc.chronological_split(sc.fit_scale(fx.supplier_bars(spark, sf)))
+    return sq.tail_validation(sq.spec_sequences(split.filter("is_train"), REGISTRY["lstm_exp"]))
+
+
+@query
+def ml_training_log(spark, sf):
+    """The log of a mini-batch fit that stops early, as the log analyses read it."""
+    how = ds.Descent(rate=0.01, batch=64, epochs=12, patience=2, shards=4)
+    return ds.log_table(spark, {"lag_adam": ds.fit_epochs(_lag_samples(spark, sf), how)})
+
+
+@query
+def ml_seven_families(spark, sf):
+    """Scorecard of the seven registered forecasters on the days all of them cover."""
+    fc = fam.family_forecasts(fx.flag_bars(spark, sf))
+    return ev.scorecard(ev.common_dates(fc.filter("horizon = 1")))
+
+
+@query
+def ml_grid_one_pass(spark, sf):
+    """The cells of `ml_grid_cv`, from the moments of its folds."""
+    split = sc.chronological_split(sc.fit_scale(fx.supplier_bars(spark, sf)))
+    samples = sq.spec_sequences(split.filter("is_train"), REGISTRY["lstm_grid"])
+    return gr.grid_search(samples, by=()).select("param_reg", "param_elastic_net", "mean_test_score", "is_best")
+
+
 @query
 def ml_two_step(spark, sf):
     return fo.train_and_score(fx.supplier_bars(spark, sf), REGISTRY["deep"])

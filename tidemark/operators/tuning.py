@@ -175,6 +175,7 @@ def cross_validated_grid(
     folds: int = GRID_FOLDS,
     parallelism: int = 4,
     max_iter: int = 20,
+    tol: float = 1e-6,
 ) -> tuple[DataFrame, CrossValidatorModel]:
     """Spark ML grid search with contiguous folds over pooled samples.
 
@@ -185,7 +186,7 @@ def cross_validated_grid(
         "features", F.col("y")[0].alias("label"), "fold"
     )
     ready = materialise(ready)  # read by every cell and fold
-    lr = LinearRegression(maxIter=max_iter)
+    lr = LinearRegression(maxIter=max_iter, tol=tol)
     grid = (
         ParamGridBuilder()
         .addGrid(lr.regParam, list(reg_params))
