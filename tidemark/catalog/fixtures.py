@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ForecastSpec
 from tidemark.operators.tournament import Plan
 from tidemark.sources import daily_bars
+from tidemark.sources.upkeep import day_states
 
 # Parameters inside the tables' date range (1995 to 2001); one event lies after its end.
 EVENTS = (
@@ -33,6 +34,7 @@ GRAM_SPEC = ForecastSpec("ridge2", 2, 1, 1, close_only=True)
 GRID_FEATURES = ("open", "high", "low", "close", "adj_close")
 CHUNK_ROWS = 512
 SPAN_SERIES = 10
+SKETCHED = (0.1, 0.5, 0.9)
 TOURNAMENT = Plan()
 
 # (column, decimal digits): unique within a series-day, most significant first.
@@ -66,6 +68,37 @@ def supplier_bars(spark, sf_dir) -> DataFrame:
     return line_bars(spark, sf_dir, "l_suppkey")
 
 
+def line_ticks(spark, sf_dir) -> DataFrame:
+    """Raw priced rows: many a day."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").cast("date").alias("dt"), F.col("l_extendedprice").alias("close")
+    )
+
+
+def line_texts(spark, sf_dir) -> DataFrame:
+    """Shipped lines as text a file would hold, some of them damaged by their order's key."""
+    key, price = F.col("l_orderkey"), F.col("l_extendedprice")
+    fields = F.array(
+        F.when(key % 41 == 0, "n/a").otherwise(F.col("l_shipdate").cast("date").cast("string")),
+        F.when(key % 43 == 0, "x").otherwise(price.cast("string")),
+        F.when(key % 53 == 0, price - 5).otherwise(price + 1).cast("string"),
+        (price - 1).cast("string"),
+        price.cast("string"),
+        F.when(key % 61 == 0, "NaN").otherwise(price.cast("string")),
+        F.col("l_quantity").cast("string"),
+    )
+    kept = F.when(key % 47 == 0, F.slice(fields, 1, 6)).otherwise(fields)
+    text = F.when(key % 59 == 0, "").otherwise(F.concat_ws(",", kept))
+    return table(spark, sf_dir, "lineitem").select(text.alias("value"), F.col("l_returnflag").alias("flag"))
+
+
+def line_states(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    return day_states(
+        rows, series="l_returnflag", ts="l_shipdate", price="l_extendedprice", volume="l_quantity", sequence=_LINE_ORDER,
+        adj_price=F.col("l_extendedprice") * (1 - F.col("l_discount")),
+    )
+
+
 def order_bars(spark, sf_dir) -> DataFrame:
     return daily_bars(
         table(spark, sf_dir, "orders"),

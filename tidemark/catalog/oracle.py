@@ -58,6 +58,14 @@ NUMBERED = f"""numbered AS (
   SELECT *, row_number() OVER {W} AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM bars)"""
 put("bars_numbered", FLAG, NUMBERED, select="SELECT series_id, dt, close, rn, n FROM numbered")
 
+put("checked_lines", """judged AS (SELECT l_returnflag AS flag, CASE WHEN l_orderkey % 59 = 0 THEN 'empty' WHEN l_orderkey % 47 = 0 THEN 'columns'
+    WHEN l_orderkey % 41 = 0 THEN 'dt' WHEN l_orderkey % 43 = 0 THEN 'open' WHEN l_orderkey % 61 = 0 THEN 'adj_close'
+    WHEN l_orderkey % 53 = 0 THEN 'range' ELSE 'accepted' END AS outcome FROM lineitem)""",
+    select="SELECT flag, outcome, count(*) AS n FROM judged GROUP BY ALL")
+put("upkeep_days", FLAG, select=_bar_cols)
+put("upkeep_running", FLAG, select=f"""SELECT series_id, dt, close, row_number() OVER {W} AS rn, max(close) OVER {W[:-1]} ROWS UNBOUNDED PRECEDING)
+    AS running_high, sum(volume) OVER {W[:-1]} ROWS UNBOUNDED PRECEDING) AS running_volume FROM bars""")
+
 
 # --- indicators ---------------------------------------------------------------------------
 def _ma(k: int) -> str:
@@ -203,6 +211,11 @@ put("regime_table_join", FLAG, """seasons AS (SELECT CAST(min(o_orderdate) AS DA
     FROM orders GROUP BY year(o_orderdate))""",
     select="""SELECT series_id, dt, close, "start", "end", label FROM bars
     JOIN seasons ON dt >= "start" AND dt < "end" """)
+put("kll_quantile_bounds", "ticks AS (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS dt FROM lineitem)", f"""levels AS (
+    SELECT series_id, 'month' AS level, CAST(date_trunc('month', dt) AS DATE) AS period FROM ticks
+    UNION ALL SELECT series_id, 'year', CAST(date_trunc('year', dt) AS DATE) FROM ticks UNION ALL SELECT series_id, 'all', NULL FROM ticks)""",
+    select=f"""SELECT series_id, level, period, q, count(*) AS n, TRUE AS within_bound
+    FROM levels CROSS JOIN (SELECT unnest([{', '.join(f'{q}::DOUBLE' for q in fx.SKETCHED)}]) AS q) GROUP BY ALL""")
 put("open_intervals_by_bar", SUPPLIER, f"""spans AS (SELECT CAST(o_custkey % {fx.SPAN_SERIES} + 1 AS VARCHAR) AS series_id,
     CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 700 AS INTEGER) END AS b,
     o_orderkey AS label FROM orders)""", select="""SELECT series_id, dt, count(*) AS n_open, min(label) AS first_label,

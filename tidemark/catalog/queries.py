@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from tidemark.operators import forecast as fo
 from tidemark.operators import gram as gr
 from tidemark.operators import indicators as ind
 from tidemark.operators import lookup as lk
+from tidemark.operators import quantiles as qt
 from tidemark.operators import returns as ret
 from tidemark.operators import descent as ds
 from tidemark.operators import families as fam
@@ -24,7 +26,9 @@ from tidemark.operators import tournament as to
 from tidemark.operators import tuning as tu
 from tidemark.plans import PLAIN, Layout, number_rows
 from tidemark.schema import FEATURES
-from tidemark.session import materialise
+from tidemark.session import checkpoint_dir, materialise
+from tidemark.sources import checked
+from tidemark.sources.upkeep import BarStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -74,6 +78,33 @@ def bars_numbered(spark, sf):
     return number_rows(fx.flag_bars(spark, sf).select("series_id", "dt", "close"))
 
 
+@query
+def checked_lines(spark, sf):
+    """Lines accepted and rejected, by reason."""
+    judged = checked.judged_lines(fx.line_texts(spark, sf), "all")
+    return judged.groupBy("flag", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _upkept(spark, sf):
+    """A store to which a third of all raw rows came late."""
+    store = BarStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}")
+    rows = fx.table(spark, sf, "lineitem")
+    late = F.col("l_orderkey") % 3 == 0
+    store.apply(fx.line_states(spark, sf, rows.filter(~late)), "first")
+    store.apply(fx.line_states(spark, sf, rows.filter(late)), "late")
+    return store
+
+
+@query
+def upkeep_days(spark, sf):
+    return rounded(_upkept(spark, sf).days().drop("month"), "adj_close", "volume")
+
+
+@query
+def upkeep_running(spark, sf):
+    return _upkept(spark, sf).running()
+
+
 # --- indicators ---------------------------------------------------------------------------
 
 
@@ -296,6 +327,16 @@ def regime_table_join(spark, sf):
     return lk.interval_join(bars, fx.order_seasons(spark, sf))
 
 
+@query
+def kll_quantile_bounds(spark, sf):
+    """Merged sketches against exact ranks, for months, years and all time."""
+    ticks = fx.line_ticks(spark, sf)
+    months = materialise(qt.month_sketches(ticks))
+    levels = [qt.merged_sketches(months, level) for level in ("month", "year", "all")]
+    sketches = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    return qt.rank_check(ticks, materialise(qt.sketched_quantiles(sketches, fx.SKETCHED)))
+
+
 @query
 def open_intervals_by_bar(spark, sf):
     bars = fx.supplier_bars(spark, sf).select("series_id", "dt")
