@@ -39,11 +39,6 @@ EVENTS = (
     ("2020-08-31", "4-for-1 split"),
     ("2022-01-03", "ATH $182"),
 )
-VOL_EVENTS = (
-    ("2000-03-01", "Dot-com bust"),
-    ("2008-10-01", "GFC"),
-    ("2020-03-23", "COVID crash"),
-)
 REGIMES = (
     ("1980-12-12", "1997-01-01", "Pre-internet era"),
     ("1997-01-01", "2007-01-09", "Turnaround & iPod era"),
