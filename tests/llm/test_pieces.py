@@ -107,3 +107,6 @@ def test_edge_rows(spark):
     assert [len(by[i][0].ids) for i in (1, 2)] == [0, 0] and {r.back for r in by[4]} == {"y " * 40_000}
     assert len(by[3]) == 2 * len({tuple(r.ids) for r in by[3]})
     assert op.segmented(docs_frame(spark, [])).collect() == []
+    clash = docs_frame(spark, [(3, "a b")]).selectExpr("*", "7 AS draw_seed", "8 AS draw_seed_", "9 AS Text2")
+    again = [tuple(r.ids) for r in by[3][: len(by[3]) // 2]]
+    assert {(tuple(r.ids), r.draw_seed, r.draw_seed_) for r in op.segmented(clash).collect()} == {(x, 7, 8) for x in again}

@@ -25,9 +25,9 @@ from tidemark.llm._shared import draw, mix64, row_key
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Characters of text whose words are walked together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Different words whose lattices a task keeps from batch to batch.
-MAX_WORDS = 1 << 17
+MAX_WORDS = 1 << 16
 
 _MARK, _SEP, _LITERAL = "▁", "\ud800", "\ud801"
 #: Weights carry this factor for each character, which all segmentations of a word share; it keeps sums near one.
@@ -375,7 +375,10 @@ def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, decode_to:
         raise ValueError("k must be 1 or more")
     proto = read_model(model)
     rest = [c for c in docs.columns if c not in ("text", "rank", "ids", "log_prob", "gumbel", "inclusion", decode_to)]
-    rows = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text"), row_key().alias("draw_seed"))
+    seed = "draw_seed"
+    while seed in map(str.lower, docs.columns):  # a name that no column has
+        seed += "_"
+    rows = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text"), row_key().alias(seed))
 
     names = [*rest, "rank", "ids", "log_prob", "gumbel", "inclusion", *([decode_to] if decode_to else [])]
 
