@@ -1,7 +1,10 @@
 """Language, mixing, chat, HTML, licences, and the pipeline."""
 
 import hashlib
+import random
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from itertools import groupby
 
 import numpy as np
@@ -94,7 +97,9 @@ def test_mix_of_the_table(spark):
     want = level([sum(r["size"] for r in by[s]) for s in sources])
     for s, t in zip(sources, want, strict=True):
         assert {round(r.target, 6) for r in by[s]} == {round(t, 6)} and {r.source_size for r in by[s]} == {sum(r["size"] for r in by[s])}
-        assert abs(sum(r.taken for r in by[s]) - t) <= 1
+        # Documents are whole, so the last one decides how near the target is.
+        assert abs(sum(r.taken for r in by[s]) - t) <= max(r["size"] for r in by[s]) / 2 + 1
+        assert {r.taken % max(1, r["size"]) for r in by[s]} == {0}
     again = mixing.taken_words(docs.repartition(5), block_docs=16, shard_blocks=4)
     assert sorted((r.doc_id, r.taken) for r in again.collect()) == sorted((r.doc_id, r.taken) for r in rows)
 
@@ -141,7 +146,7 @@ def test_mix_edge_rows(spark):
     got = mixing.taken_words(df).collect()
     sizes = {"x": 3, "y": 4, "z": 1, None: 9000}
     want = dict(zip(["x", "y", "z", None], level(list(sizes.values())), strict=True))
-    assert len(got) == 7 and sum(r.taken for r in got) == pytest.approx(sum(want.values()), abs=3)
+    assert len(got) == 7 and sum(r.taken for r in got) == pytest.approx(sum(want.values()), abs=9000 / 2 + 3)
     assert all(r.taken <= 2 * r["size"] for r in got)
     out = mixing.mixed(df)
     assert out.columns == df.columns and out.dtypes == df.dtypes
@@ -162,6 +167,21 @@ def test_mix_with_empty_blocks_and_repeated_rows(spark, rows):
     assert mix.placed(mix.sized).groupBy("source_no", "block").count().agg(F.max("count")).first()[0] < max(10, len(rows) * 0.7)
 
 
+def test_mix_cuts_no_text_and_ends_nearest_to_the_target(spark):
+    docs = docs_frame(spark, [(i, f"line {i}\n\n" + "w  " * (i % 40), "en", "xyz"[i % 3]) for i in range(400)])
+    whole = {r.doc_id: tuple(r) for r in docs.collect()}
+    out = mixing.mixed(docs, block_docs=8, shard_blocks=4).collect()
+    assert all(tuple(r) == whole[r.doc_id] for r in out)
+    rows = mixing.taken_words(docs, block_docs=8, shard_blocks=4).join(docs.select("doc_id", "source"), "doc_id").collect()
+    for s in "xyz":
+        mine = [r for r in rows if r.source == s]
+        off = abs(sum(r.taken for r in mine) - mine[0].target)
+        assert off <= max(r["size"] for r in mine) / 2 + 1
+    for n, want in ((1, 0), (2, 3), (9, 9)):  # one document of 3 n words, and a target of n: nearer to it or to nothing
+        one = docs_frame(spark, [(1, "a " * 3 * (3 if n == 9 else 1))])
+        assert mixing.taken_words(one, share=n / (9 if n == 9 else 3)).first().taken == want
+
+
 def test_mix_stage_shuffles_shards(spark):
     docs = docs_frame(spark, [(i, "a b c" + " d" * (i % 5), "en", "xyz"[i % 3]) for i in range(90)])
     want = [r.doc_id for r in sorted(mixing.mixed(docs, with_shard=True).collect(), key=lambda r: (r.shard, r.place))]
@@ -235,6 +255,105 @@ def test_main_text_of_a_deep_page():
     assert html_text.main_text(f"<article><p>{LONG}</p>{deep}<p>End {LONG}</p></article>", html_text.trained()) == f"{LONG} End {LONG}"
 
 
+class Reference(HTMLParser):
+    """An independent reading of well-formed pages: paragraphs, headings and cells that are not inside anything unwanted."""
+
+    LEAF = {"p", "h1", "h2", "h3", "li", "td", "blockquote"}
+
+    def __init__(self, unwanted):
+        super().__init__(convert_charrefs=True)
+        self.unwanted, self.stack, self.blocks = unwanted, [], []
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        bad = tag in ("script", "style", "nav", "footer", "aside", "form", "header") or (attrs.get("class") or "") in self.unwanted
+        self.stack.append((tag, bad or bool(self.stack and self.stack[-1][1])))
+        if tag in self.LEAF:
+            self.blocks.append([self.stack[-1][1], ""])
+
+    def handle_endtag(self, tag):
+        while self.stack and self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if self.blocks and any(t in self.LEAF for t, _ in self.stack):
+            self.blocks[-1][1] += data
+
+    def text(self):
+        return " ".join(" ".join(t.split()) for bad, t in self.blocks if not bad and t.split())
+
+
+def held_out_page(seed, article):
+    """A page from a template that the labelled table does not have."""
+    rng = random.Random(seed)
+    vocabulary = [a + b for a in ("ka", "lo", "mi", "ne", "tu", "ras", "vel") for b in ("n", "rin", "da", "post", "ing", "s")]
+
+    def words(lo, hi):
+        return " ".join(rng.choice(vocabulary) for _ in range(rng.randint(lo, hi)))
+
+    def linked(n):
+        return "".join(f'<li><a href="/{i}">{words(1, 4)}</a></li>' for i in range(n))
+
+    body = []
+    for _ in range(rng.randint(4, 12)):
+        kind = rng.random()
+        if kind < 0.6:
+            body.append(f"<p>{words(12, 70)}</p>")
+        elif kind < 0.75:
+            body.append(f"<p>{words(1, 5)}.</p>")
+        elif kind < 0.85:
+            body.append(f"<h2>{words(2, 7)}</h2>")
+        else:
+            body.append("<ul>" + "".join(f"<li>{words(3, 12)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+    body.insert(0, f"<p>{words(25, 60)}</p>")
+    if rng.random() < 0.5:
+        body.insert(rng.randint(1, len(body)), f'<div class="ad">{words(5, 40)}</div>')
+    if rng.random() < 0.5:
+        body.append(f'<section class="comments"><p>{words(5, 40)}</p><p>{words(1, 9)}</p></section>')
+    rng.random()
+    box = "article" if article else "div"
+    top = f"<nav><ul>{linked(rng.randint(3, 8))}</ul></nav>" + rng.choice(["", f"<header><p>{words(2, 30)}</p></header>"])
+    side = rng.choice(["", f'<aside><p>{words(10, 60)}</p></aside>', f'<div class="sidebar"><p>{words(10, 60)}</p></div>'])
+    end = rng.choice(["", f"<footer><p>{words(3, 40)}</p></footer>"])
+    return f"<html><body>{top}<{box}>{''.join(body)}</{box}>{side}{end}</body></html>"
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_held_out_pages_against_another_parser(article):
+    tree, right, total = html_text.trained(), 0, 0
+    for seed in range(150):
+        page = held_out_page(seed, article)
+        reference = Reference({"ad", "comments", "sidebar"})
+        reference.feed(page)
+        want, got = reference.text().split(), html_text.main_text(page, tree).split()
+        same = sum((Counter(want) & Counter(got)).values())
+        right, total = right + 2 * same, total + len(want) + len(got)
+        assert not article or got == want
+    assert right / total > 0.98
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>", f"{LONG} {LONG} Short. {LONG}"),
+        (f"<div><p>{LONG}</p><ul><li>x one<li>y two</ul><p>{LONG}</p></div>", f"{LONG} x one y two {LONG}"),
+        (f'<article><p>{LONG}</p></article><div class="user-feedback"><p>{LONG}</p></div>', LONG),
+        (f'<article><p>{LONG}</p><div class="user-feedback"><p>{LONG}</p></div></article>', LONG),
+        (f'<article><p>{LONG}</p><p class="related-work">{LONG}</p><p class="legal-matters">x</p></article>', f"{LONG} {LONG} x"),
+    ],
+)
+def test_names_and_places(page, want):
+    assert html_text.main_text(page, html_text.trained()) == want
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a "> " ', "<div class='", "<", "<!--", "<script>", "<p ", '<a href="x>', "</", "&", "<table><tr><td>"])
+def test_broken_markup_takes_time_in_proportion(bad):
+    page = f"<p>{LONG}</p>" + bad * (500_000 // len(bad)) + '"'
+    start = time.perf_counter()
+    blocks = html_text.blocks_of(page)
+    assert time.perf_counter() - start < 10 and blocks[0].text == LONG
+
+
 def test_pages(spark):
     rows = queries.op10_main_text(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
@@ -246,17 +365,27 @@ def test_pages(spark):
 
 # Licences
 
+APACHE = next(t for name, t in licences.TEMPLATES if name == "apache-2.0" and "in compliance" in t)
+MIT = next(t for name, t in licences.TEMPLATES if name == "mit" and t.endswith("without restriction."))
+MORE = MIT[:-1] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+
+
+def dice(a, b):
+    a, b = set(licences.bigrams_of(a)), set(licences.bigrams_of(b))
+    return round(2 * len(a & b) / (len(a) + len(b)), 9)
+
+
 def test_licences_against_brute_force(spark):
-    text = licences.TEMPLATES[1][1]
+    text = APACHE
     rows = [(1, "x\n" + text.upper() + "\nmit"), (2, "Released under the MIT License"), (2, "released  UNDER: the mit license!"), (3, None), (4, ""), (5, "Released under the MIT License. " * 40), (6, text.replace("except", "but")), (None, "Licensed under CC BY-NC 4.0."), (7, "z " * 50_000)]
 
     def best(line):
         pairs = set(licences.bigrams_of(line))
         found = []
-        for i, (name, t) in enumerate(licences.TEMPLATES):
+        for i, ((name, t), key) in enumerate(zip(licences.TEMPLATES, licences.KEYS, strict=True)):
             mine = set(licences.bigrams_of(t))
             dice = 2 * len(pairs & mine) / (len(pairs) + len(mine))
-            if dice >= licences.MIN_DICE:
+            if dice >= licences.MIN_DICE and all(b in pairs for part in key.split("|") for b in licences.bigrams_of(part)):
                 found.append((-dice, i, name))
         return min(found, default=None)
 
@@ -269,14 +398,11 @@ def test_licences_against_brute_force(spark):
     assert licences.scan(docs_frame(spark, [])).collect() == []
 
 
-MIT = licences.TEMPLATES[4][1]
-
-
 @pytest.mark.parametrize(
     "text,want",
     [
         ("x\n" + MIT[:60] + "\n# " + MIT[60:130] + "\n * " + MIT[130:] + "\nint main", [(1, 3, "mit", 1.0)]),
-        (MIT[:-1] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", [(0, 0, "mit", 1.0)]),
+        (MORE, [(0, 0, "mit", max(dice(MORE, t) for name, t in licences.TEMPLATES if name == "mit"))]),
         ("// Licensed under the MIT License. See LICENSE in the project root for license information.", [(0, 0, "mit", 1.0)]),
         ("a b c Released under\nthe MIT License d e f g Released under the MIT\n\nLicense", [(0, 1, "mit", 1.0), (1, 3, "mit", 1.0)]),
         ("w " * 5000 + "licensed under\r\nCC BY-NC 4.0 " + "w " * 5000, [(0, 1, "cc-by-nc-4.0", 1.0)]),
@@ -289,8 +415,44 @@ def test_licence_notices_in_runs_of_words(spark, text, want):
     assert sorted((r.line, r.last_line, r.licence, round(r.score, 9)) for r in got) == want
 
 
+NOTICES = {
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "gpl-3.0": "// This work is licensed under the GNU General Public License, version 3.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "apache-2.0": "# SPDX-License-Identifier: Apache-2.0",
+    "mit-0": "# SPDX-License-Identifier: MIT-0",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-nc-sa-4.0": "This page is licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    None: "Licensed under the GNU General Public License, version 4.",
+    "": "GNU General Public License, version 2.",
+}
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    rows = [(i, "int main\n" + text + "\nreturn") for i, text in enumerate(NOTICES.values())]
+    names = [name or None for name in NOTICES]
+    start = len(rows)
+    for name, text in licences.TEMPLATES:  # each text finds its own licence, whatever others resemble it
+        rows.append((len(rows), text))
+        names.append(name)
+    got = defaultdict(set)
+    for r in licences.scan(docs_frame(spark, rows)).collect():
+        got[r.doc_id].add(r.licence)
+    assert len({n for n in names if n}) >= 30
+    assert [got[i] for i in range(len(rows))] == [{n} if n else set() for n in names], start
+    bsd = next(t for name, t in licences.TEMPLATES if name == "bsd-3-clause" and len(t) > 300)
+    two = next(t for name, t in licences.TEMPLATES if name == "bsd-2-clause" and len(t) > 300)
+    found = {r.doc_id: r.licence for r in licences.scan(docs_frame(spark, [(1, bsd.replace(". ", ".\n")), (2, two.replace(". ", ".\n")), (3, bsd[:140])])).collect()}
+    assert found == {1: "bsd-3-clause", 2: "bsd-2-clause"}
+
+
 def test_every_licence_of_a_document(spark):
-    apache, mit, nc = (licences.TEMPLATES[i][1] for i in (0, 2, 7))
+    apache, mit, nc = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
     rows = [(1, f"{apache}\nx\n{nc}\n{apache}"), (1, mit), (None, mit), (None, nc)]
     got = licences.scan(docs_frame(spark, rows)).collect()
     want = [("1", "apache-2.0", 2), ("1", "cc-by-nc-4.0", 1), ("1", "mit", 1), ("None", "cc-by-nc-4.0", 1), ("None", "mit", 1)]

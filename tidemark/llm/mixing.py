@@ -4,7 +4,8 @@ Each source is cut into blocks of documents. A source whose target is more than
 fits, and the rest comes from one more pass that stops at the target. The blocks of all passes are dealt to the output
 shards by a splitting tree: at each node the number of blocks of every source that go left is one draw from the
 multivariate hypergeometric distribution of the node's quotas, so each shard gets its exact number of blocks and each
-source keeps its exact quota. A shard then takes the next blocks of a permutation of the source, so shards are disjoint.
+source keeps its exact quota. A shard then takes the next blocks of a permutation of the source, so shards are disjoint. Documents are taken whole: the pass that stops at the target ends with
+the document that leaves the source's words nearest to it.
 """
 
 from __future__ import annotations
@@ -218,10 +219,26 @@ class Mix:
             "source_no", "block", "pass", (F.col("pass") * F.col("present") + F.col("rank")).alias("ordinal"),
             F.when(F.expr("pass = whole and sum + words > rest"), F.col("rest") - F.col("sum")).alias("most"),
         )
-        self.drawn = stored(drawn, "mix-drawn")
+        self.drawn = stored(self.ended(drawn), "mix-drawn")
         self.quotas = self.drawn.groupBy("source_no").agg(F.count("*").alias("quota"))
         self.shards = 1 << max(0, (self.drawn.count() // shard_blocks - 1).bit_length())
 
+    def ended(self, drawn: DataFrame) -> DataFrame:
+        """Drawn blocks with ``last`` in place of ``most``: the spot of the last document taken of a source's last block.
+
+        Documents of that block go by spot; the one that reaches the target is taken if that is nearer to it than to stop
+        ahead of it. Without a last spot all of a block is taken.
+        """
+        cut = drawn.where("most is not null").select("source_no", "block", "most")
+        rows = self.placed(self.sized).select("source_no", "block", "spot", "size").join(cut, ["source_no", "block"])
+        # One block of a source at most.
+        earlier = Window.partitionBy("source_no", "block").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("left", F.col("most") - F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        last = F.max(F.when(F.expr("left > 0 and 2 * left >= size"), F.col("spot")))
+        ends = rows.groupBy("source_no", "block").agg(F.coalesce(last, F.lit(-1)).cast("long").alias("end"))
+        drawn = drawn.join(ends, ["source_no", "block"], "left")
+        return drawn.select("source_no", "block", "pass", "ordinal", F.when(F.col("most").isNotNull(), F.col("end")).alias("last"))
+
     def spread(self, rows: DataFrame) -> DataFrame:
         """Rows with the spots of repeated rows told apart: copy 0 keeps its spot, the others get spots of their own.
 
@@ -256,65 +273,47 @@ class Mix:
         quotas = shard_quotas(self.quotas, self.shards, self.seed).where("quota > 0")
         return quotas.select("source_no", "shard", F.explode(F.expr("sequence(before, before + quota - 1)")).alias("ordinal"))
 
-    def draws(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``draws array<struct<shard, pass, take>>``: each time a document enters the mix, with how many words.
+    def dealt(self) -> DataFrame:
+        """``(source_no, block, dealt array<struct<pass, shard, last>>)``, a row for each block that is drawn: a written
+        table, so that Spark knows its size and rows of documents are only shuffled to it where it is large."""
+        rows = self.drawn.join(self.shard_of_block(), ["source_no", "ordinal"])
+        rows = rows.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "last"))).alias("dealt"))
+        return stored(rows, "mix-dealt")
 
-        Only the last block of a source is cut; there the documents are taken in a hashed order, the last one in part.
-        """
-        dealt = self.drawn.join(self.shard_of_block(), ["source_no", "ordinal"])
-        dealt = dealt.groupBy("source_no", "block").agg(
-            F.array_sort(F.collect_list(F.struct("pass", "shard", "most"))).alias("dealt")
-        )
-        rows = self.placed(rows).join(dealt, ["source_no", "block"], "left")
-        earlier = Window.partitionBy("source_no", "block").orderBy("spot", "doc_id", "size")
-        before = F.sum("size").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("ahead", F.coalesce(before, F.lit(0)))
-
-        def take(d: Column) -> Column:
-            left = F.greatest(F.lit(0).cast("long"), d["most"] - F.col("ahead"))
-            words = F.when(d["most"].isNull(), F.col("size")).otherwise(F.least(left, "size"))
-            return F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"), words.alias("take"))
-
-        dealt_rows = F.coalesce("dealt", F.array().cast("array<struct<pass:bigint,shard:bigint,most:bigint>>"))
-        return rows.withColumn("draws", F.transform(dealt_rows, take)).drop("dealt", "ahead")
+    def draws(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``draws array<struct<pass, shard, last>>``: each time a document enters the mix, whole."""
+        rows = self.placed(rows).join(self.dealt(), ["source_no", "block"], "left")
+        none = F.array().cast("array<struct<pass:bigint,shard:bigint,last:bigint>>")
+        taken = F.filter(F.coalesce("dealt", none), lambda d: d["last"].isNull() | (F.col("spot") <= d["last"]))
+        return rows.withColumn("draws", taken).drop("dealt")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, n_draws)`` for every row of ``docs(doc_id, text, source, ...)``.
 
-    ``taken`` counts the words the mix takes of the row, repeats included: each source gives its target to the word, no
-    row more than ``cap`` times its size, and every run agrees. Null text has size 0 and is never taken. A null source
-    is a source of its own, after all others. Repeated rows are spread over blocks and each counted. Other columns are not
-    read. An empty table gives an empty result.
+    ``taken`` counts the words the mix takes of the row, repeats included: a source's taken words differ from its target
+    by half the size of one of its documents at most, no row gives more than ``cap`` times its size, and every run agrees.
+    Null text has size 0 and is never taken. A null source is a source of its own, after all others. Repeated rows are
+    spread over blocks and each counted. Other columns are not read. An empty table gives an empty result.
     """
     mix = Mix(docs, **options)
-    zero = F.lit(0).cast("long")
+    times = F.when(F.col("size") > 0, F.size("draws")).otherwise(0).cast("long")
     return mix.draws(mix.sized).select(
         F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target",
-        F.aggregate("draws", zero, lambda a, d: a + d["take"]).alias("taken"),
-        F.size(F.filter("draws", lambda d: d["take"] > 0)).cast("long").alias("n_draws"),
+        (F.col("size") * times).alias("taken"), times.alias("n_draws"),
     )
 
 
 def mixed(docs: DataFrame, with_shard: bool = False, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is drawn, a document that is cut with its first words.
+    """The mix itself: the rows of ``docs``, each as often as it is drawn, always whole.
 
-    ``with_shard`` adds ``shard`` and ``place``: sorted by both, a shard's documents are in shuffled order. A text that
-    is cut has its words joined by one space, and n_chars (if there) counts it anew. Rows of whole blocks without a
-    word stay.
+    ``with_shard`` adds ``shard`` and ``place``: sorted by both, a shard's documents are in shuffled order. Rows without a
+    word go with the block they are in.
     """
     mix = Mix(docs, **options)
-    rest = [c for c in docs.columns if c != "text"]
-    payload = (F.struct(*rest).alias("kept_row"), F.col("text").alias("mix_text"))
-    rows = mix.draws(mix.spread(_sized(docs, *payload, seed=mix.seed)))
-    rows = rows.select("kept_row", "mix_text", "size", "spot", F.explode("draws").alias("d")).where("d.take > 0 or size = 0")
-    words = F.regexp_extract_all("mix_text", F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("d.take").cast("int")), " ")
-    is_cut = F.col("d.take") < F.col("size")
-    made = {"text": F.when(is_cut, cut).otherwise(F.col("mix_text"))}
-    if "n_chars" in rest:
-        made["n_chars"] = F.when(is_cut, F.length(cut).cast("long")).otherwise(F.col("kept_row.n_chars"))
-    out = [made[c].alias(c) if c in made else F.col(f"kept_row.`{c}`") for c in docs.columns]
+    rows = mix.draws(mix.spread(_sized(docs, F.struct(*docs.columns).alias("kept_row"), seed=mix.seed)))
+    rows = rows.select("kept_row", "spot", F.explode("draws").alias("d"))
+    out = [F.col(f"kept_row.`{c}`") for c in docs.columns]
     if with_shard:
         out += [F.col("d.shard").alias("shard"), _hash(mix.seed, F.lit("place"), "d.shard", "d.pass", "spot").alias("place")]
     return rows.select(*out)
