@@ -300,11 +300,12 @@ _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 def _tokenized(docs: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
     """One row a chunk of documents: what is known of each of them, the chunk's id pairs, and in how many of its
-    documents each is linked; then for each document the places of its pairs in that list, with their links."""
+    documents each is linked; then, as the bytes of 32-bit numbers, which Spark moves whole, for each document how many
+    pairs it has, their places in that list, and their links."""
     longs = ("doc_id", *_COUNTS)
     kinds = {"chunk": pa.int64(), **{n: pa.list_(pa.int64()) for n in longs}, "sha": pa.list_(pa.string())}
     kinds |= {"pairs": pa.list_(pa.int64()), "freqs": pa.list_(pa.int32())}
-    kinds |= {n: pa.list_(pa.int32()) for n in ("n_pairs", "at", "times")}
+    kinds |= {n: pa.binary() for n in ("n_pairs", "at", "times")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -327,13 +328,13 @@ def _tokenized(docs: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
             for n, values in found.items():
                 columns[n].append(values)
         row = {n: np.concatenate(v) for n, v in columns.items()}
-        row |= {n: row[n].astype(np.int32) for n in ("n_pairs", "times")}
         row["pairs"] = np.unique(np.concatenate([p for p, _ in parts]))
         row["at"] = np.concatenate([np.searchsorted(row["pairs"], p).astype(np.int32)[at] for p, at in parts])
-        return row | {"freqs": np.bincount(row["at"], minlength=len(row["pairs"])).astype(np.int32)}
+        row["freqs"] = np.bincount(row["at"], minlength=len(row["pairs"])).astype(np.int32)
+        return row | {n: row[n].astype("<i4").tobytes() for n in ("n_pairs", "at", "times")}
 
     arrays = "".join(f", {n} array<long>" for n in longs) + ", sha array<string>, pairs array<long>"
-    arrays += "".join(f", {n} array<int>" for n in ("freqs", "n_pairs", "at", "times"))
+    arrays += ", freqs array<int>" + "".join(f", {n} binary" for n in ("n_pairs", "at", "times"))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"chunk long{arrays}")
 
 
@@ -382,9 +383,10 @@ def report(docs: DataFrame, a: str = A_FILE, b: str = B_FILE) -> DataFrame:
                 begin = end + 1
 
     def finished(chunk: pa.RecordBatch, n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        value = {c: chunk.column(c)[0].values for c in named[1:]}
-        at, times = value["at"].to_numpy(), value["times"].to_numpy().astype(np.int64)
-        ends = np.r_[0, np.cumsum(value["n_pairs"].to_numpy())]
+        value = {c: chunk.column(c)[0].values for c in ("doc_id", *_COUNTS, "sha")}
+        numbers = (np.frombuffer(chunk.column(c)[0].as_buffer(), "<i4") for c in ("n_pairs", "at", "times"))
+        n_pairs, at, times = (x.astype(np.int64) for x in numbers)
+        ends = np.r_[0, np.cumsum(n_pairs)]
         best_sum, count_sum = (np.r_[0, np.cumsum(x)] for x in (times * best[at], times * n[at]))
         sums = [pa.array(x[ends[1:]] - x[ends[:-1]], pa.int64()) for x in (best_sum, count_sum)]
         return pa.RecordBatch.from_arrays([value["doc_id"], *(value[c] for c in _COUNTS), *sums, value["sha"]], names)
