@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks, each judged with its neighbours by a decision tree.
 
 A page is cut into text blocks at block-level tags. A block is described by its word count and link density, those of
-the blocks before and after it, and where it stands (inside an article, a menu, a form, something named like an advert).
-A decision tree learns from the small labelled table of pages below which blocks are main text.
+the blocks before and after it, of its wider neighbourhood and of the boxes it is in, and where it stands (inside an
+article, a menu, a form, something named like an advert). A decision tree learns from the small labelled table of pages below which blocks are main text.
 """
 
 from __future__ import annotations
@@ -35,21 +35,31 @@ NAMED = {
     "ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
     "consent", "gdpr", "notice", "notification", "alert", "disclaimer", "sidebar", "sidenav", "aside", "comment", "comments",
     "respond", "reply", "replies", "discussion", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter",
-    "subscribe", "subscription", "signup", "login", "search", "breadcrumb", "breadcrumbs", "pagination", "pager", "menu", "nav",
+    "feedback", "reviews", "responses", "guestbook", "subscribe", "subscription", "signup", "login", "search", "breadcrumb", "breadcrumbs", "pagination", "pager", "menu", "nav",
     "navbar", "navigation", "footer", "header", "masthead", "topbar", "modal", "popup", "overlay", "widget", "toolbar", "skip",
     "hidden", "meta", "tags", "copyright", "legal", "form",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog", "alertdialog"}
 MAIN_NAMED = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Elements that hold paragraphs and lists of their own.
+BOXES = {"body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form"}
+#: Elements that hold text: a name of theirs says something about the text only as a whole.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "caption", "figcaption"}
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|data-main)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 FEATURES = (
     "words", "link_density", "words_before", "links_before", "words_after", "links_after",
     "in_main", "in_frame", "named_boilerplate", "named_main", "page_has_main", "heading",
+    "near_words", "near_links", "box_words", "box_links", "outer_words", "outer_links",
 )
+PLACES = ("in_main", "in_frame", "named_boilerplate", "named_main")
+#: Blocks on either side that make the wider neighbourhood.
+NEAR = 3
 
 
 @dataclass
@@ -62,6 +72,7 @@ class Block:
     named: bool
     named_main: bool
     heading: bool
+    boxes: tuple[int, int, int] = (0, 0, 0)
     label: int | None = None
 
 
@@ -74,6 +85,42 @@ class _Open:
     named_main: bool
     hidden: bool
     label: int | None
+    boxes: tuple[int, int, int] = (0, 0, 0)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """``(start, end, closing, name, attributes)`` of each tag in order, name None for comments and declarations.
+
+    Reads forward only: a tag ends at the first `>` outside quotes. An open comment, quote or tag ends with the page.
+    """
+    at, size = page.find("<"), len(page)
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, False, None, ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = size if end < 0 else end + 1
+            yield at, end, False, None, ""
+        else:
+            m = _NAME.match(page, at)
+            if m is None:
+                at = page.find("<", at + 1)
+                continue
+            stop, end = m.end(), None
+            while end is None:
+                found = _STOP.search(page, stop)
+                if found is None:
+                    end = size + 1
+                elif found.group() == ">":
+                    end = found.end()
+                else:
+                    close = page.find(found.group(), found.end())
+                    stop, end = (close + 1, None) if close >= 0 else (size, size + 1)
+            yield at, min(end, size), page[at + 1] == "/", m.group(1).lower(), page[m.end() : end - 1]
+            end = min(end, size)
+        at = page.find("<", end)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -108,7 +155,7 @@ def blocks_of(page: str) -> list[Block]:
             top = stack[-1]
             n_linked = len("".join(linked).split())
             heading = any(re.fullmatch(r"h[1-6]", x.name) for x in stack[-2:])
-            out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), top.main, top.frame, top.named, top.named_main, heading, top.label))
+            out.append(Block(" ".join(words), len(words), min(1.0, n_linked / len(words)), top.main, top.frame, top.named, top.named_main, heading, top.boxes, top.label))
         text.clear()
         linked.clear()
 
@@ -119,18 +166,15 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked.append(decoded + " ")
 
+    boxes = 0
     at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        closing, name, attributes = m.group(1), m.group(2), m.group(3)
+    for start, end, closing, name, attributes in tags(page):
+        if start < at:
+            continue  # inside raw text
+        say(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name == "a":
             in_link = not closing
             continue
@@ -165,7 +209,12 @@ def blocks_of(page: str) -> list[Block]:
                 close(last(name))
         if stack[-1].name == "p" and name in BLOCK:
             close(len(stack) - 1)
-        push(_opened(name, attributes, stack[-1]))
+        mark = _opened(name, attributes, stack[-1])
+        if name in BOXES:
+            boxes += 1
+            mark.boxes = (boxes, *mark.boxes[:2])
+        push(mark)
+    say(page[at:])
     flush()
     return out
 
@@ -182,7 +231,8 @@ def _opened(name: str, attributes: str, above: _Open) -> _Open:
             key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
             if key in ("class", "id"):
                 found = set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-                hit = found & NAMED
+                # A paragraph on related work is none of the related links.
+                hit = (set(value.lower().split()) if name in TEXTUAL else found) & NAMED
                 if main:
                     hit -= {"header", "meta", "text"}
                 named = named or (bool(hit) and name not in MAIN and name not in ("body", "html"))
@@ -196,7 +246,7 @@ def _opened(name: str, attributes: str, above: _Open) -> _Open:
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif key == "data-main":
                 label = int(value)
-    return _Open(name, main, frame, named, named_main, hidden, label)
+    return _Open(name, main, frame, named, named_main, hidden, label, above.boxes)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -214,6 +264,20 @@ def features(blocks: list[Block]) -> np.ndarray:
     out[:, 6:10] = flags
     out[:, 10] = any(b.in_main for b in blocks)
     out[:, 11] = [b.heading for b in blocks]
+    linked = words * links
+    sums = np.concatenate([np.zeros((1, 2)), np.cumsum(np.column_stack([words, linked]), axis=0)])
+    lo, hi = np.maximum(np.arange(n) - NEAR, 0), np.minimum(np.arange(n) + NEAR + 1, n)
+    near = sums[hi] - sums[lo]
+    out[:, 12], out[:, 13] = near[:, 0] / (hi - lo), near[:, 1] / near[:, 0]
+    # What a box holds: its own blocks and those of boxes up to two levels down.
+    held: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for b, w, k in zip(blocks, words.tolist(), linked.tolist(), strict=True):
+        for box in set(b.boxes):
+            held[box][0] += w
+            held[box][1] += k
+    for at, level in ((14, 0), (16, 1)):
+        totals = np.array([held[b.boxes[level]] for b in blocks])
+        out[:, at], out[:, at + 1] = totals[:, 0], totals[:, 1] / totals[:, 0]
     return out
 
 
@@ -269,6 +333,35 @@ LABELLED_PAGES = (
     for inside in ("", f'<div class="promo" data-main="0">{_words(4 * n)}</div>', f'<aside data-main="0"><p>{_words(8 * n)}</p></aside>')
     for before in ('<nav data-main="0"><a>Home</a></nav>', f'<div data-main="0">{_words(6 * n)}</div>', f'<p data-main="0"><a>{_words(n)}</a></p>')
     for after in ("", '<footer data-main="0"><a>Contact</a> us</footer>', f'<div data-main="0">{_words(4 * n)}</div>')
+) + tuple(
+    # Pages with one, and long text outside of it.
+    f'<body>{before}<{tag} data-main="1"><p>{_words(n)}</p><p>{_words(m)}</p></{tag}>{after}</body>'
+    for n in (2, 20, 60)
+    for m in (4, 30)
+    for tag in ("article", "main")
+    for before in ("", f'<div data-main="0"><p>{_words(25)}</p></div>')
+    for after in (f'<div data-main="0"><p>{_words(20)}</p><p>{_words(45)}</p></div>', f'<section data-main="0"><p>{_words(70)}</p></section>', f'<p data-main="0">{_words(22)}</p>')
+) + tuple(
+    # Pages with a short one, between as much text that is framed or named.
+    f'<body><nav data-main="0"><ul>{links}</ul></nav>{before}<{tag} data-main="1"><h1>{_words(n)}</h1>{"".join(f"<p>{_words(m)}</p>" for m in sizes)}{inside}</{tag}>{after}</body>'
+    for n, sizes in ((8, (8, 9)), (3, (2,)), (12, (12, 4)), (5, (16,)), (1, (30,)), (9, (1, 1, 1)), (6, (6, 24, 6, 60)))
+    for tag in ("article", "main")
+    for links in ("<li><a>One</a>" * 3, "<li><a>One and two</a>" * 9)
+    for before in ("", f'<div class="ad" data-main="0">{_words(7)}</div>', f'<header data-main="0"><p>{_words(20)}</p></header>')
+    for inside in ("", f'<section class="comments" data-main="0"><p>{_words(n)}</p></section>')
+    for after in (f'<footer data-main="0">{_words(12)}</footer>', f'<aside data-main="0"><p>{_words(3)}</p><p>{_words(33)}</p></aside>')
+) + tuple(
+    # Pages without one: a box of paragraphs, lists and headings of any length in any order, between boxes of links and lines.
+    f'<body>{before}<div>{"".join(body)}</div>{after}</body>'
+    for sizes in ((22, 22, 1, 22), (22, 2, 2, 22), (1, 30, 22), (40, 6, 3, 50, 1), (22, 12, 22, 4), (60, 22), (3, 44, 3, 44, 3), (25,) * 6)
+    for body in (
+        [f'<p data-main="1">{_words(n)}</p>' for n in sizes],
+        [f'<p data-main="1">{_words(n)}</p>' if n > 3 else f'<ul data-main="1"><li>{_words(n)}<li>{_words(n + 1)}</ul>' for n in sizes],
+        [f'<p data-main="1">{_words(n)}</p>' if n > 3 else f'<h2 data-main="1">{_words(n)}</h2>' for n in sizes],
+        [f'<div data-main="1">{_words(n)}</div>' for n in sizes],
+    )
+    for before in ("", '<div data-main="0"><a>Home</a> <a>World news</a> <a>Sport</a></div>', '<ul data-main="0"><li><a>Home</a><li><a>Shop</a><li><a>About us</a></ul>')
+    for after in ("", '<div data-main="0">All rights reserved</div>', f'<div data-main="0"><p><a>{_words(6)}</a></p><p><a>{_words(9)}</a></p><p><a>{_words(7)}</a></p></div>')
 )
 
 
@@ -290,14 +383,14 @@ class Tree:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
+def train(x: np.ndarray, y: np.ndarray, depth: int = 8, using: tuple[str, ...] = FEATURES) -> Tree:
     """Greedy splits by Gini impurity; ties go to the flag or measure that comes last in FEATURES."""
     tree = Tree(float(y.mean()))
     if depth == 0 or len(set(y.tolist())) < 2:
         return tree
     best = (1e-9, -1, 0.0)
     gini = len(y) * y.mean() * (1 - y.mean())
-    for f in range(x.shape[1] - 1, -1, -1):
+    for f in (n for n in range(x.shape[1] - 1, -1, -1) if FEATURES[n] in using):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= cut
@@ -307,13 +400,17 @@ def train(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
     if best[1] < 0:
         return tree
     low = x[:, best[1]] <= best[2]
-    return Tree(tree.share, best[1], best[2], train(x[low], y[low], depth - 1), train(x[~low], y[~low], depth - 1))
+    return Tree(tree.share, best[1], best[2], train(x[low], y[low], depth - 1, using), train(x[~low], y[~low], depth - 1, using))
 
 
 def trained(pages: tuple[str, ...] = LABELLED_PAGES) -> Tree:
+    """The tree of a labelled table. It asks first whether the page marks its main part itself; if so, only the places of
+    blocks count from there on, not how long they are or how many links they and their neighbours have."""
     found = [blocks_of(p) for p in pages]
-    labels = [b.label for blocks in found for b in blocks]
-    return train(np.concatenate([features(b) for b in found]), np.array(labels, float))
+    x, y = np.concatenate([features(b) for b in found]), np.array([b.label for blocks in found for b in blocks], float)
+    marked = FEATURES.index("page_has_main")
+    high = x[:, marked] > 0.5
+    return Tree(float(y.mean()), marked, 0.5, train(x[~high], y[~high]), train(x[high], y[high], using=PLACES))
 
 
 def main_text(page: str | None, tree: Tree) -> str:
