@@ -45,22 +45,32 @@ def _pivots(classes: DataFrame, cell_rows: int, max_pivots: int) -> dict[tuple[i
     return {k: unit(np.array(v, float)) for k, v in out.items()}
 
 
+#: Vectors whose distances to all pivots are held at a time.
+VISIT_ROWS = 512
+
+
 def _visits(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vector, cell, home): the cell of the nearest pivot, and each earlier cell that can hold a vector within radius.
 
     If y lies within the radius of x and is nearest to pivot q, then by the triangle inequality
     d(x, q) <= d(x, p) + 2 radius for x's own pivot p; in Euclidean space the bisector of p and q bounds it further.
     """
-    d2 = np.maximum(0.0, 2.0 - 2.0 * (units @ pivots.T))
-    own = d2.argmin(axis=1)
-    least = d2[np.arange(len(units)), own]
-    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))[own]
-    near = np.sqrt(d2) <= np.sqrt(least)[:, None] + 2 * radius + CLOSE
-    near &= d2 - least[:, None] <= 2 * radius * apart + CLOSE
-    near &= np.arange(len(pivots))[None, :] < own[:, None]
-    x, cell = np.nonzero(near)
-    home = np.arange(len(units))
-    return np.r_[home, x], np.r_[own, cell], np.r_[np.ones(len(home), bool), np.zeros(len(x), bool)]
+    homes, guests = [], []
+    for at in range(0, len(units), VISIT_ROWS):
+        rows = units[at : at + VISIT_ROWS]
+        d2 = np.maximum(0.0, 2.0 - 2.0 * (rows @ pivots.T))
+        own = d2.argmin(axis=1)
+        least = d2[np.arange(len(rows)), own]
+        apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots[own] @ pivots.T)))
+        near = np.sqrt(d2) <= np.sqrt(least)[:, None] + 2 * radius + CLOSE
+        near &= d2 - least[:, None] <= 2 * radius * apart + CLOSE
+        near &= np.arange(len(pivots))[None, :] < own[:, None]
+        x, cell = np.nonzero(near)
+        homes.append(own)
+        guests.append((x + at, cell))
+    own = np.concatenate([*homes, np.zeros(0, np.int64)]).astype(np.int64)
+    x, cell = (np.concatenate([*(g[i] for g in guests), np.zeros(0, np.int64)]).astype(np.int64) for i in (0, 1))
+    return np.r_[np.arange(len(units)), x], np.r_[own, cell], np.r_[np.ones(len(units), bool), np.zeros(len(x), bool)]
 
 
 def links_within(vectors: np.ndarray, home: np.ndarray, weight: np.ndarray, side: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
