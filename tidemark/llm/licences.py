@@ -1,7 +1,13 @@
-"""Licence scan: lines and runs of words against licence templates, by Dice coefficient over word bigrams. SQL functions only."""
+"""Licence scan: lines and runs of words against licence templates, by Dice coefficient over word bigrams. SQL functions only.
+
+Licences differ from each other by single words: a version, a variant, a condition. So each template has a key, the bigrams
+that tell it from its relatives; without all of them no score is enough, and a notice of a licence that no template names
+is not taken for a relative of it.
+"""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from functools import reduce
@@ -9,23 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.licence_texts import templates
+
 MIN_DICE = 0.8
 
-#: Short grants and the notices that projects put at the head of their files.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Licensed under the MIT License."),
-    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+TEMPLATES = tuple((licence, text) for licence, text, _ in templates())
+KEYS = tuple(key for *_, key in templates())
 
 
 def words_of(text: str) -> list[str]:
@@ -43,6 +38,11 @@ def bounds(size: int, least: float = MIN_DICE) -> tuple[float, float]:
     return size * least / (2 - least), size * (2 - least) / least
 
 
+def telling(keys: tuple[str, ...] = KEYS) -> list[list[str]]:
+    """For each template the bigrams of its key, of each part on its own."""
+    return [list(dict.fromkeys(b for part in key.split("|") for b in bigrams_of(part))) for key in keys]
+
+
 def needles(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> list[str]:
     """Bigrams of which a text holds one at least, wherever ``least`` is reached.
 
@@ -77,89 +77,110 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _line_match(words: Column, line: Column, sized: list[tuple[int, str, list[str]]], least: float) -> Column:
+_FIELDS = "array<struct<place:int,licence:string,mine:array<string>,must:array<string>,low:double,high:double,need:int,most:int>>"
+
+
+def _given(templates: tuple[tuple[str, str], ...], keys: tuple[str, ...], least: float) -> tuple[Column, list[dict]]:
+    """The templates as one literal array, so that expressions do not grow with their number, and as rows."""
+    rows = []
+    for i, ((licence, text), must) in enumerate(zip(templates, telling(keys), strict=True)):
+        mine = bigrams_of(text)
+        low, high = bounds(len(mine), least)
+        sizes = {"low": low, "high": high, "need": _ceil(low), "most": _floor(high)}
+        rows.append({"place": -i, "licence": licence, "mine": mine, "must": must} | sizes)
+    return F.from_json(F.lit(json.dumps(rows)), _FIELDS), rows
+
+
+def _score(bag: Column, t: Column) -> Column:
+    """Dice coefficient of a set of bigrams with a template's, 0 without its whole key."""
+    held = F.size(F.array_intersect(bag, t["must"])) == F.size(t["must"])
+    same = F.size(F.array_intersect(bag, t["mine"]))
+    return F.when(held, 2.0 * same / (F.size(bag) + F.size(t["mine"]))).otherwise(0.0)
+
+
+def _line_match(words: Column, line: Column, given: Column, rows: list[dict], least: float) -> Column:
     """The best template of one line, null if none reaches ``least``."""
-    spans = [bounds(len(b), least) for _, _, b in sized]
-    low, high = min(s[0] for s in spans), max(s[1] for s in spans)
+    low, high = min(r["low"] for r in rows), max(r["high"] for r in rows)
 
     def best(pairs: Column) -> Column:
         # Size bounds first: only templates that the sizes allow are intersected.
-        size = F.size(pairs)
-        found = [
-            F.struct(
-                F.when(size.between(*span), 2.0 * F.size(F.array_intersect(pairs, F.lit(b))) / (size + float(len(b)))).otherwise(0.0).alias("score"),
-                F.lit(-i).alias("place"), line.alias("line"), line.alias("last"), F.lit(name).alias("licence"),
-            )
-            for (i, name, b), span in zip(sized, spans, strict=True)
-        ]
-        top = _let(F.array_max(F.array(*found)), lambda x: F.when(x["score"] >= least, x))
-        return F.when(size.between(low, high), top)
+        fit = F.filter(given, lambda t: F.size(pairs).between(t["low"], t["high"]))
+        found = F.transform(
+            fit,
+            lambda t: F.struct(
+                _score(pairs, t).alias("score"), t["place"].alias("place"), line.alias("line"), line.alias("last"),
+                t["licence"].alias("licence"),
+            ),
+        )
+        top = _let(F.array_max(found), lambda x: F.when(x["score"] >= least, x))
+        return F.when(F.size(pairs).between(low, high), top)
 
     # A set of n bigrams needs n + 1 words; repeated words can make a long line's set small.
     return F.when(F.size(words) > low, _let(F.array_distinct(_pairs(words)), best))
 
 
-def _windows(template: tuple[int, str, list[str]], least: float) -> Column:
+def _windows(t: Column, least: float) -> Column:
     """Of the columns ``pairs`` and ``hits``: the best window from each place where one of the template's bigrams stands.
 
     A window begins and ends with bigrams of the template, since others at its ends only lower the score. Size bounds
     first: bigrams of the template too few, or too far apart, make no window.
     """
-    i, name, mine = template
-    low, high = bounds(len(mine), least)
-    need, most = _ceil(low), _floor(high)
 
     def from_place(own: Column) -> Column:
         def best(start: Column, x: Column) -> Column:
             def scored(end: Column) -> Column:
                 length = end["at"] - start["at"] + 1
                 bag = F.array_distinct(F.slice("pairs", start["at"] + 1, length))
-
-                def score(bag: Column) -> Column:
-                    same = F.size(F.array_intersect(bag, F.lit(mine)))
-                    return 2.0 * same / (F.size(bag) + float(len(mine)))
-
                 return F.struct(
-                    _let(bag, score).alias("score"), (-length).alias("place"), start["at"].alias("first"), end["at"].alias("end"),
+                    _let(bag, lambda b: _score(b, t)).alias("score"), (-length).alias("place"), start["at"].alias("first"),
+                    end["at"].alias("end"),
                 )
 
-            ends = F.filter(F.slice(own, x + need, F.lit(most - need + 1)), lambda e: e["at"] - start["at"] < most)
+            ends = F.filter(F.slice(own, x + t["need"], t["most"] - t["need"] + 1), lambda e: e["at"] - start["at"] < t["most"])
             return F.array_max(F.transform(ends, scored))
 
-        return F.filter(F.transform(own, best), lambda w: w.isNotNull() & (w["score"] >= least))
+        found = F.filter(F.transform(own, best), lambda w: w.isNotNull() & (w["score"] >= least))
+        return F.when(F.size(own) >= t["need"], found)
 
     def named(w: Column) -> Column:
         return F.struct(
-            w["first"].alias("first"), w["end"].alias("end"), w["score"].alias("score"), F.lit(-i).alias("place"),
+            w["first"].alias("first"), w["end"].alias("end"), w["score"].alias("score"), t["place"].alias("place"),
             F.element_at("line_of", w["first"] + 1).alias("line"), F.element_at("line_of", w["end"] + 2).alias("last"),
-            F.lit(name).alias("licence"),
+            t["licence"].alias("licence"),
         )
 
-    return F.transform(_let(F.filter("hits", lambda h: h["pair"].isin(mine)), from_place), named)
+    return F.transform(_let(F.filter("hits", lambda h: F.array_contains(t["mine"], h["pair"])), from_place), named)
 
 
-def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> DataFrame:
+def notices(
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, keys: tuple[str, ...] = KEYS, least: float = MIN_DICE
+) -> DataFrame:
     """``(doc_id, line, last_line, template, licence, score)``: whole lines, and runs of words inside a line or across
-    line ends, that reach ``least``, each with its best template. Runs that share a word with a line found as a whole
+    line ends, that reach ``least`` and hold their template's key, each with its best template. Runs that share a word with a line found as a whole
     are part of it; of runs that overlap the best one counts, the earlier of equals.
     """
-    sized = [(i, name, bigrams_of(text)) for i, (name, text) in enumerate(templates)]
+    given, sized = _given(templates, keys, least)
     sought = needles(templates, least)
-    known = sorted({b for _, _, mine in sized for b in mine})
+    known = F.from_json(F.lit(json.dumps(sorted({b for t in sized for b in t["mine"]}))), "array<string>")
+    # A text that holds a bigram holds its longer word: one look at the words spares most texts the search for bigrams.
+    rare = sorted({max(b.split(" "), key=len) for b in sought})
 
     def holds(norm: Column) -> Column:
         return reduce(Column.__or__, (norm.contains(b) for b in sought))
 
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).where(F.exists(F.array(_norm(F.col("text"))), holds))
+    def may_hold(norm: Column) -> Column:
+        return F.when(F.arrays_overlap(F.split(norm, " "), F.lit(rare)), holds(norm)).otherwise(False)
+
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).where(F.exists(F.array(_norm(F.col("text"))), may_hold))
     words = F.transform(F.split("text", "\n"), lambda said: F.filter(F.split(_norm(said), " "), lambda w: w != ""))
     rows = rows.select("doc_id", words.alias("lines"))
-    whole = F.filter(F.transform("lines", lambda ws, k: _line_match(ws, k, sized, least)), lambda m: m.isNotNull())
+    whole = F.filter(F.transform("lines", lambda ws, k: _line_match(ws, k, given, sized, least)), lambda m: m.isNotNull())
     line_of = F.flatten(F.transform("lines", lambda ws, k: F.transform(ws, lambda w: k)))
     rows = rows.select("doc_id", whole.alias("whole"), line_of.alias("line_of"), F.flatten("lines").alias("words"))
     rows = rows.where(F.size("words") > 1).select("doc_id", "whole", "line_of", _pairs(F.col("words")).alias("pairs"))
-    hits = F.transform("pairs", lambda p, at: F.when(p.isin(known), F.struct(at.alias("at"), p.alias("pair"))))
+    hits = F.transform("pairs", lambda p, at: F.when(F.array_contains(known, p), F.struct(at.alias("at"), p.alias("pair"))))
     rows = rows.select("*", F.filter(hits, lambda h: h.isNotNull()).alias("hits"))
-    runs = F.flatten(F.array(*(_windows(t, least) for t in sized)))
+    runs = F.flatten(F.filter(F.transform(given, lambda t: _windows(t, least)), lambda r: r.isNotNull()))
     apart = F.filter(runs, lambda w: ~F.exists("whole", lambda m: m["line"].between(w["line"], w["last"])))
     rows = rows.select("doc_id", "whole", F.array_sort(apart).alias("runs"))
 
@@ -181,7 +202,9 @@ def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     )
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = MIN_DICE) -> DataFrame:
+def scan(
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, keys: tuple[str, ...] = KEYS, least: float = MIN_DICE
+) -> DataFrame:
     """``(doc_id, n_lines, licence, score)`` for each licence of each doc_id, with its number of notices and best score.
 
     A notice is a line or a run of words (`notices`), at any place in a text of any length. Null and empty texts have
@@ -189,6 +212,6 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
     An empty table gives an empty result. The SQL twin names only the best licence of a doc_id and reads whole lines:
     the two agree on tables, such as the given ones, whose documents have one licence and no other notices.
     """
-    found = notices(docs, templates, least).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "licence")
+    found = notices(docs, templates, keys, least).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "licence")
     found = found.agg(F.count("*").alias("n_lines"), F.max("score").alias("score"))
     return found.select("doc_id", "n_lines", "licence", F.round("score", 9).alias("score"))

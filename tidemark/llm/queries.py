@@ -118,16 +118,20 @@ FROM sized GROUP BY conv_id"""
 
 
 def _op5_sql() -> str:
-    sized = [(i, name, licences.bigrams_of(text)) for i, (name, text) in enumerate(licences.TEMPLATES)]
-    values = ", ".join(f"({i}, {_quoted(name)}, [{', '.join(map(_quoted, b))}])" for i, name, b in sized)
+    sized = [(i, name, licences.bigrams_of(text), must) for i, ((name, text), must) in enumerate(zip(licences.TEMPLATES, licences.telling(), strict=True))]
+
+    def listed(x: list[str]) -> str:
+        return f"[{', '.join(map(_quoted, x))}]::VARCHAR[]"
+
+    values = ", ".join(f"({i}, {_quoted(name)}, {listed(b)}, {listed(must)})" for i, name, b, must in sized)
     return f"""
-WITH templates(template, licence, mine) AS (VALUES {values}),
+WITH templates(template, licence, mine, must) AS (VALUES {values}),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said FROM documents),
 norm AS (SELECT doc_id, row_number() OVER () AS line, string_split(trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM lines),
 pairs AS (SELECT doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS p FROM norm WHERE len(w) > 1),
 scored AS (
   SELECT doc_id, line, template, licence, 2.0::DOUBLE * len(list_intersect(p, mine)) / (len(p) + len(mine)) AS score
-  FROM pairs JOIN templates ON len(p) BETWEEN len(mine) * {licences.MIN_DICE} / (2 - {licences.MIN_DICE}) AND len(mine) * (2 - {licences.MIN_DICE}) / {licences.MIN_DICE}
+  FROM pairs JOIN templates ON list_has_all(p, must) AND len(p) BETWEEN len(mine) * {licences.MIN_DICE} / (2 - {licences.MIN_DICE}) AND len(mine) * (2 - {licences.MIN_DICE}) / {licences.MIN_DICE}
 ), best AS (
   SELECT * FROM scored WHERE score >= {licences.MIN_DICE}
   QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, template) = 1
