@@ -7,7 +7,6 @@ is not taken for a relative of it.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
 from functools import reduce
@@ -77,54 +76,71 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-_FIELDS = "array<struct<place:int,licence:string,mine:array<string>,must:array<string>,low:double,high:double,need:int,most:int>>"
+class _Given:
+    """The templates as a few literals, folded when a query is planned: expressions do not grow with their number.
 
+    A template is an index into them; its bigrams are cut out of one string where they are wanted."""
 
-def _given(templates: tuple[tuple[str, str], ...], keys: tuple[str, ...], least: float) -> tuple[Column, list[dict]]:
-    """The templates as one literal array, so that expressions do not grow with their number, and as rows."""
-    rows = []
-    for i, ((licence, text), must) in enumerate(zip(templates, telling(keys), strict=True)):
-        mine = bigrams_of(text)
-        low, high = bounds(len(mine), least)
-        sizes = {"low": low, "high": high, "need": _ceil(low), "most": _floor(high)}
-        rows.append({"place": -i, "licence": licence, "mine": mine, "must": must} | sizes)
-    return F.from_json(F.lit(json.dumps(rows)), _FIELDS), rows
+    def __init__(self, templates: tuple[tuple[str, str], ...], keys: tuple[str, ...], least: float):
+        mine, must = [bigrams_of(text) for _, text in templates], telling(keys)
+        spans = [bounds(len(b), least) for b in mine]
+        self.low, self.high = min(s[0] for s in spans), max(s[1] for s in spans)
+        self.known = sorted({b for bag in mine for b in bag})
 
+        def numbers(values: list, kind: str) -> Column:
+            return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
-def _score(bag: Column, t: Column) -> Column:
+        def strings(values: list[str]) -> Column:
+            return F.split(F.lit(";".join(values)), ";")
+
+        self.every = numbers(list(range(len(templates))), "int")
+        self._columns = {
+            "size": numbers([len(b) for b in mine], "int"), "keyed": numbers([len(b) for b in must], "int"),
+            "low": numbers([s[0] for s in spans], "double"), "high": numbers([s[1] for s in spans], "double"),
+            "need": numbers([_ceil(s[0]) for s in spans], "int"), "most": numbers([_floor(s[1]) for s in spans], "int"),
+            "licence": strings([name for name, _ in templates]), "mine": strings([",".join(b) for b in mine]),
+            "must": strings([",".join(b) for b in must]),
+        }
+
+    def of(self, index: Column, name: str) -> Column:
+        value = F.get(self._columns[name], index)
+        return F.split(value, ",") if name in ("mine", "must") else value
+
+
+def _score(bag: Column, given: _Given, t: Column) -> Column:
     """Dice coefficient of a set of bigrams with a template's, 0 without its whole key."""
-    held = F.size(F.array_intersect(bag, t["must"])) == F.size(t["must"])
-    same = F.size(F.array_intersect(bag, t["mine"]))
-    return F.when(held, 2.0 * same / (F.size(bag) + F.size(t["mine"]))).otherwise(0.0)
+    held = F.size(F.array_intersect(bag, given.of(t, "must"))) == given.of(t, "keyed")
+    same = F.size(F.array_intersect(bag, given.of(t, "mine")))
+    return F.when(held, 2.0 * same / (F.size(bag) + given.of(t, "size"))).otherwise(0.0)
 
 
-def _line_match(words: Column, line: Column, given: Column, rows: list[dict], least: float) -> Column:
+def _line_match(words: Column, line: Column, given: _Given, least: float) -> Column:
     """The best template of one line, null if none reaches ``least``."""
-    low, high = min(r["low"] for r in rows), max(r["high"] for r in rows)
 
     def best(pairs: Column) -> Column:
         # Size bounds first: only templates that the sizes allow are intersected.
-        fit = F.filter(given, lambda t: F.size(pairs).between(t["low"], t["high"]))
+        fit = F.filter(given.every, lambda t: F.size(pairs).between(given.of(t, "low"), given.of(t, "high")))
         found = F.transform(
             fit,
             lambda t: F.struct(
-                _score(pairs, t).alias("score"), t["place"].alias("place"), line.alias("line"), line.alias("last"),
-                t["licence"].alias("licence"),
+                _score(pairs, given, t).alias("score"), (-t).alias("place"), line.alias("line"), line.alias("last"),
+                given.of(t, "licence").alias("licence"),
             ),
         )
         top = _let(F.array_max(found), lambda x: F.when(x["score"] >= least, x))
-        return F.when(F.size(pairs).between(low, high), top)
+        return F.when(F.size(pairs).between(given.low, given.high) & F.exists(pairs, lambda p: F.array_contains(F.col("seen"), p)), top)
 
     # A set of n bigrams needs n + 1 words; repeated words can make a long line's set small.
-    return F.when(F.size(words) > low, _let(F.array_distinct(_pairs(words)), best))
+    return F.when(F.size(words) > given.low, _let(F.array_distinct(_pairs(words)), best))
 
 
-def _windows(t: Column, least: float) -> Column:
+def _windows(given: _Given, t: Column, least: float) -> Column:
     """Of the columns ``pairs`` and ``hits``: the best window from each place where one of the template's bigrams stands.
 
     A window begins and ends with bigrams of the template, since others at its ends only lower the score. Size bounds
     first: bigrams of the template too few, or too far apart, make no window.
     """
+    need, most = given.of(t, "need"), given.of(t, "most")
 
     def from_place(own: Column) -> Column:
         def best(start: Column, x: Column) -> Column:
@@ -132,24 +148,29 @@ def _windows(t: Column, least: float) -> Column:
                 length = end["at"] - start["at"] + 1
                 bag = F.array_distinct(F.slice("pairs", start["at"] + 1, length))
                 return F.struct(
-                    _let(bag, lambda b: _score(b, t)).alias("score"), (-length).alias("place"), start["at"].alias("first"),
+                    _let(bag, lambda b: _score(b, given, t)).alias("score"), (-length).alias("place"), start["at"].alias("first"),
                     end["at"].alias("end"),
                 )
 
-            ends = F.filter(F.slice(own, x + t["need"], t["most"] - t["need"] + 1), lambda e: e["at"] - start["at"] < t["most"])
+            ends = F.filter(F.slice(own, x + need, most - need + 1), lambda e: e["at"] - start["at"] < most)
             return F.array_max(F.transform(ends, scored))
 
         found = F.filter(F.transform(own, best), lambda w: w.isNotNull() & (w["score"] >= least))
-        return F.when(F.size(own) >= t["need"], found)
+        return F.when(F.size(own) >= need, found)
 
     def named(w: Column) -> Column:
         return F.struct(
-            w["first"].alias("first"), w["end"].alias("end"), w["score"].alias("score"), t["place"].alias("place"),
+            w["first"].alias("first"), w["end"].alias("end"), w["score"].alias("score"), (-t).alias("place"),
             F.element_at("line_of", w["first"] + 1).alias("line"), F.element_at("line_of", w["end"] + 2).alias("last"),
-            t["licence"].alias("licence"),
+            given.of(t, "licence").alias("licence"),
         )
 
-    return F.transform(_let(F.filter("hits", lambda h: F.array_contains(t["mine"], h["pair"])), from_place), named)
+    def among(mine: Column) -> Column:
+        return F.filter("hits", lambda h: F.array_contains(mine, h["pair"]))
+
+    # Fewer hits in the whole text than a template needs make no window of it.
+    found = F.transform(_let(_let(given.of(t, "mine"), among), from_place), named)
+    return F.when(F.size("hits") >= need, found)
 
 
 def notices(
@@ -159,9 +180,9 @@ def notices(
     line ends, that reach ``least`` and hold their template's key, each with its best template. Runs that share a word with a line found as a whole
     are part of it; of runs that overlap the best one counts, the earlier of equals.
     """
-    given, sized = _given(templates, keys, least)
+    given = _Given(templates, keys, least)
     sought = needles(templates, least)
-    known = F.from_json(F.lit(json.dumps(sorted({b for t in sized for b in t["mine"]}))), "array<string>")
+    known = F.split(F.lit(",".join(given.known)), ",")
     # A text that holds a bigram holds its longer word: one look at the words spares most texts the search for bigrams.
     rare = sorted({max(b.split(" "), key=len) for b in sought})
 
@@ -174,13 +195,16 @@ def notices(
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).where(F.exists(F.array(_norm(F.col("text"))), may_hold))
     words = F.transform(F.split("text", "\n"), lambda said: F.filter(F.split(_norm(said), " "), lambda w: w != ""))
     rows = rows.select("doc_id", words.alias("lines"))
-    whole = F.filter(F.transform("lines", lambda ws, k: _line_match(ws, k, given, sized, least)), lambda m: m.isNotNull())
     line_of = F.flatten(F.transform("lines", lambda ws, k: F.transform(ws, lambda w: k)))
-    rows = rows.select("doc_id", whole.alias("whole"), line_of.alias("line_of"), F.flatten("lines").alias("words"))
-    rows = rows.where(F.size("words") > 1).select("doc_id", "whole", "line_of", _pairs(F.col("words")).alias("pairs"))
-    hits = F.transform("pairs", lambda p, at: F.when(F.array_contains(known, p), F.struct(at.alias("at"), p.alias("pair"))))
+    rows = rows.select("doc_id", "lines", line_of.alias("line_of"), F.flatten("lines").alias("words"))
+    rows = rows.where(F.size("words") > 1).select("doc_id", "lines", "line_of", _pairs(F.col("words")).alias("pairs"))
+    seen = F.array_intersect(F.array_distinct("pairs"), known)
+    rows = rows.select("*", seen.alias("seen"))
+    hits = F.transform("pairs", lambda p, at: F.when(F.array_contains(F.col("seen"), p), F.struct(at.alias("at"), p.alias("pair"))))
     rows = rows.select("*", F.filter(hits, lambda h: h.isNotNull()).alias("hits"))
-    runs = F.flatten(F.filter(F.transform(given, lambda t: _windows(t, least)), lambda r: r.isNotNull()))
+    whole = F.filter(F.transform("lines", lambda ws, k: _line_match(ws, k, given, least)), lambda m: m.isNotNull())
+    runs = F.flatten(F.filter(F.transform(given.every, lambda t: _windows(given, t, least)), lambda r: r.isNotNull()))
+    rows = rows.select("*", whole.alias("whole"))
     apart = F.filter(runs, lambda w: ~F.exists("whole", lambda m: m["line"].between(w["line"], w["last"])))
     rows = rows.select("doc_id", "whole", F.array_sort(apart).alias("runs"))
 
