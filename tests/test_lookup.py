@@ -129,3 +129,20 @@ def test_interval_join_matches_brute_force(spark, data, keyed):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert lk.interval_join(rows.limit(0), table.drop("series_id")).collect() == []
     assert lk.interval_join(rows, table.limit(0), ("series_id",)).collect() == []
+
+
+def test_many_intervals_are_combined_before_the_join_and_never_broadcast(spark):
+    day = lambda i: F.date_add(F.lit("2001-01-01").cast("date"), i.cast("int"))
+    ids = spark.range(20_000)
+    table = ids.select((F.col("id") % 2).cast("string").alias("series_id"), day(F.col("id") % 50).alias("start"),
+                       day(F.col("id") % 50 + F.col("id") % 900).alias("end"), F.col("id").alias("label"))
+    rows = spark.range(400).select((F.col("id") % 4).cast("string").alias("series_id"), day(F.col("id")).alias("dt"))
+    parts = [F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.sum("label").alias("total")]
+    merged = [F.sum("n").alias("n"), F.min("low").alias("low"), F.sum("total").alias("total")]
+    plain, combined = lk.interval_join(rows, table, ("series_id",)), lk.interval_join(rows, table, ("series_id",), combine=parts)
+    by = ("series_id", "dt")
+    assert sorted(combined.groupBy(*by).agg(*merged).collect()) == sorted(plain.groupBy(*by).agg(*parts).collect())
+    assert combined.columns == ["series_id", "dt", "n", "low", "total"] and combined.count() <= 6 * rows.count()
+    for df in (plain, combined, lk.interval_join(rows, table.drop("series_id"))):
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line and "_cell" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)

@@ -340,9 +340,10 @@ def kll_quantile_bounds(spark, sf):
 @query
 def open_intervals_by_bar(spark, sf):
     bars = fx.supplier_bars(spark, sf).select("series_id", "dt")
-    hits = lk.interval_join(bars, fx.order_spans(spark, sf), ("series_id",))
+    parts = [F.count(F.lit(1)).alias("n_open"), F.min("label").alias("first_label"), F.sum("label").alias("label_sum")]
+    hits = lk.interval_join(bars, fx.order_spans(spark, sf), ("series_id",), combine=parts)
     return hits.groupBy("series_id", "dt").agg(
-        F.count(F.lit(1)).alias("n_open"), F.min("label").alias("first_label"), F.sum("label").alias("label_sum")
+        F.sum("n_open").alias("n_open"), F.min("first_label").alias("first_label"), F.sum("label_sum").alias("label_sum")
     )
 
 

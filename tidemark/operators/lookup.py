@@ -144,7 +144,7 @@ def dyadic_cover(start: Column, end: Column) -> Column:
 
 
 def interval_join(
-    rows: DataFrame, intervals: DataFrame, keys: Sequence[str] = (), salts: int = 16
+    rows: DataFrame, intervals: DataFrame, keys: Sequence[str] = (), salts: int = 16, *, combine: Sequence[Column] = ()
 ) -> DataFrame:
     """Rows with every interval ``(*keys, start, end, ...)`` of a *table* that contains their date.
 
@@ -153,6 +153,10 @@ def interval_join(
     further check, whatever the intervals' lengths and however many of them there are. With ``keys``
     an interval meets rows of its own series only; without, rows that share a long cell are spread over
     ``salts`` copies of it. A NULL end is open; empty intervals and NULL dates match nothing.
+
+    ``combine`` are named aggregates over interval columns that the caller merges per row afterwards (sums, counts,
+    minima): intervals of a cell are reduced to one row before the join, so a row meets one match for each cell
+    size however many intervals contain its date, and comes back with those columns instead of the intervals'.
     """
     keys = list(keys)
     payload = [c for c in intervals.columns if c not in keys]
@@ -173,8 +177,15 @@ def interval_join(
         for level in range(_DAY_BITS // _STEP + 1)
     ]
     at = [*keys, "_level", "_cell", "_salt"]
-    probed = rows.filter(F.col("dt").isNotNull()).select("*", F.inline(F.array(*probes)))
-    return probed.join(spread, at).select(*rows.columns, "_interval.*")
+    if combine:
+        spread = spread.select(*at, "_interval.*").groupBy(*at).agg(F.struct(*combine).alias("_interval"))
+    dated = rows.filter(F.col("dt").isNotNull())
+    if keys:
+        # Rows without any interval under their key need no probes.
+        dated = dated.join(intervals.select(*keys).distinct(), keys, "left_semi")
+    probed = dated.select("*", F.inline(F.array(*probes)))
+    # Size estimates do not see how many cells an interval becomes: never broadcast them by such an estimate.
+    return probed.join(spread.hint("merge"), at).select(*rows.columns, "_interval.*")
 
 
 def with_log_of_model(models: DataFrame, logs: DataFrame, mapping: dict[str, str]) -> DataFrame:
