@@ -144,3 +144,9 @@ def test_rolling_moments_do_not_cancel(spark):
     for i in (29, 30, 77, 199):
         part = np.array(values[i - 29 : i + 1])
         assert abs(got._m230.iloc[i] / ((part - part.mean()) ** 2).sum() - 1) < 1e-3
+
+
+def test_rolling_moments_share_one_sort(spark, bars):
+    for df in (ind.realised_volatility(bars.select("series_id", "dt", "close")), ind.realised_volatility(bars.select("series_id", "dt", "close"), (3, 64, 100))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 1

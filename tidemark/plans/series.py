@@ -136,39 +136,44 @@ def rolling_moments(df: DataFrame, w: WindowSpec, value: str, spans: tuple[int,
     """Adds ``_n<k>``, ``_mean<k>`` and ``_m2<k>``: count, mean and centred square sum of the values of
     the last k rows, nulls not counted. For use inside ``over_series``, with its window ``w``.
 
-    Rows are cut into blocks of k; a frame of k rows is the end of one block and the start of the
-    next, so it is merged from two running aggregates, one forward and one backward in each block. The
-    cost of a row does not depend on k, and nothing is subtracted, so nothing cancels.
+    The moments of the last 1, 2, 4, ... rows are each merged from two neighbours of half that length; a frame is
+    merged from the lengths that add up to k. All lags share the window's own order, so the rows are sorted once
+    whatever the spans. The cost of a row grows with log k, and nothing is subtracted, so nothing cancels.
     """
-    by = [*layout.keys, *([_CHUNK] if layout.chunked else [])]
-    kept = df.columns
-    df = df.withColumn("_at", F.row_number().over(w) - 1)
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    for k in spans:
-        df = df.withColumn("_b", F.floor(F.col("_at") / k))
-        block = Window.partitionBy(*by, "_b")
-        for tag, order in (("_p", F.col("_at")), ("_s", F.desc("_at"))):
-            frame = block.orderBy(order).rowsBetween(*upto)
-            n = F.count(value).over(frame)
-            part = F.struct(n.alias("n"), F.avg(value).over(frame).alias("mean"), F.var_pop(value).over(frame).alias("var"))
-            df = df.withColumn(tag, part)
-        # The last row of a block closes a frame that is the block itself.
-        tail = F.when(F.col("_at") % k < k - 1, F.lag("_s", k - 1).over(w))
-        df = df.withColumn("_s", tail)
-        zero = F.lit(0.0)
-        n1, m1, v1 = (F.coalesce(F.col(f"_s.{c}"), zero) for c in ("n", "mean", "var"))
-        n2, m2, v2 = (F.coalesce(F.col(f"_p.{c}"), zero) for c in ("n", "mean", "var"))
-        n = n1 + n2
-        gap = m2 - m1
+    kept, parts = df.columns, ("n", "mean", "m2")
+    zero = F.lit(0.0)
+
+    def merged(late: str, early: str) -> dict[str, Column]:
+        n1, m1, v1 = (F.coalesce(F.col(f"{early}{c}"), zero) for c in parts)
+        n2, m2, v2 = (F.col(f"{late}{c}") for c in parts)
+        n, gap = n1 + n2, m2 - m1
         both = F.try_divide(n1 * n2, n) * gap * gap
-        df = df.withColumns(
-            {
-                f"_n{k}": n,
-                f"_mean{k}": F.try_divide(n1 * m1 + n2 * m2, n),
-                f"_m2{k}": n1 * v1 + n2 * v2 + F.coalesce(both, zero),
-            }
-        )
-    return df.select(*kept, *[f"{c}{k}" for k in spans for c in ("_n", "_mean", "_m2")])
+        mean = F.coalesce(F.try_divide(n1 * m1 + n2 * m2, n), zero)
+        return dict(zip(parts, (n, mean, v1 + v2 + F.coalesce(both, zero)), strict=True))
+
+    # _d: the last 2^level rows. _a<k>: the last (k mod 2^level) rows, once there are any.
+    known = F.col(value).isNotNull()
+    df = df.withColumns({"_dn": known.cast("double"), "_dmean": F.coalesce(F.col(value).cast("double"), zero), "_dm2": F.when(known, F.col(value) * 0).otherwise(0).cast("double")})
+    spans, held = tuple(dict.fromkeys(spans)), dict.fromkeys(spans, 0)
+    for level in range(max(spans).bit_length()):
+        size = 1 << level
+        lags: dict[str, Column] = {}
+        grown: dict[str, Column] = {}
+        for k in spans:
+            if not k & size:
+                continue
+            if held[k]:
+                lags |= {f"_p{k}{c}": F.lag(f"_d{c}", held[k]).over(w) for c in parts}
+                grown |= {f"_a{k}{c}": v for c, v in merged(f"_a{k}", f"_p{k}").items()}
+            else:
+                grown |= {f"_a{k}{c}": F.col(f"_d{c}") for c in parts}
+            held[k] += size
+        if max(spans) >> level + 1:
+            lags |= {f"_p{c}": F.lag(f"_d{c}", size).over(w) for c in parts}
+            grown |= {f"_d{c}": v for c, v in merged("_d", "_p").items()}
+        df = df.withColumns(lags).withColumns(grown).drop(*lags)
+    out = [F.when(F.col(f"_a{k}n") > 0, F.col(f"_a{k}mean")).alias(f"_mean{k}") if c == "mean" else F.col(f"_a{k}{c}").alias(f"_{c}{k}") for k in spans for c in parts]
+    return df.select(*kept, *out)
 
 
 def running_max(df: DataFrame, value: str, out: str, layout: Layout = PLAIN) -> DataFrame:
