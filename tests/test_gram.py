@@ -185,3 +185,30 @@ def test_refit_scores_with_the_winner(bars):
 def test_no_job_and_no_broadcast_grows_with_the_series(bars):
     plan = gr.lag_regression(bars, REGISTRY["lstm_exp"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoop" not in plan and "Exchange SinglePartition" not in plan
+
+
+def test_large_batches_of_moments_are_cut_and_groups_across_cuts_merge(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    parts = {(f"s{i:03d}", j): gr._moments(rng.normal(size=(5 + i % 3, 8))) for i in range(40) for j in range(1 + i % 4)}
+    whole = gr._rows_of({(k[0], str(k[1])): v for k, v in parts.items()}, ("series_id", "part"), [pa.string(), pa.string()])
+    monkeypatch.setattr(gr, "WORK_BYTES", 3 * 8 * 8 * 9)
+    cuts = list(gr._slices(iter([whole.slice(0, 0), whole])))
+    assert max(c.num_rows for c in cuts) == 3 and pa.Table.from_batches(cuts).equals(pa.Table.from_batches([whole]))
+
+    def read(batch, rows):
+        state = None
+        for s in gr._states(batch.take(pa.array(rows))):
+            state = gr.merge(state, s)
+        return state
+
+    got = pa.Table.from_batches(gr._one_per_group(("series_id",), [pa.string()], read)(iter([whole]))).to_pylist()
+    assert [r["series_id"] for r in got] == sorted({k[0] for k in parts})
+    for r in got:
+        want = None
+        for k, v in parts.items():
+            want = gr.merge(want, v) if k[0] == r["series_id"] else want
+        assert r["n"] == want[0]
+        close_to(r["mean"], want[1])
+        close_to(r["m2"], want[2][gr._upper(8)])

@@ -27,6 +27,8 @@ from tidemark.plans import PLAIN, Layout
 
 #: Groups whose moments a task keeps open; with more, it writes out what it has and merging does the rest.
 MAX_OPEN = 512
+#: Bytes of square matrices that a task makes of its moments at a time; a fit needs about ten times as many.
+WORK_BYTES = 8 << 20
 
 State = tuple[int, np.ndarray, np.ndarray]
 
@@ -113,10 +115,10 @@ def _folded(
                 state = read(batch, rows)
                 if state is not None:
                     open_[key] = merge(open_.get(key), state)
-            if len(open_) > MAX_OPEN:
-                # Rows come sorted where they can, so most of these groups are complete.
-                yield _rows_of(open_, by, kinds)
-                open_ = {}
+                if len(open_) > MAX_OPEN:
+                    # Rows come sorted where they can, so most of these groups are complete.
+                    yield _rows_of(open_, by, kinds)
+                    open_ = {}
         if open_:
             yield _rows_of(open_, by, kinds)
 
@@ -153,6 +155,18 @@ def _arrow_kinds(df: DataFrame, by: Sequence[str]) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in _key_fields(df, by)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of moments cut so that the matrices of each fit ``WORK_BYTES``, however many rows Spark puts in one."""
+    for batch in batches:
+        if batch.num_rows:
+            # The longest triangle of the batch, doubled, is about its largest matrix.
+            ends = batch.column("m2").offsets.to_numpy()
+            size = 16 * max(1, int(np.diff(ends).max()))
+            step = max(1, WORK_BYTES // size)
+            for lo in range(0, batch.num_rows, step):
+                yield batch.slice(lo, step)
+
+
 def _states(batch: pa.RecordBatch) -> Iterator[State]:
     for n, mean, m2 in zip(batch.column("n").to_pylist(), batch.column("mean"), batch.column("m2"), strict=True):
         full = _square(m2.values.to_numpy()[None])[0]
@@ -181,9 +195,7 @@ def _one_per_group(by, kinds, read):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             done: dict[tuple, State] = {}
             found = sorted(_groups(batch, by), key=lambda g: g[1][0])
             for now, rows in found:
@@ -330,7 +342,7 @@ def fit(moments: DataFrame, n_targets: int | str = 1, penalty: float = 0.0, shar
     wide = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for part, targets, state in _by_size(batch, n_targets):
                 problem = Problem(*state, targets)
                 coef, intercept = problem.unscaled(problem.elastic_net(penalty, share))
@@ -491,7 +503,7 @@ def grid(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, folds = None, []
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
             for now, state in zip(keys, _states(batch), strict=True):
