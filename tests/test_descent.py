@@ -105,3 +105,18 @@ def test_shards_without_rows_no_validation_and_no_rows(spark):
     assert ds.fit_epochs(df.limit(0)).log == []
     holes = df.withColumn("X", F.when(F.col("dt") > dt.date(2020, 1, 3), F.col("X")))
     assert ds.fit_epochs(holes, ds.Descent("mse", "sgd", 0.1, 4, 1, 3, 2)).best is not None
+
+
+@pytest.mark.parametrize("size", [7, 40])
+def test_pieces_of_a_shard_bound_what_a_task_holds_and_keep_the_log(spark, monkeypatch, size):
+    how = ds.Descent("log_cosh", "adam", 0.05, 32, 4, 4, 3)
+    df = samples(spark)
+    whole = ds.fit_epochs(df, how)
+    monkeypatch.setattr(ds, "PIECE_ROWS", size)
+    dealt = ds._sharded(df, 3, -(-300 // (3 * size)))
+    width = F.length("block") / 8 / (F.col("inputs") + F.col("targets") + 1)
+    held = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(width).alias("n")).collect()
+    assert sum(r.n for r in held) == 300 and max(r.n for r in held) <= 3 * size
+    cut = ds.fit_epochs(df, how)
+    close_to(np.array(cut.log), np.array(whole.log), 1e-12)
+    close_to(cut.best.w, whole.best.w, 1e-12)

@@ -1,11 +1,15 @@
 """Iterative fits that leave a training log: mini-batch descent over many machines.
 
 Samples are dealt into a fixed number of shards, each in a hashed order, and checkpointed that way, so
-an epoch is one job without a shuffle. In an epoch every shard starts from the same weights and takes
-one step per mini-batch of its own; the shards' weights are then averaged by their samples. The same
-job measures the validation loss of the weights it starts from. Fits end when that loss has not
-improved for a while, and keep the weights that were best. What reaches the driver is one row of
-weights per shard and epoch; results do not depend on executors, only on the number of shards.
+an epoch shuffles nothing. In an epoch every shard starts from the same weights and takes one step per
+mini-batch of its own; the shards' weights are then averaged by their samples. The same pass measures
+the validation loss of the weights it starts from. Fits end when that loss has not improved for a
+while, and keep the weights that were best.
+
+A long shard is stored in pieces, consecutive ranges of its order, so that no task sorts more than a
+piece. Jobs read the pieces in order, one of every shard at a time, and each hands its shards' weights
+on to the next. What reaches the driver is one row of weights per shard and piece; results do not
+depend on executors or pieces, only on the number of shards.
 """
 
 from __future__ import annotations
@@ -15,13 +19,17 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
 #: Fixed values of Adam: decay of both running means, and what keeps its quotient finite.
 ADAM = (0.9, 0.999, 1e-7)
+#: Samples of a shard that one task sorts, about.
+PIECE_ROWS = 1 << 19
+#: Bytes of samples in one stored row.
+BLOCK_BYTES = 8 << 10
 
 
 @dataclass(frozen=True)
@@ -99,7 +107,8 @@ class _Pass:
         k = len(self.start.w)
         stop = len(rows) if whole else len(rows) - len(rows) % self.how.batch
         for lo in range(0, stop, self.how.batch):
-            x, y = np.split(rows[lo : min(lo + self.how.batch, stop)], [k], axis=1)
+            part = rows[lo : min(lo + self.how.batch, stop)]
+            x, y = part[:, :k], part[:, k:]
             error = x @ self.now.w - y
             value, slope = losses(error, self.how.loss)
             self.sums[:2] += value.mean(axis=1).sum(), (error**2).mean(axis=1).sum()
@@ -107,46 +116,102 @@ class _Pass:
             self.n += len(x)
         self.left, self.waiting = [rows[stop:]], len(rows) - stop
 
-    def done(self) -> tuple:
+    def done(self) -> _Pass:
         if self.waiting:
             self._steps(whole=True)
-        state = [self.now.w, self.now.m, self.now.v]
-        return self.n, self.val_n, self.now.steps, self.sums.tolist(), np.concatenate([s.ravel() for s in state])
+        return self
 
+    def state(self) -> tuple:
+        """Counts, sums, weights, and the samples that wait for a whole batch."""
+        weights = np.concatenate([s.ravel() for s in (self.now.w, self.now.m, self.now.v)])
+        left = np.concatenate([r.ravel() for r in self.left]) if self.waiting else np.zeros(0)
+        return self.n, self.val_n, self.now.steps, self.sums.tolist(), weights, left
 
-def _sharded(samples: DataFrame, shards: int) -> DataFrame:
-    """Samples of a shard in one partition, in hashed order, checkpointed like that."""
-    place = F.xxhash64("series_id", "dt")
-    flat = F.flatten("X").cast("array<double>")
+    @classmethod
+    def resumed(cls, start: Weights, how: Descent, row: Row) -> _Pass:
+        out = cls(start, how)
+        out.now = Weights(*np.reshape(row.state, (3, *start.w.shape)), steps=row.steps)
+        out.left = [np.reshape(row.left, (-1, sum(start.w.shape)))]
+        out.waiting = len(out.left[0])
+        out.n, out.val_n, out.sums = row.n, row.val_n, np.array(row.sums)
+        return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted samples as blocks of doubles, a sample's inputs, targets and whether it is held out in a row of the block:
+    every epoch then reads bytes instead of arrays."""
+    names = ["shard", "inputs", "targets", "block"]
+    for b in batches:
+        if b.num_rows:
+            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("x", "y"))
+            held_out = b.column("is_validation").to_numpy(zero_copy_only=False).astype(float)
+            rows = np.ascontiguousarray(np.hstack([x, y, held_out[:, None]]))
+            step = max(1, BLOCK_BYTES // rows[0].nbytes)
+            blocks = [rows[lo : lo + step].tobytes() for lo in range(0, len(rows), step)]
+            same = [b.column("shard")[0].as_py(), x.shape[1], y.shape[1]]
+            ints = [pa.array([v] * len(blocks), pa.int32()) for v in same]
+            yield pa.RecordBatch.from_arrays([*ints, pa.array(blocks, pa.binary())], names)
+
+
+def _sharded(samples: DataFrame, shards: int, pieces: int) -> DataFrame:
+    """Samples dealt into shards and checkpointed in hashed order; piece ``p`` of shard ``s`` is partition
+    ``s * pieces + p``."""
     rows = samples.select(
-        F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.xxhash64(F.lit(1), "series_id", "dt").alias("place"),
-        flat.alias("x"), F.col("y").cast("array<double>").alias("y"), "is_validation", "series_id", "dt",
+        F.pmod(F.xxhash64("series_id", "dt"), F.lit(shards)).cast("int").alias("shard"),
+        F.xxhash64(F.lit(1), "series_id", "dt").alias("place"),
+        F.flatten("X").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"),
+        "is_validation", "series_id", "dt",
     )
-    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("place", "series_id", "dt")
-    return materialise(dealt.select("shard", "x", "y", "is_validation"))
+    # Equal ranges of a hash hold about as many samples; 2^32 of them, counted up from the smallest place.
+    rank = F.shiftright("place", 32) + F.lit(1 << 31)
+    piece = F.shiftright(rank * F.lit(pieces), 32).cast("int")
+    dealt = rows.repartitionById(shards * pieces, F.col("shard") * F.lit(pieces) + piece)
+    ordered = dealt.sortWithinPartitions("place", "series_id", "dt").select("shard", "x", "y", "is_validation")
+    return materialise(ordered.mapInArrow(_packed, "shard int, inputs int, targets int, block binary"))
 
 
-_SPEC = "shard int, n long, val_n long, steps long, sums array<double>, state array<double>"
+_SPEC = "shard int, n long, val_n long, steps long, sums array<double>, state array<double>, left array<double>"
+_FIELDS = ("shard", "n", "val_n", "steps", "sums", "state", "left")
 
 
-def _epoch(rows: DataFrame, start: Weights, how: Descent) -> list:
+def _epoch(rows: DataFrame, pieces: int, start: Weights, how: Descent) -> list:
     """One row a shard: its samples, sums of losses, and the weights it ended with."""
+    found: dict[int, Row] = {}
+    for piece in range(pieces):
+        found |= {r.shard: r for r in _piece(rows, pieces, piece, start, how, found)}
+    # A shard's last samples may fall short of a batch.
+    ends = [(s, *_Pass.resumed(start, how, found[s]).done().state()) for s in sorted(found)]
+    return [Row(*_FIELDS)(*end) for end in ends]
+
+
+def _piece(rows: DataFrame, pieces: int, piece: int, start: Weights, how: Descent, before: dict[int, Row]) -> list[Row]:
+    """The next piece of every shard, from where the one before ended."""
+    k = len(start.w) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, shard = _Pass(start, how), None
+        work, shard = None, None
         for b in batches:
-            if b.num_rows:
+            if not b.num_rows:
+                continue
+            if work is None:
                 shard = b.column("shard")[0].as_py()
-                x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("x", "y"))
-                work.add(x, y, b.column("is_validation").to_numpy(zero_copy_only=False).astype(bool))
-        if shard is not None:
-            cols = [pa.array([v], t) for v, t in zip((shard, *work.done()), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                work = _Pass.resumed(start, how, before[shard]) if shard in before else _Pass(start, how)
+            for lo in range(0, b.num_rows, 1000):
+                flat = b"".join(v.as_buffer() for v in b.column("block").slice(lo, 1000))
+                block = np.frombuffer(flat).reshape(-1, sum(start.w.shape))
+                work.add(block[:, :k], block[:, k:-1], block[:, -1] != 0)
+        if work is not None:
+            cols = [pa.array([v], t) for v, t in zip((shard, *work.state()), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, list(_FIELDS))
 
     wide = pa.list_(pa.float64())
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), wide, wide]
-    names = ["shard", "n", "val_n", "steps", "sums", "state"]
-    return sorted(rows.mapInArrow(run, _SPEC).collect(), key=lambda r: r.shard)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), wide, wide, wide]
+    done = rows.mapInArrow(run, _SPEC)
+    if pieces == 1:
+        return done.collect()
+    # Only the tasks of this piece run.
+    wanted = range(piece, how.shards * pieces, pieces)
+    return rows.sparkSession.sparkContext.runJob(done.rdd, list, list(wanted))
 
 
 def averaged(found: list, start: Weights) -> Weights:
@@ -179,15 +244,17 @@ def fit_epochs(samples: DataFrame, how: Descent = Descent(), features: int | Non
     validation losses those of the weights the epoch ends with. Equal losses are no improvement.
     """
     clean = F.forall(F.flatten("X"), lambda v: v.isNotNull()) & F.forall("y", lambda v: v.isNotNull())
-    rows = _sharded(samples.filter(F.col("X").isNotNull() & clean), how.shards)
-    shape = rows.select(F.size("x").alias("x"), F.size("y").alias("y")).first()
+    # Samples are counted before the filter, so that no window has to be cut for it.
+    pieces = max(1, -(-samples.count() // (how.shards * PIECE_ROWS)))
+    rows = _sharded(samples.filter(F.col("X").isNotNull() & clean), how.shards, pieces)
+    shape = rows.select("inputs", "targets").first()
     out = Fit()
     if shape is None:
         return out
-    state, pending, best_loss = Weights.zeros(shape.x, shape.y), None, np.inf
+    state, pending, best_loss = Weights.zeros(shape.inputs, shape.targets), None, np.inf
     for epoch in range(how.epochs + 1):
-        # This job also measures what the last epoch ended with; after the last epoch that is all it is for.
-        found = _epoch(rows, state, how)
+        # This pass also measures what the last epoch ended with; after the last epoch that is all it is for.
+        found = _epoch(rows, pieces, state, how)
         val_n = sum(r.val_n for r in found)
         sums = np.sum([r.sums for r in found], axis=0)
         if pending is not None:
