@@ -254,19 +254,21 @@ class Problem:
             return self.ridge(penalty)
         out = np.zeros_like(self.c)
         k = self.r.shape[1]
+        rows = np.ascontiguousarray(self.r.transpose(1, 0, 2))  # R is symmetric
+        diags = np.ascontiguousarray(np.einsum("gii->ig", self.r))
         for t in range(self.c.shape[2]):
             strength = penalty / self.sd_y[:, t]
             l1, l2 = strength * share, strength * (1 - share)
+            divisors = np.where(diags + l2 > 0, diags + l2, 1.0)
             b, slope = np.zeros(self.c.shape[:2]), self.c[:, :, t].copy()  # slope = c - R b
             for _ in range(max_iter):
                 moved = 0.0
                 for j in range(k):
-                    diag = self.r[:, j, j]
-                    raw = slope[:, j] + diag * b[:, j]
-                    new = np.sign(raw) * np.maximum(np.abs(raw) - l1, 0) / np.where(diag + l2 > 0, diag + l2, 1.0)
+                    raw = slope[:, j] + diags[j] * b[:, j]
+                    new = np.sign(raw) * np.maximum(np.abs(raw) - l1, 0) / divisors[j]
                     step = new - b[:, j]
                     if step.any():
-                        slope -= self.r[:, :, j] * step[:, None]
+                        slope -= rows[j] * step[:, None]
                         b[:, j] = new
                         moved = max(moved, float(np.abs(step).max()))
                 if moved < tol:
@@ -490,12 +492,13 @@ def grid(
         if min(s[0] for s in (*rest, *folds)) < 2:
             return []
         stack = lambda states: (np.array([float(s[0]) for s in states]), *(np.stack([s[i] for s in states]) for i in (1, 2)))
-        train, test, whole = Problem(*stack(rest), n_targets), stack(folds), Problem(*stack([joined(folds)]), n_targets)
+        # The refit is searched along with the folds' fits.
+        problem, test = Problem(*stack([*rest, joined(folds)]), n_targets), stack(folds)
         scores, refits = [], []
         for penalty, share in cells:
-            coef, intercept = train.unscaled(train.elastic_net(penalty, share))
-            scores.append(-float(held_out_mse(*test, coef, intercept).mean()))
-            refits.append([x[0] for x in whole.unscaled(whole.elastic_net(penalty, share))])
+            coef, intercept = problem.unscaled(problem.elastic_net(penalty, share))
+            scores.append(-float(held_out_mse(*test, coef[:-1], intercept[:-1]).mean()))
+            refits.append((coef[-1], intercept[-1]))
         best = min(range(len(cells)), key=lambda c: (-scores[c], cells[c]))
         return [
             (*key, *cells[c], scores[c], c == best, refits[c][0].T.tolist(), refits[c][1].tolist()) for c in range(len(cells))
