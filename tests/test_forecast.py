@@ -117,3 +117,50 @@ def test_models_are_stored_and_not_refitted(spark, tmp_path):
     close_to(again.stages[-1].coefficients.toArray(), load_model(path).stages[-1].coefficients.toArray())
     scored = fo.score(samples, [again], "m").count()
     assert scored == 57
+
+
+def _samples(spark, n=240, inputs=3, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(0, 1, (n, 2, inputs))
+    y = x.reshape(n, -1) @ rng.normal(size=(2 * inputs, 2)) + rng.normal(0, 0.1, (n, 2))
+    rows = [("a", i + 1, n, x[i].tolist(), y[i].tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "series_id string, sample long, samples long, X array<array<double>>, y array<double>")
+
+
+def _counted(df):
+    """The same rows, and how many of them all jobs together have read."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5])
+def test_normal_equations_read_the_samples_once_for_all_horizons(spark, share):
+    df = _samples(spark)
+    lr = LinearRegression(regParam=1e-3, elasticNetParam=share, tol=1e-12, solver="normal")
+    rows, seen = _counted(df)
+    models = fo.fit_forecaster(rows, 2, lr)
+    assert seen.value == 240
+    for h, model in enumerate(models):
+        want = lr.fit(sq.with_features(df).withColumn("label", F.col("y")[h]))
+        close_to(model.stages[0].coefficients.toArray(), want.coefficients.toArray(), 1e-8)
+        close_to(np.array([model.stages[0].intercept]), np.array([want.intercept]), 1e-8)
+
+
+def test_stand_ins_of_flat_and_single_samples(spark):
+    df = _samples(spark, 5).withColumn("X", F.transform("X", lambda r: F.transform(r, lambda v: v * 0 + 2)))
+    flat = df.withColumn("y", F.array(F.lit(1.5))).withColumn("k", F.when(F.col("sample") < 5, 0).otherwise(1))
+    got = {r.k: r for r in fo.moment_samples(flat, ("k",)).collect()}
+    assert {k: (r.weight, r.y, r.features.toArray().tolist()) for k, r in got.items()} == {
+        0: (4.0, [1.5], [2.0] * 6), 1: (1.0, [1.5], [2.0] * 6),
+    }
+
+
+def test_other_estimators_pass_over_the_samples(spark):
+    for lr in (LinearRegression(solver="l-bfgs"), LinearRegression(loss="huber"), LinearRegression(weightCol="w")):
+        assert not fo.solves_normal_equations(lr)

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TRAIN_RATIO, ForecastSpec
 from tidemark.functions import change_pct
+from tidemark.operators.gram import gram, stand_ins
 from tidemark.operators.scaling import chronological_split, fit_scale, from_scaled, scale, unscale
 from tidemark.operators.sequences import latest_window, spec_sequences, with_features
 from tidemark.plans import PLAIN, Layout, over_series
@@ -95,25 +97,55 @@ def default_estimator() -> LinearRegression:
     return LinearRegression(regParam=1e-6, solver="normal", standardization=True)
 
 
-def fit_forecaster(
-    samples: DataFrame, n_predictions: int = 1, estimator: Estimator | None = None
-) -> list[PipelineModel]:
-    """One model per horizon (direct multi-step), pooled over all series.
+def solves_normal_equations(estimator: Estimator) -> bool:
+    """Whether a fit depends on unweighted samples through their moments alone."""
+    return (
+        type(estimator) is LinearRegression
+        and estimator.getLoss() == "squaredError"
+        and estimator.getSolver() != "l-bfgs"
+        and not estimator.isSet("weightCol")
+        and (estimator.getFeaturesCol(), estimator.getLabelCol()) == ("features", "label")
+    )
 
-    ``samples`` come from :func:`sequences` on scaled bars. Each fit is a distributed
-    aggregation of the normal equations; nothing but coefficients reaches the driver.
-    """
+
+def moment_samples(samples: DataFrame, by: Sequence[str] = (), n_targets: int = 1) -> DataFrame:
+    """``(*by, features, y, weight)``: weighted samples that least squares cannot tell from ``samples``, which are
+    read once for them."""
+    few = materialise(stand_ins(gram(samples, by), n_targets))
+    return few.select(*by, array_to_vector("x").alias("features"), "y", "weight")
+
+
+def fit_horizons(ready: DataFrame, n_predictions: int, estimator: Estimator) -> list[PipelineModel]:
+    """One model per horizon from ``ready(features, y)``, weighted where there is a column ``weight``."""
     from pyspark.ml import Pipeline
 
-    estimator = estimator or default_estimator()
-    ready = with_features(samples)
+    kept = ["features"]
+    if "weight" in ready.columns:
+        estimator = estimator.copy({estimator.weightCol: "weight"})
+        kept.append("weight")
     models = []
     for h in range(n_predictions):
-        labelled = ready.select("features", F.col("y")[h].alias("label"))
+        labelled = ready.select(*kept, F.col("y")[h].alias("label"))
         models.append(Pipeline(stages=[estimator.copy()]).fit(labelled))
     return models
 
 
+def fit_forecaster(
+    samples: DataFrame, n_predictions: int = 1, estimator: Estimator | None = None
+) -> list[PipelineModel]:
+    """One model per horizon (direct multi-step), pooled over all series.
+
+    ``samples`` come from :func:`sequences` on scaled bars. A linear regression by normal equations
+    needs their moments only: they are read once for all horizons, samples with a missing value are
+    left out, and the fits run on the few weighted samples that have the same moments (so a model's
+    training summary counts those). Any other estimator passes over the samples themselves.
+    """
+    estimator = estimator or default_estimator()
+    few = solves_normal_equations(estimator)
+    ready = moment_samples(samples, n_targets=n_predictions) if few else with_features(samples)
+    return fit_horizons(ready, n_predictions, estimator)
+
+
 def score(
     samples: DataFrame, models: Sequence[PipelineModel], name: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -355,6 +355,34 @@ def fit(moments: DataFrame, n_targets: int | str = 1, penalty: float = 0.0, shar
     return moments.filter("n > 1").mapInArrow(run, f"{keys + ', ' if keys else ''}n long, {_MODEL}")
 
 
+def stand_ins(moments: DataFrame, n_targets: int = 1) -> DataFrame:
+    """``(keys..., x, y, weight)``: a few weighted samples with the same moments as all that the moments stand for.
+
+    Least squares, penalties on standardised inputs and mean squared errors depend on samples through their moments
+    alone, so an estimator of that kind gets the same model from these, whatever passes it makes. There is a pair for
+    each direction in which the samples spread, at equal distances from the mean, and one at the mean if they do not.
+    """
+    by = [c for c in moments.columns if c not in ("n", "mean", "m2")]
+    names = [*by, "x", "y", "weight"]
+    wide = pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            for i, (n, mean, m2) in enumerate(_states(batch)):
+                value, vector = np.linalg.eigh(m2)
+                spread = (vector * np.sqrt(np.maximum(value, 0)))[:, value > 0].T
+                pairs = len(spread)
+                away = spread * np.sqrt(pairs / n)
+                z = np.vstack([mean + away, mean - away]) if pairs else mean[None]
+                k = len(mean) - n_targets
+                keys = [pa.array([batch.column(c)[i].as_py()] * len(z), batch.schema.field(c).type) for c in by]
+                made = [pa.array(z[:, :k].tolist(), wide), pa.array(z[:, k:].tolist(), wide), pa.array([n / len(z)] * len(z))]
+                yield pa.RecordBatch.from_arrays([*keys, *made], names)
+
+    keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in _key_fields(moments, by))
+    return moments.mapInArrow(run, f"{keys}x array<double>, y array<double>, weight double")
+
+
 def predicted(window: Column, coef: Column, intercept: Column) -> Column:
     """A fit's prediction for a window ``X``."""
     terms = F.zip_with(F.flatten(window), coef, lambda x, c: x * c)
