@@ -10,6 +10,7 @@ from tidemark.config import REGISTRY, ForecastSpec
 from tidemark.operators import forecast as fo
 from tidemark.operators import scaling as sc
 from tidemark.operators import sequences as sq
+from tidemark.operators import tuning as tu
 from tidemark.sources import load_model, load_or_fit, save_model
 
 def _exact():
@@ -164,3 +165,31 @@ def test_stand_ins_of_flat_and_single_samples(spark):
 def test_other_estimators_pass_over_the_samples(spark):
     for lr in (LinearRegression(solver="l-bfgs"), LinearRegression(loss="huber"), LinearRegression(weightCol="w")):
         assert not fo.solves_normal_equations(lr)
+
+
+def test_grid_and_sweep_read_a_windows_rows_once(spark, monkeypatch):
+    df = _samples(spark)
+    rows, seen = _counted(df)
+    scores = tu.cross_validated_grid(rows, (1e-6, 1e-2), (0.0, 0.5))[0].collect()
+    assert seen.value == 240
+    ready = sq.contiguous_folds(sq.with_features(df)).withColumn("label", F.col("y")[0])
+    for r in scores:
+        lr, errors = LinearRegression(maxIter=20, tol=1e-6, regParam=r.param_reg, elasticNetParam=r.param_elastic_net), []
+        for fold in range(2):
+            scored = lr.fit(ready.filter(F.col("fold") != fold)).transform(ready.filter(F.col("fold") == fold))
+            errors.append(scored.agg(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0])
+        assert r.mean_test_score == pytest.approx(-np.mean(errors), rel=1e-6)
+    reads = []
+
+    def counted_sequences(*args, **options):
+        out, seen = _counted(sq.sequences(*args, **options))
+        reads.append(seen)
+        return out
+
+    scaled = sc.fit_scale(to_spark(spark, random_bars(4, {"a": 60, "b": 45})))
+    monkeypatch.setattr(tu, "sequences", counted_sequences)
+    got = {r.inputs: r.val_loss for r in tu.sweep_lookbacks(scaled, (2, 3)).collect()}
+    assert [s.value for s in reads] == [sum(r.n - k for r in scaled.groupBy("series_id").agg(F.count("dt").alias("n")).collect()) for k in (2, 3)]
+    monkeypatch.setattr(tu, "solves_normal_equations", lambda estimator: False)
+    want = {r.inputs: r.val_loss for r in tu.sweep_lookbacks(scaled, (2, 3)).collect()}
+    assert got == pytest.approx(want, rel=1e-8)

@@ -18,10 +18,17 @@ from tidemark.config import (
     VALIDATION_RATIO,
 )
 from tidemark.operators.evaluate import error
-from tidemark.operators.forecast import fit_forecaster, score
+from tidemark.operators.forecast import (
+    default_estimator,
+    fit_forecaster,
+    fit_horizons,
+    moment_samples,
+    score,
+    solves_normal_equations,
+)
 from tidemark.operators.indicators import lagged_means
 from tidemark.operators.scaling import chronological_split, fit_scale
-from tidemark.operators.sequences import contiguous_folds, sequences, tail_validation, with_features
+from tidemark.operators.sequences import contiguous_folds, sequences, tail_validation
 from tidemark.plans import PLAIN, Layout, over_series
 from tidemark.schema import FEATURES
 from tidemark.session import materialise
@@ -180,13 +187,15 @@ def cross_validated_grid(
     """Spark ML grid search with contiguous folds over pooled samples.
 
     Returns the score table (mean over folds of minus the MSE) and the fitted search, whose
-    ``bestModel`` is refitted on all samples.
+    ``bestModel`` is refitted on all samples. Every cell is a least squares fit and a mean squared
+    error, so the search runs on a few weighted samples with the moments of each fold, for which the
+    samples are read once.
     """
-    ready = contiguous_folds(with_features(samples), folds).select(
-        "features", F.col("y")[0].alias("label"), "fold"
+    dealt = contiguous_folds(samples, folds).withColumn("y", F.slice("y", 1, 1))
+    ready = moment_samples(dealt, ("fold",)).select(
+        "features", F.col("y")[0].alias("label"), "fold", "weight"
     )
-    ready = materialise(ready)  # read by every cell and fold
-    lr = LinearRegression(maxIter=max_iter, tol=tol)
+    lr = LinearRegression(maxIter=max_iter, tol=tol, solver="normal", weightCol="weight")
     grid = (
         ParamGridBuilder()
         .addGrid(lr.regParam, list(reg_params))
@@ -196,7 +205,7 @@ def cross_validated_grid(
     search = CrossValidator(
         estimator=lr,
         estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(metricName="mse"),
+        evaluator=RegressionEvaluator(metricName="mse", weightCol="weight"),
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,
@@ -221,15 +230,27 @@ def sweep_lookbacks(
 ) -> DataFrame:
     """Validation loss of the pooled Spark ML forecaster per look-back size.
 
-    The loop is over the few sizes; each fit and its score is a distributed job.
+    The loop is over the few sizes; each fit and its score is a distributed job. For a linear
+    regression by normal equations one pass over a size's windows gives the moments of both parts,
+    and fit and loss follow from few weighted samples.
     """
     base = materialise(scaled_train)
+    estimator = estimator or default_estimator()
     out = None
     for k in sizes:
         samples = tail_validation(sequences(base, k, 1, n_features, layout=layout), validation)
-        models = fit_forecaster(samples.filter(~F.col("is_validation")), 1, estimator)
-        scored = score(samples.filter("is_validation"), models, "sweep")
-        row = scored.agg(F.avg(error() * error()).alias("val_loss")).select(F.lit(k).alias("inputs"), "val_loss")
+        if solves_normal_equations(estimator):
+            few = moment_samples(samples, ("is_validation",))
+            [model] = fit_horizons(few.filter(~F.col("is_validation")), 1, estimator)
+            scored = model.transform(few.filter("is_validation")).select(
+                F.col("y")[0].alias("y_true"), F.col("prediction").alias("y_pred"), "weight"
+            )
+            loss = F.try_divide(F.sum(F.col("weight") * error() * error()), F.sum("weight"))
+        else:
+            models = fit_forecaster(samples.filter(~F.col("is_validation")), 1, estimator)
+            scored = score(samples.filter("is_validation"), models, "sweep")
+            loss = F.avg(error() * error())
+        row = scored.agg(loss.alias("val_loss")).select(F.lit(k).alias("inputs"), "val_loss")
         out = row if out is None else out.unionByName(row)
     return out
 
