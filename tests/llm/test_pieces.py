@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import SF, docs_frame
@@ -89,6 +90,35 @@ def test_cache_limit_does_not_change_results(lattices, monkeypatch):
     assert [[r[0].tolist() for r in x] for x in got] == [[r[0].tolist() for r in x] for x in want]
 
 
+def test_texts_are_scanned_together(lattices, monkeypatch):
+    texts = [*TEXTS, *("word " * n + "end" for n in range(1, 40)), "a longer text, of many words. " * 200]
+    alone = [op.sampled(lattices, [t], [i], 3)[0] for i, t in enumerate(texts)]
+    calls, below = [], op._below
+    monkeypatch.setattr(op, "_below", lambda *x: calls.append(len(x[0])) or below(*x))
+    together = op.sampled(lattices, texts, list(range(len(texts))), 3)
+    # A text of 3,000 characters is scanned in six steps at most, thrice, whatever stands beside it.
+    assert len(calls) <= 3 * 6
+    plain = [[[(x[0].tolist(), *x[1:]) for x in rows] for rows in found] for found in (alone, together)]
+    assert plain[0] == plain[1]
+
+
+def test_open_nodes_of_a_long_path(lattices, monkeypatch):
+    texts = ["a longer text, of many words. " * 300, "short", "x" * 2000]
+    want = op.sampled(lattices, texts, [1, 2, 3], 4)
+    monkeypatch.setattr(op, "_SCAN", 7)
+    got = op.sampled(lattices, texts, [1, 2, 3], 4)
+    assert [[(x[0].tolist(), *x[1:]) for x in rows] for rows in got] == [[(x[0].tolist(), *x[1:]) for x in rows] for rows in want]
+
+
+def test_decode_all(lattices):
+    v = lattices.vocabulary
+    rows = [[], [v.byte_id[0xE6]], [v.byte_id[0xBC], v.byte_id[0xA2]], op.sampled(lattices, ["a \U0001f600"], [1], 1)[0][0][0].tolist(), [], [5, 900, 31_000]]
+    offsets = np.cumsum([0, *map(len, rows)])
+    flat = np.array(sum(rows, []), np.int32)
+    assert op.decode_all(v, flat, offsets) == [op.decode(v, x) for x in rows]
+    assert op.decode_all(v, flat[:0], offsets[:1]) == [] and op.decode_all(v, flat[:0], np.zeros(3, np.int32)) == ["", ""]
+
+
 def test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = op.segmented(docs.select("doc_id", "text"), decode_to="back").join(docs.select("doc_id", "text"), "doc_id")

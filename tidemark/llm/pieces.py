@@ -56,6 +56,7 @@ class Vocabulary:
                 # Pieces without a place in that order (the lone mark, runs of marks): only single ones are needed.
                 if score > -1e8 or len(piece) == 1:
                     usable[piece] = (i, min(1.0 - score, float(size)))
+        self.spelt = pa.array(self.out, pa.large_binary())
         total = sum(1.0 / rank for _, rank in usable.values())
         weight = {piece: (i, _PER_CHAR ** len(piece) / (rank * total)) for piece, (i, rank) in usable.items()}
         self.byte_weight = 0.1 * min((1.0 / (rank * total) for _, rank in usable.values()), default=0.1) * _PER_CHAR
@@ -132,66 +133,73 @@ class Lattices:
         """Lattices of new words, all at once. Nodes are numbered by the characters left, so sums run over slices."""
         v = self.vocabulary
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.array([len(w) for w in words])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
-        left = np.repeat(ends, lengths) - np.arange(len(chars))
-        order = np.argsort(left, kind="stable")
-        node = np.empty(len(chars) + 1, np.int64)
-        node[order] = np.arange(len(chars))
         at = np.arange(len(chars))
-        parts = [(at, 1, v.single[chars], v.single_weight[chars])]
+        left = np.repeat(ends, lengths) - at
+        # Short keys are sorted by their digits.
+        order = np.argsort(left.astype(np.uint16) if lengths.max() < 1 << 16 else left, kind="stable")
+        node = np.empty(len(chars), np.int64)
+        node[order] = at
         classes, state, step = v.char_class[chars], np.zeros(len(chars), np.int32), 0
+        parts, edges = [], np.ones(len(chars), np.int64)
         while len(at):
             state = v.child[state, classes[at + step]]
             step += 1
-            hit = v.piece[state] >= 0
-            if hit.any():
-                parts.append((at[hit], step, v.piece[state[hit]], v.weight[state[hit]]))
-            go = (state > 0) & (state < v.inner) & (left[at] > step)
+            hit = np.flatnonzero(v.weight[state])
+            if len(hit):
+                parts.append((at[hit], step, state[hit]))
+                edges[parts[-1][0]] += 1
+            go = np.flatnonzero((state > 0) & (state < v.inner) & (left[at] > step))
             at, state = at[go], state[go]
-        parts.reverse()  # longest first: they tend to be the likeliest
-        src = np.concatenate([node[x[0]] for x in parts])
-        to = np.concatenate([np.where(left[x[0]] > x[1], node[np.minimum(x[0] + x[1], len(chars))], -1) for x in parts])
-        code, weight = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
-        by_node = np.argsort(src, kind="stable")
-        src, to, code, weight = src[by_node], to[by_node], code[by_node], weight[by_node]
-        head = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
-        log_mass, share = np.zeros(len(chars) + 1), np.empty(len(src))  # the last: what lies behind a word's end
-        levels = np.r_[0, np.cumsum(np.bincount(left))[1:]]
+        # Edges go to their places by node, longest first: they tend to be the likeliest.
+        edges = edges[order]
+        tail = np.cumsum(edges)
+        head = tail - edges
+        slot = head[node]
+        to, code, weight = (np.empty(int(tail[-1]), kind) for kind in (np.int64, np.int64, np.float64))
+        for at, step, state in reversed(parts):
+            place = slot[at]
+            slot[at] += 1
+            to[place] = np.where(left[at] > step, node[np.minimum(at + step, len(chars) - 1)], -1)
+            code[place], weight[place] = v.piece[state], v.weight[state]
+        to[slot] = np.where(left > 1, np.append(node[1:], -1), -1)
+        code[slot], weight[slot] = v.single[chars], v.single_weight[chars]
+        log_mass, share = np.zeros(len(chars) + 1), np.empty(len(to))  # the last: what lies behind a word's end
+        levels = np.r_[0, np.cumsum(np.bincount(left))[1:]].tolist()
         for lo, hi in zip(levels, levels[1:], strict=False):
             if lo == hi:
                 continue
-            e_lo, e_hi = head[lo], head[hi] if hi < len(head) else len(src)
-            first = head[lo:hi] - e_lo
+            e_lo, e_hi = head[lo], tail[hi - 1]
+            first, times = head[lo:hi] - e_lo, edges[lo:hi]
             logs = log_mass[to[e_lo:e_hi]]
             top = np.maximum.reduceat(logs, first)
-            of = src[e_lo:e_hi] - lo
-            mass = weight[e_lo:e_hi] * np.exp(logs - top[of])
+            logs -= np.repeat(top, times)
+            mass = np.exp(logs, out=logs)
+            mass *= weight[e_lo:e_hi]
             total = np.add.reduceat(mass, first)
-            share[e_lo:e_hi] = mass / total[of]
+            np.divide(mass, np.repeat(total, times), out=share[e_lo:e_hi])
             log_mass[lo:hi] = top + np.log(total)
         run = np.cumsum(share)
-        run -= np.r_[0.0, run][head][src]
-        run[np.r_[head[1:], len(src)] - 1] = 2.0
+        run -= np.repeat(np.append(0.0, run)[head], edges)
+        run[tail - 1] = 2.0
         base = self.nodes
         self.word.update(zip(words, (node[ends - lengths] + base).tolist(), strict=True))
-        self._put("first", base, np.append(head, len(src)) + self.edges)
-        edges = {"run": run, "logs": np.log(share), "to": np.where(to >= 0, to + base, -1), "code": code, "node": src + base}
-        for name, values in edges.items():
-            self._put(name, self.edges, values)
-        self.nodes, self.edges = base + len(chars), self.edges + len(src)
+        self._put("first", base, np.append(head, len(to)) + self.edges)
+        to[to >= 0] += base
+        values = {"run": run, "logs": np.log(share, out=share), "to": to, "code": code}
+        for name, x in (values | {"node": np.repeat(np.arange(base, base + len(chars)), edges)}).items():
+            self._put(name, self.edges, x)
+        self.nodes, self.edges = base + len(chars), self.edges + len(to)
 
     def starts(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
         """The node where each word starts, and the words that were new."""
-        known = self.word
-        at = list(map(known.get, words))
-        missing = [i for i, x in enumerate(at) if x is None]
-        new = list(dict.fromkeys(words[i] for i in missing))
+        place = dict.fromkeys(words)  # small beside the words known, so that most words are looked up nearby
+        new = [w for w in place if w not in self.word]
         if new:
             self._add(new)
-        for i in missing:
-            at[i] = known[words[i]]
-        return np.array(at, np.int64), new
+        place = dict(zip(place, map(self.word.__getitem__, place), strict=True))
+        return np.fromiter(map(place.__getitem__, words), np.int64, len(words)), new
 
     def walk(self, node: np.ndarray, mixed_seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample an edge from each node to the end of its word: all edges, word after word, and each word's count."""
@@ -215,7 +223,7 @@ class Lattices:
         return out, steps
 
 
-def _below(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def _below(mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values with the given log masses, truncated at ``top``."""
     return mass - np.log(np.exp(np.minimum(mass - top, 700.0)) - np.log(u))
 
@@ -226,6 +234,11 @@ _HIGHEST = 38.0
 _SCAN = 512
 
 
+def _stream(n: int) -> int:
+    """Counter of the first draw of a text's stream ``n``."""
+    return (1 << 62) + (n << 40)
+
+
 class _Search:
     """Best-first search of one text's tree of choices."""
 
@@ -235,40 +248,13 @@ class _Search:
         self.heap: list[tuple] = []
         self.paths: list[tuple[np.ndarray, np.ndarray, float, float]] = []  # edges, word of each edge, log mass, value
         self.ties = 0
+        self.logs = self.mass = np.zeros(0)  # of the last path's edges, and of its prefixes
 
-    def _u(self, stream: int, at: np.ndarray) -> np.ndarray:
-        return draw(self.seed, np.uint64((1 << 62) + (stream << 40)) + at.astype(np.uint64))
-
-    def found(self, edges: np.ndarray, word: np.ndarray, from_: int, used: float, value: float, barred: tuple[int, ...]) -> None:
-        """A new leaf: its path branched off at edge ``from_``, whose node has ``used`` of its mass gone to ``barred``.
-
-        Every later edge leaves a node open: the rest of its mass. Only the k best of them can matter, and prefix masses
-        fall along the path, so the scan ends where no Gumbel value could reach the k-th best.
-        """
-        logs = self.lat.logs[edges]
-        mass = np.cumsum(logs, dtype=np.float64)
-        sample, n, done = len(self.paths), len(edges), from_
-        self.paths.append((edges, word, float(mass[-1]) if n else 0.0, value))
-        best: list[tuple[float, int]] = []
-        while done < n:
-            at = np.arange(done, min(done + _SCAN, n))
-            logs_here = logs[done : done + _SCAN]
-            rest = -np.expm1(logs_here)
-            if done == from_:
-                rest[0] -= used
-            keep = np.flatnonzero(rest > 1e-12)
-            before = mass[done : done + _SCAN][keep] - logs_here[keep]
-            values = _below(before + np.log(rest[keep]), value, self._u(sample, at[keep]))
-            for i in np.argpartition(-values, self.k)[: self.k] if len(values) > self.k else range(len(values)):
-                best.append((float(values[i]), int(at[keep[i]])))
-            best = sorted(best, reverse=True)[: self.k]
-            done += _SCAN
-            if len(best) == self.k and done < n and mass[done - 1] + _HIGHEST < best[-1][0]:
-                break
-        for v, at in best:
-            gone = (barred if at == from_ else ()) + (int(edges[at]),)
-            heapq.heappush(self.heap, (-v, self.ties, sample, at, gone))
-            self.ties += 1
+    def found(self, edges: np.ndarray, word: np.ndarray, value: float) -> None:
+        """A new leaf."""
+        self.logs = self.lat.logs[edges]
+        self.mass = np.cumsum(self.logs, dtype=np.float64)
+        self.paths.append((edges, word, float(self.mass[-1]) if len(edges) else 0.0, value))
 
     def branch(self) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray, float, tuple[int, ...]] | None:
         """Take the best open node: the edges up to it with one new edge, the nodes still to walk, and their words."""
@@ -281,14 +267,62 @@ class _Search:
         weights = np.exp(self.lat.logs[lo:hi])
         weights[[g - lo for g in gone]] = 0.0
         run = np.cumsum(weights)
-        u = float(self._u((1 << 20) + self.ties, np.zeros(1))[0])
+        u = float(draw(self.seed, np.array([_stream((1 << 20) + self.ties)], np.uint64))[0])
         self.ties += 1
         new = lo + min(int(np.searchsorted(run, u * run[-1], side="right")), hi - lo - 1)
         w = int(word[at])
         nodes, of = self.words[w + 1 :], np.arange(w + 1, len(self.words))
         if self.lat.to[new] >= 0:
             nodes, of = np.append(self.lat.to[new], nodes), np.append(w, of)
-        return np.append(edges[:at], new).astype(np.int32), word[: at + 1], at, nodes, of, -value, gone
+        head = edges[: at + 1].copy()
+        head[at] = new
+        return head, word[: at + 1], at, nodes, of, -value, gone
+
+
+def _opened(found: list[tuple[_Search, int, float, tuple[int, ...]]]) -> None:
+    """Open the nodes that the last path of each search leaves: the path branched off at edge ``from_``, whose node has
+    ``used`` of its mass gone to ``barred``.
+
+    Every later edge leaves a node open: the rest of its mass. Only the k best of them can matter, and prefix masses
+    fall along the path, so its scan ends where no Gumbel value could reach the k-th best. The searches scan together.
+    """
+    best: list[list[tuple[float, int]]] = [[] for _ in found]
+    mass, logs = [s.mass for s, *_ in found], [s.logs for s, *_ in found]
+    todo = [(i, from_) for i, (_, from_, _, _) in enumerate(found) if from_ < len(mass[i])]
+    while todo:
+        lengths = np.array([min(_SCAN, len(mass[i]) - done) for i, done in todo])
+        begin = np.cumsum(lengths) - lengths
+        of = np.repeat(np.arange(len(todo)), lengths)
+        at = np.arange(len(of)) + (np.array([done for _, done in todo]) - begin)[of]
+        here = np.concatenate([logs[i][done : done + _SCAN] for i, done in todo])
+        rest = -np.expm1(here)
+        for (i, done), lo in zip(todo, begin.tolist(), strict=True):
+            if done == found[i][1]:
+                rest[lo] -= found[i][2]
+        keep = np.flatnonzero(rest > 1e-12)
+        of, at = of[keep], at[keep]
+        before = np.concatenate([mass[i][done : done + _SCAN] for i, done in todo])[keep] - here[keep]
+        top = np.array([found[i][0].paths[-1][3] for i, _ in todo])
+        seed = np.array([found[i][0].seed[0] for i, _ in todo])
+        stream = np.array([_stream(len(found[i][0].paths) - 1) for i, _ in todo], np.uint64)
+        values = _below(before + np.log(rest[keep]), top[of], draw(seed[of], stream[of] + at.astype(np.uint64)))
+        ends = np.searchsorted(of, np.arange(len(todo) + 1)).tolist()
+        after = []
+        for (i, done), lo, hi in zip(todo, ends, ends[1:], strict=False):
+            s, some = found[i][0], values[lo:hi]
+            first = np.argpartition(-some, s.k)[: s.k] if hi - lo > s.k else np.arange(hi - lo)
+            best[i] += zip(some[first].tolist(), at[lo:hi][first].tolist(), strict=True)
+            best[i] = sorted(best[i], reverse=True)[: s.k]
+            done += _SCAN
+            if done < len(mass[i]) and not (len(best[i]) == s.k and mass[i][done - 1] + _HIGHEST < best[i][-1][0]):
+                after.append((i, done))
+        todo = after
+    for (s, from_, _, barred), nodes in zip(found, best, strict=True):
+        edges = s.paths[-1][0]
+        for value, at in nodes:
+            gone = (barred if at == from_ else ()) + (int(edges[at]),)
+            heapq.heappush(s.heap, (-value, s.ties, len(s.paths) - 1, at, gone))
+            s.ties += 1
 
 
 def sampled(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -312,20 +346,18 @@ def sampled(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> list[l
         counter = (of.astype(np.uint64) << np.uint64(24)) + np.uint64(sample << 48)
         edges, steps = lat.walk(nodes, seed, counter)
         edge_ends, at = np.cumsum(steps), 0
-        after = []
-        for s, head, head_word, from_, _, word, value, gone in todo:
+        for s, head, head_word, _, _, word, value, _ in todo:
             n = len(word)
             lo = int(edge_ends[at - 1]) if at else 0
             hi = int(edge_ends[at + n - 1]) if at + n else 0
             whole = np.concatenate([head, edges[lo:hi]])
-            whole_word = np.concatenate([head_word, np.repeat(word, steps[at : at + n])])
+            # The last sample is not branched off.
+            whole_word = np.concatenate([head_word, np.repeat(word, steps[at : at + n])]) if sample + 1 < k else word
             at += n
-            s.found(whole, whole_word, from_, sum(math.exp(lat.logs[g]) for g in gone), value, gone)
-            if sample + 1 < k:
-                b = s.branch()
-                if b:
-                    after.append((s, *b[:2], b[2], *b[3:]))
-        todo = after
+            s.found(whole, whole_word, value)
+        _opened([(t[0], t[3], sum(math.exp(lat.logs[g]) for g in t[7]), t[7]) for t in todo])
+        if sample + 1 < k:
+            todo = [(t[0], *b) for t in todo if (b := t[0].branch())]
     out = []
     for s in searches:
         limit = -s.heap[0][0] if s.heap else -math.inf
@@ -404,7 +436,7 @@ def segmented(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, decode_to:
         cols += [pa.array([f[0] for f in flat], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
         cols += [pa.array([f[i] for f in flat], pa.float64()) for i in (2, 3, 4)]
         if decode_to:
-            cols.append(pa.array([decode(vocabulary, f[1].tolist()) for f in flat], pa.string()))
+            cols.append(pa.array(decode_all(vocabulary, values, offsets), pa.string()))
         return pa.RecordBatch.from_arrays(cols, names)
 
     kind = StructType([docs.schema[c] for c in rest]).add("rank", IntegerType()).add("ids", ArrayType(IntegerType()))
@@ -420,6 +452,14 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return (text[1:] if text[:1] == b" " else text).decode(errors="replace")
 
 
+def decode_all(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """The texts, as of `decode`, of runs of ids that lie behind each other."""
+    spelt = vocabulary.spelt.take(pa.array(ids))
+    ends, data = np.frombuffer(spelt.buffers()[1], np.int64), memoryview(spelt.buffers()[2] or b"")
+    at = ends[offsets].tolist() if len(ids) else [0] * len(offsets)
+    return [str(data[s + (data[s:e][:1] == b" ") : e], "utf-8", "replace") for s, e in zip(at, at[1:], strict=False)]
+
+
 def decoded(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:
     """``rows`` with ``ids array<int>`` decoded to a column ``to`` (null ids: null text)."""
     proto = read_model(model)
