@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import close_to
+from tests.helpers import close_to, random_bars, to_spark
 from tidemark.operators import descent as ds
+from tidemark.operators import scaling as sc
+from tidemark.operators import sequences as sq
 from tidemark.operators import training as tr
 
 SCHEMA = "series_id string, dt date, X array<array<double>>, y array<double>, is_validation boolean"
@@ -120,3 +122,77 @@ def test_pieces_of_a_shard_bound_what_a_task_holds_and_keep_the_log(spark, monke
     cut = ds.fit_epochs(df, how)
     close_to(np.array(cut.log), np.array(whole.log), 1e-12)
     close_to(cut.best.w, whole.best.w, 1e-12)
+
+
+def windows(spark, lengths, inputs=10):
+    return sq.tail_validation(sq.sequences(sc.fit_scale(to_spark(spark, random_bars(3, lengths))), inputs))
+
+
+def raw_bytes(df):
+    return df.select(sum(F.length(c) for c, kind in df.dtypes if kind == "binary").alias("n")).agg(F.sum("n")).first()[0]
+
+
+def test_what_a_fit_keeps_on_disk_does_not_grow_with_the_window(spark, monkeypatch):
+    kept, real = [], ds.materialise
+    monkeypatch.setattr(ds, "materialise", lambda df, **how: kept.append(real(df, **how)) or kept[-1])
+    lengths = {"a": 400, "b": 300, "c": 12, "d": 5}
+    for inputs in (5, 20):
+        fit = ds.fit_epochs(windows(spark, lengths, inputs), ds.Descent("mse", "adam", 0.01, 16, 2, 2, 3))
+        assert len(fit.log) == 2
+    # A row has six features, a target, a place and the rest.
+    assert [raw_bytes(df) <= 100 * sum(lengths.values()) for df in kept] == [True, True]
+
+
+def test_windows_come_back_from_runs_as_they_were(spark, monkeypatch):
+    monkeypatch.setattr(ds, "BLOCK_BYTES", 3000)
+    df = windows(spark, {"a": 150, "b": 60, "c": 11}, 4).filter("dt != '2001-03-01' and sample % 17 != 0")
+    want = {r.place: (*np.ravel(r.X), 1.0, *r.y) for r in df.select("X", "y", F.xxhash64(F.lit(1), "series_id", "dt").alias("place")).collect()}
+    got = {}
+    for r in ds._sharded(df, 2, 3).collect():
+        places = np.frombuffer(r.place, np.int64)
+        rows = np.frombuffer(r.block).reshape(len(places), -1)
+        got |= {int(p): tuple(v) for p, v in zip(places, rows, strict=True)}
+    assert got == want and len(want) == df.count()
+
+
+@pytest.mark.parametrize("size", [20, 1 << 19])
+def test_ranges_are_on_disk_one_at_a_time_and_keep_the_log(spark, monkeypatch, size):
+    how, df = ds.Descent("log_cosh", "adam", 0.02, 16, 3, 4, 3), windows(spark, {"a": 300, "b": 200})
+    whole, live, seen = ds.fit_epochs(df, how), [], []
+    pinned, released = ds.pinned, ds.released
+
+    def pin(rows):
+        assert not live
+        live.append(pinned(rows))
+        seen.append(raw_bytes(live[0]))
+        return live[0]
+
+    monkeypatch.setattr(ds, "pinned", pin)
+    monkeypatch.setattr(ds, "released", lambda rows: released(rows) or live.clear())
+    monkeypatch.setattr(ds, "LEAST_ROOM", 0)
+    monkeypatch.setattr(ds, "PIECE_ROWS", size)
+    cut = ds.fit_epochs(df, how)
+    stored = raw_bytes(ds._stored(df, how.shards))
+    assert not live and len(seen) >= 3 * how.epochs and max(seen) <= 1.3 * ds.RUNS_ROOM * stored
+    close_to(np.array(cut.log), np.array(whole.log), 1e-12)
+    close_to(cut.best.w, whole.best.w, 1e-12)
+
+
+def test_samples_of_one_place_are_read_in_the_same_order_however_they_came():
+    rng = np.random.default_rng(5)
+    place, rows = rng.integers(0, 6, 50), rng.integers(0, 3, (50, 4)).astype(float)
+    shuffled = rng.permutation(50)
+    first, second = rows[ds._order(place, rows)], rows[shuffled][ds._order(place[shuffled], rows[shuffled])]
+    assert np.array_equal(first, second) and np.array_equal(np.sort(place), place[ds._order(place, rows)])
+
+
+def test_shuffle_files_go_with_the_table_that_needed_them(spark):
+    context, name = spark.sparkContext, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = ds.pinned(spark.range(1000).repartitionById(3, F.col("id").cast("int") % 3))
+    shuffle = max(i for i in range(1 << 14) if context._jsc.sc().env().mapOutputTracker().containsShuffle(i))
+    assert held.count() == held.count() == 1000
+    ds.released(held)
+    assert not context._jsc.sc().env().mapOutputTracker().containsShuffle(shuffle)
+    before = spark.conf.get(name, None)
+    assert ds.materialise(spark.range(9).repartition(3), keep_shuffles=False).count() == 9
+    assert spark.conf.get(name, None) == before

@@ -1,20 +1,25 @@
 """Iterative fits that leave a training log: mini-batch descent over many machines.
 
-Samples are dealt into a fixed number of shards, each in a hashed order, and checkpointed that way, so
-an epoch shuffles nothing. In an epoch every shard starts from the same weights and takes one step per
-mini-batch of its own; the shards' weights are then averaged by their samples. The same pass measures
-the validation loss of the weights it starts from. Fits end when that loss has not improved for a
-while, and keep the weights that were best.
+Samples are dealt into a fixed number of shards, each in a hashed order. In an epoch every shard starts
+from the same weights and takes one step per mini-batch of its own; the shards' weights are then averaged
+by their samples, and the validation loss of the mean is measured. Fits end when that loss has not
+improved for a while, and keep the weights that were best.
 
-A long shard is stored in pieces, consecutive ranges of its order, so that no task sorts more than a
+Neighbouring windows share all their rows but one, so samples are checkpointed as runs of windows, a row
+of values stored once. An epoch cuts the windows of a range of places from the runs, deals them to the
+shards, and drops them before it goes on to the next range: windows that lie on disk take a fixed multiple
+of the room of the runs. Where all fit at once they are dealt once, for all epochs.
+
+A shard's range is dealt in pieces, consecutive ranges of its order, so that no task sorts more than a
 piece. Jobs read the pieces in order, one of every shard at a time, and each hands its shards' weights
 on to the next. What reaches the driver is one row of weights per shard and piece; results do not
-depend on executors or pieces, only on the number of shards.
+depend on executors, ranges or pieces, only on the number of shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager, nullcontext
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -22,14 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import materialise, pinned, released
 
 #: Fixed values of Adam: decay of both running means, and what keeps its quotient finite.
 ADAM = (0.9, 0.999, 1e-7)
 #: Samples of a shard that one task sorts, about.
 PIECE_ROWS = 1 << 19
 #: Bytes of samples in one stored row.
-BLOCK_BYTES = 8 << 10
+BLOCK_BYTES = 256 << 10
+#: Sorted samples that a task reads at a time.
+READ_ROWS = 1 << 12
+#: Bytes of windows that a task cuts before it deals them.
+DEALT_BYTES = 32 << 20
+#: Windows on disk at a time take at most so many times the bytes of the runs, or so many bytes.
+RUNS_ROOM, LEAST_ROOM = 2, 512 << 20
 
 
 @dataclass(frozen=True)
@@ -68,150 +79,253 @@ class Weights:
         return Weights(self.w - step, m, v, t)
 
 
-def losses(error: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each error's loss and its slope."""
+def losses(error: np.ndarray, loss: str) -> np.ndarray:
+    """Each error's loss."""
     if loss == "mse":
-        return error**2, 2 * error
+        return error**2
     size = np.abs(error)
-    return size + np.log1p(np.exp(-2 * size)) - np.log(2.0), np.tanh(error)
+    return size + np.log1p(np.exp(-2 * size)) - np.log(2.0)
+
+
+def slopes(error: np.ndarray, loss: str) -> np.ndarray:
+    return 2 * error if loss == "mse" else np.tanh(error)
 
 
-def _with_one(x: np.ndarray) -> np.ndarray:
-    return np.hstack([x, np.ones((len(x), 1))])
+def _sums(error: np.ndarray, loss: str) -> np.ndarray:
+    """The samples' losses and squared errors, added up."""
+    return np.array([losses(error, loss).mean(axis=1).sum(), (error**2).mean(axis=1).sum()])
 
 
 class _Pass:
-    """One shard's epoch, fed with blocks of samples in order."""
+    """One shard's epoch, fed with samples in order: rows of inputs, a one and targets."""
 
     def __init__(self, start: Weights, how: Descent):
         self.start, self.now, self.how = start, start, how
-        self.left: list[np.ndarray] = []
-        self.waiting = 0
-        self.n = self.val_n = 0
-        self.sums = np.zeros(4)  # loss, squared error, and both over validation samples
-
-    def add(self, x: np.ndarray, y: np.ndarray, held_out: np.ndarray) -> None:
-        if held_out.any():
-            error = _with_one(x[held_out]) @ self.start.w - y[held_out]
-            self.val_n += len(error)
-            self.sums[2] += losses(error, self.how.loss)[0].mean(axis=1).sum()
-            self.sums[3] += (error**2).mean(axis=1).sum()
-        if not held_out.all():
-            self.left.append(np.hstack([_with_one(x[~held_out]), y[~held_out]]))
-            self.waiting += len(self.left[-1])
-            if self.waiting >= self.how.batch:
-                self._steps(whole=False)
-
-    def _steps(self, whole: bool) -> None:
-        rows = np.vstack(self.left)
+        self.left = np.zeros((0, sum(start.w.shape)))
+        self.n = 0
+        self.sums = np.zeros(2)
+
+    def add(self, rows: np.ndarray) -> None:
+        rows = np.vstack([self.left, rows]) if len(self.left) else rows
+        self.left = rows[self._steps(rows, len(rows) - len(rows) % self.how.batch) :]
+
+    def _steps(self, rows: np.ndarray, stop: int) -> int:
         k = len(self.start.w)
-        stop = len(rows) if whole else len(rows) - len(rows) % self.how.batch
+        errors = np.empty((stop, rows.shape[1] - k))
         for lo in range(0, stop, self.how.batch):
-            part = rows[lo : min(lo + self.how.batch, stop)]
-            x, y = part[:, :k], part[:, k:]
-            error = x @ self.now.w - y
-            value, slope = losses(error, self.how.loss)
-            self.sums[:2] += value.mean(axis=1).sum(), (error**2).mean(axis=1).sum()
-            self.now = self.now.moved(x.T @ slope / error.size, self.how)
-            self.n += len(x)
-        self.left, self.waiting = [rows[stop:]], len(rows) - stop
+            hi = min(lo + self.how.batch, stop)
+            x = rows[lo:hi, :k]
+            error = x @ self.now.w - rows[lo:hi, k:]
+            errors[lo:hi] = error
+            self.now = self.now.moved(x.T @ slopes(error, self.how.loss) / error.size, self.how)
+        self.n += stop
+        self.sums += _sums(errors, self.how.loss)
+        return stop
 
     def done(self) -> _Pass:
-        if self.waiting:
-            self._steps(whole=True)
+        if len(self.left):
+            self.left = self.left[self._steps(self.left, len(self.left)) :]
         return self
 
     def state(self) -> tuple:
-        """Counts, sums, weights, and the samples that wait for a whole batch."""
+        """Count, sums, weights, and the samples that wait for a whole batch."""
         weights = np.concatenate([s.ravel() for s in (self.now.w, self.now.m, self.now.v)])
-        left = np.concatenate([r.ravel() for r in self.left]) if self.waiting else np.zeros(0)
-        return self.n, self.val_n, self.now.steps, self.sums.tolist(), weights, left
+        return self.n, self.now.steps, self.sums.tolist(), weights, self.left.ravel()
 
     @classmethod
     def resumed(cls, start: Weights, how: Descent, row: Row) -> _Pass:
         out = cls(start, how)
         out.now = Weights(*np.reshape(row.state, (3, *start.w.shape)), steps=row.steps)
-        out.left = [np.reshape(row.left, (-1, sum(start.w.shape)))]
-        out.waiting = len(out.left[0])
-        out.n, out.val_n, out.sums = row.n, row.val_n, np.array(row.sums)
+        out.left = np.reshape(row.left, (-1, sum(start.w.shape)))
+        out.n, out.sums = row.n, np.array(row.sums)
         return out
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted samples as blocks of doubles, a sample's inputs, targets and whether it is held out in a row of the block:
-    every epoch then reads bytes instead of arrays."""
-    names = ["shard", "inputs", "targets", "block"]
+_RUNS = "inputs int, targets int, width int, n int, held int, bytes long, values binary, y binary, place binary, shard binary, marks binary"
+#: What a sample's mark says: its window shares no row with the one before; it is held out.
+FRESH, HELD_OUT = 1, 2
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Samples as runs of windows. A window that continues the one before adds its last row of values, another all rows."""
     for b in batches:
-        if b.num_rows:
-            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("x", "y"))
-            held_out = b.column("is_validation").to_numpy(zero_copy_only=False).astype(float)
-            rows = np.ascontiguousarray(np.hstack([x, y, held_out[:, None]]))
-            step = max(1, BLOCK_BYTES // rows[0].nbytes)
-            blocks = [rows[lo : lo + step].tobytes() for lo in range(0, len(rows), step)]
-            same = [b.column("shard")[0].as_py(), x.shape[1], y.shape[1]]
-            ints = [pa.array([v] * len(blocks), pa.int32()) for v in same]
-            yield pa.RecordBatch.from_arrays([*ints, pa.array(blocks, pa.binary())], names)
-
-
-def _sharded(samples: DataFrame, shards: int, pieces: int) -> DataFrame:
-    """Samples dealt into shards and checkpointed in hashed order; piece ``p`` of shard ``s`` is partition
-    ``s * pieces + p``."""
+        if not b.num_rows:
+            continue
+        x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("x", "y"))
+        k, span = x.shape[1], max(1, b.column("span")[0].as_py())
+        width = k // span if k % span == 0 else k
+        place, shard = (b.column(c).to_numpy() for c in ("place", "shard"))
+        held = b.column("is_validation").to_numpy(zero_copy_only=False).astype(bool)
+        fresh = np.ones(len(x), bool)
+        if width < k:
+            # Equal to the bit, so that the windows come back as they were.
+            bits = np.ascontiguousarray(x).view(np.int64)
+            fresh[1:] = (bits[1:, :-width] != bits[:-1, width:]).any(axis=1)
+        blocks, step = [], max(1, BLOCK_BYTES // ((width + y.shape[1]) * 8 + 13))
+        for lo in range(0, len(x), step):
+            some, new = x[lo : lo + step], fresh[lo : lo + step]
+            new[0] = True
+            ends = np.where(new, k, width).cumsum()
+            values = np.empty(ends[-1])
+            values[ends[:, None] + np.arange(-width, 0)] = some[:, -width:]
+            values[ends[new, None] + np.arange(-k, 0)] = some[new]
+            out = held[lo : lo + step]
+            marks = (new * FRESH + out * HELD_OUT).astype(np.uint8)
+            parts = values, y[lo : lo + step], place[lo : lo + step], shard[lo : lo + step], marks
+            parts = [np.ascontiguousarray(p).tobytes() for p in parts]
+            blocks.append((k, y.shape[1], width, len(some), int(out.sum()), sum(map(len, parts)), *parts))
+        ints = [pa.int32()] * 5 + [pa.int64()]
+        columns = zip(zip(*blocks, strict=True), [*ints, *[pa.binary()] * 5], strict=True)
+        names = [c.split()[0] for c in _RUNS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names)
+
+
+def _stored(samples: DataFrame, shards: int) -> DataFrame:
+    """The samples as checkpointed runs of windows, with the shards and places that they are dealt by."""
     rows = samples.select(
+        F.flatten("X").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"), F.size("X").alias("span"),
         F.pmod(F.xxhash64("series_id", "dt"), F.lit(shards)).cast("int").alias("shard"),
-        F.xxhash64(F.lit(1), "series_id", "dt").alias("place"),
-        F.flatten("X").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"),
-        "is_validation", "series_id", "dt",
+        F.xxhash64(F.lit(1), "series_id", "dt").alias("place"), F.coalesce("is_validation", F.lit(True)).alias("is_validation"),
     )
-    # Equal ranges of a hash hold about as many samples; 2^32 of them, counted up from the smallest place.
-    rank = F.shiftright("place", 32) + F.lit(1 << 31)
-    piece = F.shiftright(rank * F.lit(pieces), 32).cast("int")
-    dealt = rows.repartitionById(shards * pieces, F.col("shard") * F.lit(pieces) + piece)
-    ordered = dealt.sortWithinPartitions("place", "series_id", "dt").select("shard", "x", "y", "is_validation")
-    return materialise(ordered.mapInArrow(_packed, "shard int, inputs int, targets int, block binary"))
+    return materialise(rows.mapInArrow(_runs, _RUNS), keep_shuffles=False)
+
+
+class _Block:
+    """A stored row of runs."""
+
+    def __init__(self, b: pa.RecordBatch, i: int):
+        raw = lambda c, kind: np.frombuffer(b.column(c)[i].as_buffer(), kind)
+        self.k, targets, width = (b.column(c)[i].as_py() for c in ("inputs", "targets", "width"))
+        self.place, self.shard, marks = raw("place", np.int64), raw("shard", np.int32), raw("marks", np.uint8)
+        self.y = raw("y", np.float64).reshape(-1, targets)
+        self.held_out = marks & HELD_OUT != 0
+        self.first = np.where(marks & FRESH, self.k, width).cumsum() - self.k
+        self.values = raw("values", np.float64)
+
+    def rows(self, wanted: np.ndarray) -> np.ndarray:
+        """Inputs, a one and targets of samples."""
+        out = np.empty((len(wanted), self.k + 1 + self.y.shape[1]))
+        out[:, : self.k] = np.lib.stride_tricks.sliding_window_view(self.values, self.k)[self.first[wanted]]
+        out[:, self.k] = 1
+        out[:, self.k + 1 :] = self.y[wanted]
+        return out
 
 
-_SPEC = "shard int, n long, val_n long, steps long, sums array<double>, state array<double>, left array<double>"
-_FIELDS = ("shard", "n", "val_n", "steps", "sums", "state", "left")
+def _blocks(b: pa.RecordBatch) -> Iterator[_Block]:
+    return (_Block(b, i) for i in range(b.num_rows))
 
 
-def _epoch(rows: DataFrame, pieces: int, start: Weights, how: Descent) -> list:
-    """One row a shard: its samples, sums of losses, and the weights it ended with."""
-    found: dict[int, Row] = {}
-    for piece in range(pieces):
-        found |= {r.shard: r for r in _piece(rows, pieces, piece, start, how, found)}
-    # A shard's last samples may fall short of a batch.
-    ends = [(s, *_Pass.resumed(start, how, found[s]).done().state()) for s in sorted(found)]
-    return [Row(*_FIELDS)(*end) for end in ends]
+def _sharded(samples: DataFrame, shards: int, pieces: int, some: range | None = None, held_out: bool = True) -> DataFrame:
+    """Samples, or runs of them, dealt into shards and pieces: piece ``some[i]`` of shard ``s`` is partition ``i * shards + s``.
+    They come unsorted, in blocks of rows of doubles (inputs, a one, targets), with their places."""
+    stored = samples if "marks" in samples.columns else _stored(samples, shards)
+    some = range(pieces) if some is None else some
 
+    def cut(held: list, k: int, targets: int) -> pa.RecordBatch:
+        rows, place, part = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(part, kind="stable")
+        step = max(1, BLOCK_BYTES // rows[0].nbytes)
+        together = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+        blocks = [at[lo : lo + step] for at in together for lo in range(0, len(at), step)]
+        ints = [[part[at[0]] for at in blocks], [k] * len(blocks), [targets] * len(blocks)]
+        raw = [[c[at].tobytes() for at in blocks] for c in (place, rows)]
+        arrays = [*(pa.array(c, pa.int32()) for c in ints), *(pa.array(c, pa.binary()) for c in raw)]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "inputs", "targets", "place", "block"])
 
-def _piece(rows: DataFrame, pieces: int, piece: int, start: Weights, how: Descent, before: dict[int, Row]) -> list[Row]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, shape = [], 0, ()
+        for b in batches:
+            for block in _blocks(b):
+                # Equal ranges of a hash hold about as many samples; 2^32 of them, counted up from the smallest place.
+                piece = ((block.place >> 32) + (1 << 31)) * pieces >> 32
+                wanted = (piece >= some.start) & (piece < some.stop)
+                at = np.flatnonzero(wanted if held_out else wanted & ~block.held_out)
+                if len(at):
+                    held.append((block.rows(at), block.place[at], (piece[at] - some.start) * shards + block.shard[at]))
+                    size, shape = size + held[-1][0].nbytes, (block.k, block.y.shape[1])
+                if size >= DEALT_BYTES:
+                    yield cut(held, *shape)
+                    held, size = [], 0
+        if held:
+            yield cut(held, *shape)
+
+    dealt = stored.mapInArrow(deal, "part int, inputs int, targets int, place binary, block binary")
+    return dealt.repartitionById(shards * len(some), "part")
+
+
+@contextmanager
+def _dealt(stored: DataFrame, how: Descent, pieces: int, some: range) -> Iterator[DataFrame]:
+    """The training samples of some pieces, on disk until the block ends."""
+    rows = pinned(_sharded(stored, how.shards, pieces, some, held_out=False))
+    try:
+        yield rows
+    finally:
+        released(rows)
+
+
+_SPEC = "shard int, n long, steps long, sums array<double>, state array<double>, left array<double>"
+_FIELDS = ("shard", "n", "steps", "sums", "state", "left")
+
+
+def _order(place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Samples by their places, those of one place by their values, however they came."""
+    order = np.argsort(place, kind="stable")
+    same = np.diff(place[order]) == 0
+    if same.any():
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        at = order[tied]
+        order[tied] = at[np.lexsort((*rows[at].T[::-1], place[at]))]
+    return order
+
+
+def _piece(rows: DataFrame, i: int, start: Weights, how: Descent, before: dict[int, Row]) -> list[Row]:
     """The next piece of every shard, from where the one before ended."""
-    k = len(start.w) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, shard = None, None
+        shard, place, flat = None, bytearray(), bytearray()
         for b in batches:
-            if not b.num_rows:
-                continue
-            if work is None:
-                shard = b.column("shard")[0].as_py()
-                work = _Pass.resumed(start, how, before[shard]) if shard in before else _Pass(start, how)
-            for lo in range(0, b.num_rows, 1000):
-                flat = b"".join(v.as_buffer() for v in b.column("block").slice(lo, 1000))
-                block = np.frombuffer(flat).reshape(-1, sum(start.w.shape))
-                work.add(block[:, :k], block[:, k:-1], block[:, -1] != 0)
-        if work is not None:
-            cols = [pa.array([v], t) for v, t in zip((shard, *work.state()), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, list(_FIELDS))
+            for j in range(b.num_rows):
+                shard = b.column("part")[j].as_py() % how.shards
+                place += b.column("place")[j].as_buffer()
+                flat += b.column("block")[j].as_buffer()
+        if shard is None:
+            return
+        rows = np.frombuffer(flat).reshape(-1, sum(start.w.shape))
+        order = _order(np.frombuffer(place, np.int64), rows)
+        work = _Pass.resumed(start, how, before[shard]) if shard in before else _Pass(start, how)
+        for lo in range(0, len(order), READ_ROWS):
+            work.add(rows[order[lo : lo + READ_ROWS]])
+        cols = [pa.array([v], t) for v, t in zip((shard, *work.state()), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(cols, list(_FIELDS))
 
     wide = pa.list_(pa.float64())
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), wide, wide, wide]
-    done = rows.mapInArrow(run, _SPEC)
-    if pieces == 1:
-        return done.collect()
+    kinds = [pa.int32(), pa.int64(), pa.int64(), wide, wide, wide]
     # Only the tasks of this piece run.
-    wanted = range(piece, how.shards * pieces, pieces)
-    return rows.sparkSession.sparkContext.runJob(done.rdd, list, list(wanted))
+    wanted = range(i * how.shards, (i + 1) * how.shards)
+    return rows.sparkSession.sparkContext.runJob(rows.mapInArrow(run, _SPEC).rdd, list, list(wanted))
+
+
+def _ended(found: dict[int, Row], start: Weights, how: Descent) -> list[Row]:
+    """One row a shard: its samples, sums of losses, and the weights it ends with; its last samples may fall short of a batch."""
+    ends = [(s, *_Pass.resumed(start, how, found[s]).done().state()) for s in sorted(found)]
+    return [Row(*_FIELDS)(*end) for end in ends]
+
+
+def _held_out(stored: DataFrame, w: np.ndarray, loss: str) -> list[float | None]:
+    """Mean loss and squared error of the held-out samples."""
+    k = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros(2)
+        for b in batches:
+            for block in _blocks(b):
+                rows = block.rows(np.flatnonzero(block.held_out))
+                n, sums = n + len(rows), sums + _sums(rows[:, :k] @ w - rows[:, k:], loss)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()])], ["n", "sums"])
+
+    found = stored.filter("held > 0").mapInArrow(run, "n long, sums array<double>").collect()
+    return (np.sum([r.sums for r in found], axis=0) / sum(r.n for r in found)).tolist() if found else [None, None]
 
 
 def averaged(found: list, start: Weights) -> Weights:
@@ -244,33 +358,35 @@ def fit_epochs(samples: DataFrame, how: Descent = Descent(), features: int | Non
     validation losses those of the weights the epoch ends with. Equal losses are no improvement.
     """
     clean = F.forall(F.flatten("X"), lambda v: v.isNotNull()) & F.forall("y", lambda v: v.isNotNull())
-    # Samples are counted before the filter, so that no window has to be cut for it.
-    pieces = max(1, -(-samples.count() // (how.shards * PIECE_ROWS)))
-    rows = _sharded(samples.filter(F.col("X").isNotNull() & clean), how.shards, pieces)
-    shape = rows.select("inputs", "targets").first()
+    stored = _stored(samples.filter(F.col("X").isNotNull() & clean), how.shards)
+    size = stored.agg(F.sum(F.col("n") - F.col("held")).alias("n"), F.sum("bytes").alias("bytes"), F.max("inputs").alias("x"), F.max("targets").alias("y")).first()
     out = Fit()
-    if shape is None:
+    if not size.n:
         return out
-    state, pending, best_loss = Weights.zeros(shape.inputs, shape.targets), None, np.inf
-    for epoch in range(how.epochs + 1):
-        # This pass also measures what the last epoch ended with; after the last epoch that is all it is for.
-        found = _epoch(rows, pieces, state, how)
-        val_n = sum(r.val_n for r in found)
-        sums = np.sum([r.sums for r in found], axis=0)
-        if pending is not None:
-            val = (sums[2:] / val_n).tolist() if val_n else [None, None]
-            out.log.append((epoch - 1, *pending, *val))
-            watched = val[0] if val_n else pending[0]
+    room = max(RUNS_ROOM * size.bytes, LEAST_ROOM)
+    ranges = -(-size.n * (size.x + size.y + 2) * 8 // room)
+    pieces = max(ranges, -(-size.n // (how.shards * PIECE_ROWS)))
+    some = [range(i * pieces // ranges, (i + 1) * pieces // ranges) for i in range(ranges)]
+    state, best_loss = Weights.zeros(size.x, size.y), np.inf
+    with ExitStack() as kept:
+        whole = kept.enter_context(_dealt(stored, how, pieces, some[0])) if ranges == 1 else None
+        for epoch in range(how.epochs):
+            found: dict[int, Row] = {}
+            for part in some:
+                with nullcontext(whole) if whole else _dealt(stored, how, pieces, part) as rows:
+                    for i in range(len(part)):
+                        found |= {r.shard: r for r in _piece(rows, i, state, how, found)}
+            ends = _ended(found, state, how)
+            train = (np.sum([r.sums for r in ends], axis=0) / sum(r.n for r in ends)).tolist()
+            state = averaged(ends, state)
+            val = _held_out(stored, state.w, how.loss)
+            out.log.append((epoch, *train, *val))
+            watched = train[0] if val[0] is None else val[0]
             if watched < best_loss:
-                best_loss, out.best, out.best_epoch = watched, state, epoch - 1
-            if epoch - 1 - out.best_epoch >= how.patience:
+                best_loss, out.best, out.best_epoch = watched, state, epoch
+            if epoch - out.best_epoch >= how.patience:
                 out.stopped = True
                 break
-        n = sum(r.n for r in found)
-        if epoch == how.epochs or not n:
-            break
-        pending = (sums[:2] / n).tolist()
-        state = averaged(found, state)
     return out
 
 
