@@ -9,6 +9,7 @@ from tidemark.operators import descent as ds
 from tidemark.operators import scaling as sc
 from tidemark.operators import sequences as sq
 from tidemark.operators import training as tr
+from tidemark.session import last_shuffles
 
 SCHEMA = "series_id string, dt date, X array<array<double>>, y array<double>, is_validation boolean"
 
@@ -187,12 +188,26 @@ def test_samples_of_one_place_are_read_in_the_same_order_however_they_came():
 
 
 def test_shuffle_files_go_with_the_table_that_needed_them(spark):
-    context, name = spark.sparkContext, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    outputs, name = spark.sparkContext._jsc.sc().env().mapOutputTracker(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     held = ds.pinned(spark.range(1000).repartitionById(3, F.col("id").cast("int") % 3))
-    shuffle = max(i for i in range(1 << 14) if context._jsc.sc().env().mapOutputTracker().containsShuffle(i))
-    assert held.count() == held.count() == 1000
+    (shuffle,) = last_shuffles(held)
+    assert held.count() == held.count() == 1000 and outputs.containsShuffle(shuffle)
     ds.released(held)
-    assert not context._jsc.sc().env().mapOutputTracker().containsShuffle(shuffle)
+    assert not outputs.containsShuffle(shuffle)
     before = spark.conf.get(name, None)
     assert ds.materialise(spark.range(9).repartition(3), keep_shuffles=False).count() == 9
     assert spark.conf.get(name, None) == before
+
+
+def test_samples_with_a_null_anywhere_are_left_out(spark):
+    df = windows(spark, {"a": 120, "b": 60}, 4).withColumn("at", F.xxhash64("series_id", "dt") % 7)
+    null = F.lit(None).cast("double")
+    inside = F.transform("X", lambda row, i: F.transform(row, lambda v, j: F.when((i == 1) & (j == 2), null).otherwise(v)))
+    x = F.when(F.col("at") == 1, inside).when(F.col("at") == 2, F.slice("X", 1, 3)).otherwise(F.col("X"))
+    x = F.when(F.col("at") == 2, F.concat(x, F.array(F.lit(None).cast("array<double>")))).when(F.col("at") != 3, x)
+    y = F.when(F.col("at") == 4, F.array(null)).when(F.col("at") != 5, F.col("y"))
+    holes, how = df.withColumns({"X": x, "y": y}), ds.Descent("mse", "adam", 0.02, 16, 2, 2, 3)
+    got, want = ds.fit_epochs(holes, how), ds.fit_epochs(df.filter("at in (0, 6) or at < 0"), how)
+    close_to(np.array(got.log), np.array(want.log), 1e-12)
+    close_to(got.best.w, want.best.w, 1e-12)
+    assert df.filter("at between 1 and 5").select("at").distinct().count() == 5 and len(want.log) == 2

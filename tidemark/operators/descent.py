@@ -24,6 +24,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -149,6 +150,13 @@ FRESH, HELD_OUT = 1, 2
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Samples as runs of windows. A window that continues the one before adds its last row of values, another all rows."""
     for b in batches:
+        for c in ("x", "y"):
+            values = b.column(c).flatten()
+            if values.null_count:
+                # A row is left out if there are more nulls up to its end than up to its start.
+                nulls = np.append(0, values.is_null().to_numpy(zero_copy_only=False).cumsum())
+                ends = np.append(0, pc.list_value_length(b.column(c)).to_numpy().cumsum())
+                b = b.filter(pa.array(np.diff(nulls[ends]) == 0))
         if not b.num_rows:
             continue
         x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("x", "y"))
@@ -181,13 +189,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stored(samples: DataFrame, shards: int) -> DataFrame:
-    """The samples as checkpointed runs of windows, with the shards and places that they are dealt by."""
+    """The samples without a null as checkpointed runs of windows, with the shards and places that they are dealt by."""
     rows = samples.select(
         F.flatten("X").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"), F.size("X").alias("span"),
         F.pmod(F.xxhash64("series_id", "dt"), F.lit(shards)).cast("int").alias("shard"),
         F.xxhash64(F.lit(1), "series_id", "dt").alias("place"), F.coalesce("is_validation", F.lit(True)).alias("is_validation"),
     )
-    return materialise(rows.mapInArrow(_runs, _RUNS), keep_shuffles=False)
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return materialise(rows.filter(whole).mapInArrow(_runs, _RUNS), keep_shuffles=False)
 
 
 class _Block:
@@ -357,9 +366,11 @@ def fit_epochs(samples: DataFrame, how: Descent = Descent(), features: int | Non
     ``(epoch, loss, mse, val_loss, val_mse)``, training losses being means over the epoch's batches and
     validation losses those of the weights the epoch ends with. Equal losses are no improvement.
     """
-    clean = F.forall(F.flatten("X"), lambda v: v.isNotNull()) & F.forall("y", lambda v: v.isNotNull())
-    stored = _stored(samples.filter(F.col("X").isNotNull() & clean), how.shards)
-    size = stored.agg(F.sum(F.col("n") - F.col("held")).alias("n"), F.sum("bytes").alias("bytes"), F.max("inputs").alias("x"), F.max("targets").alias("y")).first()
+    stored = _stored(samples, how.shards)
+    size = stored.agg(
+        F.sum(F.col("n") - F.col("held")).alias("n"), F.sum("bytes").alias("bytes"),
+        F.max("inputs").alias("x"), F.max("targets").alias("y"),
+    ).first()
     out = Fit()
     if not size.n:
         return out
@@ -373,7 +384,7 @@ def fit_epochs(samples: DataFrame, how: Descent = Descent(), features: int | Non
         for epoch in range(how.epochs):
             found: dict[int, Row] = {}
             for part in some:
-                with nullcontext(whole) if whole else _dealt(stored, how, pieces, part) as rows:
+                with _dealt(stored, how, pieces, part) if whole is None else nullcontext(whole) as rows:
                     for i in range(len(part)):
                         found |= {r.shard: r for r in _piece(rows, i, state, how, found)}
             ends = _ended(found, state, how)
